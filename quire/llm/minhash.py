@@ -6,17 +6,20 @@
 2. Documents with equal shingle sets collapse into one class; only its smallest
    doc_id goes on.
 3. Band keys make candidate buckets. A bucket is compared in blocks of at most
-   1024 x 1024 packed signatures; bit counts give the agreement ``p`` and the
+   512 x 512 packed signatures; bit counts give the agreement ``p`` and the
    collision-corrected estimate ``(p - 1/4) / (1 - 1/4)``. Only pairs whose
    estimate is within 4.5 standard errors of the threshold go on.
 4. Those pairs are confirmed on the full word shingles of both texts, and the
    links give components.
 
-A bucket of n near copies would have n * n / 2 pairs, so the pairs come in three
-rounds: stars (each member against the first unlinked one), then the best pair
-between any two components in a block, then every remaining pair between two
-components. Pairs inside one component cannot change the result and are left
-out; no others are.
+A bucket of n near copies would have n * n / 2 pairs, so they never leave a task. The
+first round emits stars only (each member against the first one it may be linked
+with) and confirms them on the texts, which joins most copies. The second round
+looks again at the buckets that still hold two components: every block gets the full
+shingle sets of its members, confirms all pairs between components that reach the
+estimate inside the task, and emits at most one confirmed link for each join of two
+components. Pairs inside one component cannot change the result; no others are left
+out.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import col, cut, has_at_most
 from quire.llm.components import connected_components
 
-WORDS, HASHES, BANDS, ROWS, BITS, BLOCK = 5, 256, 48, 5, 2, 1024
+WORDS, HASHES, BANDS, ROWS, BITS, BLOCK = 5, 256, 48, 5, 2, 512
 #: Ids up to which the list of documents to confirm is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -146,40 +149,53 @@ def _jaccard_udf(threshold: int):
     return linked
 
 
-def _block_pairs(mode: str, floor: float, ids: np.ndarray, sig: np.ndarray, left: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of one block. ``left`` is all true if the block lies on the diagonal, else it tells the two sides apart."""
+def _star(floor: float, ids: np.ndarray, sig: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stars of one block: the first member that is left takes all it may be linked with.
+
+    ``left`` is all true if the block lies on the diagonal, else it tells the two sides apart.
+    """
+    diagonal, rest = bool(left.all()), np.arange(len(ids))
+    while len(rest) > 1:
+        seed, others = rest[0], rest[1:]
+        near = estimate(sig[seed], sig[others]) >= floor
+        if not diagonal:
+            near &= left[others] != left[seed]
+        for y in others[near]:
+            yield int(ids[seed]), int(ids[y])
+        rest = others[~near]
+
+
+def _confirmed(threshold: int, floor: float, ids: np.ndarray, sig: np.ndarray, left: np.ndarray, label: np.ndarray, texts: list) -> Iterator[tuple[int, int]]:
+    """Links of one block between components, confirmed on the full sets: one for each join."""
     diagonal = bool(left.all())
-    if mode == "star":
-        # The first unlinked member takes all it may be linked with; the others go on.
-        rest = np.arange(len(ids))
-        while len(rest) > 1:
-            seed, others = rest[0], rest[1:]
-            near = estimate(sig[seed], sig[others]) >= floor
-            if not diagonal:
-                near &= left[others] != left[seed]
-            for y in others[near]:
-                yield int(ids[seed]), int(ids[y])
-            rest = others[~near]
+    root = np.unique(label, return_inverse=True)[1]
+    if not root.any():
         return
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    sets = [shingle_hashes(words_of(t)) for t in texts]
+    size = np.array([len(x) for x in sets])
+    first = np.cumsum(size) - size
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(flat.max()) + 1, bool)
     for i in range(len(ids) - 1):
-        others = np.arange(i + 1, len(ids))
-        others = others[(label[others] != label[i]) & (diagonal | (left[others] != left[i]))]
-        if not len(others):
+        y = np.arange(i + 1, len(ids))
+        y = y[(root[y] != root[i]) & (diagonal | (left[y] != left[i]))]
+        if len(y):
+            y = y[estimate(sig[i], sig[y]) >= floor]
+        if not len(y):
             continue
-        e = estimate(sig[i], sig[others])
-        for y, v in zip(others[e >= floor], e[e >= floor]):
-            if mode == "all":
-                yield int(ids[i]), int(ids[y])
-            else:
-                k = (min(label[i], label[y]), max(label[i], label[y]))
-                if k not in best or best[k][0] < v:
-                    best[k] = (v, int(ids[i]), int(ids[y]))
-    for _, a, b in best.values():
-        yield a, b
-
-
-def _blocks(mode: str, floor: float):
+        own = flat[first[i] : first[i] + size[i]]
+        mark[own] = True
+        n = size[y]
+        start = np.cumsum(n) - n
+        both = np.add.reduceat(mark[flat[np.repeat(first[y] - start, n) + np.arange(n.sum())]].astype(np.int64), start)
+        mark[own] = False
+        for j in y[100 * both >= threshold * (size[i] + n - both)]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                yield int(ids[i]), int(ids[j])
+
+
+def _blocks(threshold: int, floor: float, confirm: bool):
     """mapInArrow over rows sorted by (band, x, y): one block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +222,9 @@ def _blocks(mode: str, floor: float):
         pairs: set[tuple[int, int]] = set()
         bounds = [0, *ends.tolist(), len(t)]
         for lo, hi in zip(bounds, bounds[1:]):
-            for a, b in _block_pairs(mode, floor, ids[lo:hi], sig[lo:hi], blk[lo:hi] == x[lo], label[lo:hi]):
+            block = ids[lo:hi], sig[lo:hi], blk[lo:hi] == x[lo]
+            found = _confirmed(threshold, floor, *block, label[lo:hi], t["text"][lo:hi].to_pylist()) if confirm else _star(floor, *block)
+            for a, b in found:
                 if a != b:
                     pairs.add((min(a, b), max(a, b)))
         u, v = zip(*pairs) if pairs else ((), ())
@@ -215,8 +233,8 @@ def _blocks(mode: str, floor: float):
     return run
 
 
-def _candidates(members: DataFrame, signatures: DataFrame, mode: str, floor: float) -> DataFrame:
-    """members(band, rep, m, label) -> pairs (u, v) whose estimate reaches the floor."""
+def _in_blocks(members: DataFrame, more: DataFrame, threshold: int, floor: float, confirm: bool) -> DataFrame:
+    """members(band, rep, m, label) and what a block needs of each rep -> pairs (u, v)."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
     blk = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     tiles = (
@@ -224,18 +242,23 @@ def _candidates(members: DataFrame, signatures: DataFrame, mode: str, floor: flo
         .withColumn("blk", blk)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "rep", "blk", "label")
-        .join(signatures, "rep")
+        .join(more, "rep")
         .repartition("band", "x", "y")
         .sortWithinPartitions("band", "x", "y", "rep")
     )
-    return tiles.mapInArrow(_blocks(mode, floor), "u long, v long").distinct()
+    return tiles.mapInArrow(_blocks(threshold, floor, confirm), "u long, v long").distinct()
+
+
+def _named(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose id is among ``ids(id)``; only those are moved if the ids are few enough to broadcast."""
+    ids = ids.distinct()
+    ids = F.broadcast(ids) if has_at_most(ids, BROADCAST_IDS) else ids
+    return texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Keep the pairs that are linked on their full sets; only the texts they name are moved."""
-    named = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    named = F.broadcast(named) if has_at_most(named, BROADCAST_IDS) else named
-    texts = texts.join(named, "id", "left_semi").dropDuplicates(["id", "text"])
+    texts = _named(texts, pairs.select(F.col("u").alias("id")).union(pairs.select("v")))
     a = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
     b = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
     linked = _jaccard_udf(threshold)
@@ -269,23 +292,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(members)
     texts = ids.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
 
-    first = _candidates(members.withColumn("label", F.col("rep")), signatures, "star", floor)
-    tried = cut(first)
-    links = cut(_confirm(tried, texts, threshold))
-    for mode in ("best", "all"):
-        label = connected_components(links)
-        open_ = (
-            members.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-            .withColumn("label", F.coalesce("component", "rep"))
-            .drop("component")
-            .selectExpr("*", f"min(label) OVER ({in_band}) AS lo", f"max(label) OVER ({in_band}) AS hi")
-            .where("lo <> hi")
-            .drop("lo", "hi")
-        )
-        new = _candidates(open_, signatures, mode, floor).join(tried, ["u", "v"], "left_anti")
-        new = cut(new)
-        tried = tried.union(new)
-        links = cut(links.union(_confirm(new, texts, threshold)))
+    stars = cut(_in_blocks(members.withColumn("label", F.col("rep")), signatures, threshold, floor, confirm=False))
+    links = cut(_confirm(stars, texts, threshold))
+    label = connected_components(links).withColumnRenamed("node", "rep")
+    open_ = (
+        members.join(label, "rep", "left")
+        .withColumn("label", F.coalesce("component", "rep"))
+        .drop("component")
+        .selectExpr("*", f"min(label) OVER ({in_band}) AS lo", f"max(label) OVER ({in_band}) AS hi")
+        .where("lo <> hi")
+        .drop("lo", "hi")
+    )
+    open_ = cut(open_)
+    more = _named(texts, open_.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep").join(signatures, "rep")
+    links = cut(links.union(_in_blocks(open_, more, threshold, floor, confirm=True)))
     label = connected_components(links).withColumnRenamed("node", "rep")
     by_key = classes.select("key", "rep").join(label, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
