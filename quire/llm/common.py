@@ -33,3 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows: the size check before a broadcast."""
     return df.limit(rows + 1).count() <= rows
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after asking for Arrow batches that fit whole texts: 1000 rows, unless the session names a number."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col
+from quire.llm.common import col, small_batches
 
 Q, WINDOW, STRIDE, EDIT_SHARE = 10, 128, 64, 0.06
 #: Items with fewer bytes after normalisation are too short to be evidence.
@@ -218,7 +218,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(col("item_id").cast("long").alias("item_id"), col("text").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(size // BLOCK_BYTES)
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    rows = small_batches(docs).select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     found = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, has_at_most
+from quire.llm.common import col, has_at_most, small_batches
 
 #: Bound of the training sample: documents of each language, and hashed grams.
 SAMPLE_PER_LANGUAGE, BUCKETS = 400, 1 << 16
@@ -281,7 +281,7 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None) -> DataFram
     is read for training only.
     """
     model = model or train(docs)
-    rows = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
+    rows = small_batches(docs).select(col("doc_id").alias("doc_id"), col("text").alias("text"))
     return rows.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(F.col("text"), model, docs.sparkSession).alias("p")
     ).select("doc_id", "held_out", "p.*")

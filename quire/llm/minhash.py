@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, cut, has_at_most
+from quire.llm.common import col, cut, has_at_most, small_batches
 from quire.llm.components import connected_components
 
 WORDS, HASHES, BANDS, ROWS, BITS, BLOCK = 5, 256, 48, 5, 2, 512
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a doc_id are one node. A null doc_id is linked with nothing, has a null
     component_id and is kept. Other columns of ``docs`` are ignored.
     """
-    ids = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    ids = small_batches(docs).select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     sk = cut(ids.select("doc_id", F.arrow_udf(_sketch, _SKETCH)("text").alias("s")).select("doc_id", "s.*"))
     classes = (
         sk.where("n > 0 AND doc_id IS NOT NULL")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, cut
+from quire.llm.common import col, cut, small_batches
 
 #: Code points above which a text is cut, of a chunk, and chunks that one task combines.
 GIANT, CHUNK, FAN = 32_768, 8_192, 64
@@ -402,7 +402,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "p
     """
     names = [c for c in docs.columns if c != out_col]
     text = col(text_col)
-    rows = docs.select(*map(col, names))
+    rows = small_batches(docs).select(*map(col, names))
     small = F.coalesce(F.length(text) <= GIANT, F.lit(True))
     few = rows.where(small).withColumn(out_col, encode_small(text, path))
     giant = rows.where(~small).withColumn("__key", F.sha2(text, 256))

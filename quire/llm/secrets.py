@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col
+from quire.llm.common import col, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
@@ -137,4 +137,4 @@ def secret_scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     an empty ``spans``. Repeated rows are scanned each; other columns are ignored.
     ``vocabulary`` is the path of a ``.tiktoken`` rank file.
     """
-    return docs.select(col(id_col).alias("doc_id"), scan(col(text_col), vocabulary).alias("s")).select("doc_id", "s.*")
+    return small_batches(docs).select(col(id_col).alias("doc_id"), scan(col(text_col), vocabulary).alias("s")).select("doc_id", "s.*")

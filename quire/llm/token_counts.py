@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col
+from quire.llm.common import col, small_batches
 
 #: Entries of a task's dictionary of pre-tokens (about 150 bytes each).
 DICTIONARY = 1_500_000
@@ -80,6 +80,6 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
 
     text = F.coalesce(col(text_col), F.lit(""))
     return (
-        docs.select(col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("n_tokens"))
+        small_batches(docs).select(col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("n_tokens"))
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )
