@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, language, minhash, pieces, quality, secrets, sharding, token_counts
+from quire.llm import decontaminate, extract, language, minhash, pieces, quality, secrets, sharding, token_counts, warc
 from quire.llm.common import table
 
 
@@ -13,10 +13,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records against a replica with known damage."""
+    recs = warc.records(table(spark, sf_dir, "pages"))
+    return warc.audit(recs, warc.damaged(recs))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -44,7 +54,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op3_pieces, op5_sharding, op6_quality, op7_language_id, op8_decontaminate, op9_minhash, op10_token_counts,
+        op1_secret_scan, op2_warc_fixity, op3_pieces, op4_html_extraction, op5_sharding, op6_quality, op7_language_id, op8_decontaminate, op9_minhash, op10_token_counts,
     )
 }
-ORACLES: dict[str, str] = {}
+_NL = "chr(13) || chr(10)"
+#: The audit's result follows from the planted damage; records, places and digests are rebuilt from the pages.
+_OP2 = f"""
+WITH block AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body,
+         'HTTP/1.1 200 OK' || {_NL} || 'Content-Type: text/html; charset=utf-8' || {_NL} || {_NL} || coalesce(html, '') AS block
+  FROM pages
+), record AS (
+  SELECT page_id,
+         'WARC/1.1' || {_NL} || 'WARC-Type: response' || {_NL} || 'WARC-Target-URI: ' || url || {_NL}
+         || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id AS VARCHAR), '') || '>' || {_NL}
+         || 'WARC-Payload-Digest: sha256:' || sha256(body) || {_NL}
+         || 'Content-Type: application/http; msgtype=response' || {_NL}
+         || 'Content-Length: ' || cast(strlen(block) AS VARCHAR) || {_NL} || {_NL} || block || {_NL} || {_NL} AS record
+  FROM block
+), leaf AS (
+  SELECT coalesce(page_id // {warc.RECORDS_PER_FILE}, -1) AS file, page_id, record, sha256(record) AS digest_a,
+         row_number() OVER w - 1 AS idx, sum(strlen(record)) OVER w AS stop
+  FROM record WINDOW w AS (PARTITION BY coalesce(page_id // {warc.RECORDS_PER_FILE}, -1) ORDER BY page_id, sha256(record) ROWS UNBOUNDED PRECEDING)
+)
+SELECT cast(file AS BIGINT) AS file, cast(idx AS INTEGER) AS idx, page_id, 'changed' AS status,
+       cast(stop - strlen(record) AS BIGINT) AS start_a, cast(stop AS BIGINT) AS end_a,
+       cast(stop - strlen(record) AS BIGINT) AS start_b, cast(stop AS BIGINT) AS end_b,
+       digest_a, sha256(left(record, length(record) - 5) || chr(1) || {_NL} || {_NL}) AS digest_b
+FROM leaf WHERE page_id % {warc.DAMAGE_EVERY} = {warc.DAMAGE_AT}
+"""
+ORACLES: dict[str, str] = {"op2_warc_fixity": _OP2}
