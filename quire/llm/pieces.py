@@ -4,7 +4,7 @@ The model merges pieces by rank, and such an encoding can be recognised locally:
 sequence of pieces is the encoding of a text exactly if every two neighbours are
 the encoding of their own concatenation. So the encoding is the one best path of a
 lattice whose states are "the last piece reaches over this place" and whose steps
-weigh -1 for a piece that may follow and minus infinity otherwise.
+weigh minus the number of ids for a piece that may follow and minus infinity otherwise.
 
 A giant text is cut in chunks. Each chunk yields a transfer matrix from the states
 at its first boundary to those at its last one, in the (max, +) semiring. Matrices
@@ -21,12 +21,14 @@ per distinct word. Texts up to ``GIANT`` are one chunk and take that way alone.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ class Pieces:
         model.normalizer_spec.add_dummy_prefix = False
         self.raw = sp.SentencePieceProcessor(model_proto=model.SerializeToString())
         normal = [p.piece for p in model.pieces if p.type == pb.ModelProto.SentencePiece.NORMAL]
-        if any(MARK in p.lstrip(MARK) for p in normal):
-            raise ValueError("a piece reaches across a space")
+        if any(MARK in p.lstrip(MARK) or (len(p) > 1 and "\n" in p) for p in normal):
+            raise ValueError("a piece reaches across a space or a line")
         self.longest = max(map(len, normal))
         self.vocab = set(normal)
         self.bytes = [
@@ -89,22 +91,38 @@ class Pieces:
             self._follows[key] = tuple(self.raw.encode(a + b)) == self.ids(a) + self.ids(b)
         return self._follows[key]
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        """Ids (int32, as bytes) of each unit; distinct units are encoded once."""
+    def encode_words(self, texts: list[list[str]]) -> list[list[bytes]]:
+        """Ids (int32, as bytes) of words of texts as ``split_words`` gives them; distinct ones are encoded once."""
         known = self.words
         if len(known) > DICTIONARY:
             known.clear()
-        new = list(set(units).difference(known))
+        new = list(set().union(*texts).difference(known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            known.update((u, np.array(x, np.int32).tobytes()) for u, x in zip(part, self.raw.encode(part, num_threads=1)))
-        return list(map(known.__getitem__, units))
+            got = self.raw.encode([w if w[:1] in ("\n", MARK) else MARK + w for w in part], num_threads=1)
+            known.update((w, array("i", x).tobytes()) for w, x in zip(part, got))
+        return [list(map(known.__getitem__, words)) for words in texts]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the leading space that encoding adds."""
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of many texts at once and where each ends; ``ends`` are those of the texts' ids, from 0 on."""
+        if not hasattr(self, "_blob"):
+            self._size = np.array(list(map(len, self.bytes)), np.int64)
+            self._at = np.cumsum(self._size) - self._size
+            self._blob = np.frombuffer(b"".join(self.bytes), np.uint8)
+        size, at = self._size[ids], self._at[ids]
+        first = ends[:-1][ends[:-1] < ends[1:]]
+        spaced = first[(size[first] > 0) & (self._blob[np.minimum(at[first], len(self._blob) - 1)] == 0x20)]
+        size[spaced] -= 1
+        at[spaced] += 1
+        stop = np.cumsum(size)
+        data = self._blob[np.repeat(at - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        return data, np.concatenate([[0], stop])[ends]
+
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
@@ -115,6 +133,17 @@ def normal(text: str) -> str:
     return (MARK + text).replace(" ", MARK) if text else ""
 
 
+def split_words(text: str) -> list[str]:
+    """The text in parts that are encoded apart: a word stands for itself behind one space mark,
+    a part that begins with a line feed or a mark for itself alone. No piece reaches from one into the next."""
+    if not text:
+        return []
+    lines = text.replace("\n", " \n")
+    if "  " not in lines and lines[0] != " " and lines[-1] != " " and MARK not in lines:
+        return lines.split(" ")
+    return _UNIT.findall(normal(text))
+
+
 def syncs(text: str, lo: int, hi: int) -> list[int]:
     """Places from lo to hi, hi left out, that no piece reaches across."""
     return [m.start() + 1 for m in re.compile(f"[^{MARK}]{MARK}").finditer(text, max(0, lo - 1), min(len(text), hi + 1)) if lo <= m.start() + 1 < hi]
@@ -167,7 +196,7 @@ class Chunk:
                     into = done if q >= stop else at.setdefault(q, {})
                     key = (p, q) if q >= stop else p
                     old = into.setdefault(key, none.copy())
-                    new = value - 1.0
+                    new = value - len(self.m.ids(piece))
                     better = new > old
                     trace = came.setdefault((p, q), [None] * n)
                     for k in np.flatnonzero(better):
@@ -195,7 +224,7 @@ class Chunk:
         return (self.hi - s) * 64 + (e - self.hi)
 
     def _units(self, lo: int, hi: int) -> list[bytes]:
-        return self.m.encode_units(_UNIT.findall(self.text[lo:hi]))
+        return self.m.encode_words([_UNIT.findall(self.text[lo:hi])])[0]
 
     def transfer(self) -> list[tuple[int, int, float]]:
         """``(state in, state out, weight)`` of the chunk's max-plus matrix."""
@@ -206,7 +235,7 @@ class Chunk:
         a, b = self.sync
         left, _ = self._walk(begin, a)
         into = np.max([v for s, v in left.items() if s[1] == a] or [np.full(len(names), -np.inf)], axis=0)
-        middle = -float(sum(self._size(u) for u in self._units(a, b)))
+        middle = -float(sum(map(len, self._units(a, b))) // 4)
         right, _ = self._walk([(b, None)], self.hi)
         return [
             (names[k], self._end(s), float(into[k] + middle + v[0]))
@@ -214,15 +243,6 @@ class Chunk:
             for k in np.flatnonzero(into > -np.inf)
         ]
 
-    def _size(self, ids: bytes) -> int:
-        """Pieces of a unit: a character outside the vocabulary is one piece, whatever its bytes."""
-        n = len(ids) // 4
-        x = np.frombuffer(ids, np.int32)
-        if n and (x < 259).any():  # byte ids: the lead bytes count
-            b = [self.m.bytes[i] for i in x[x < 259]]
-            n -= sum(1 for c in b if len(c) == 1 and 0x80 <= c[0] < 0xC0)
-        return n
-
     def backtrace(self, state_in: int, state_out: int) -> bytes:
         """Ids (int32, as bytes) of the pieces that start in the chunk, on the path between two states."""
         names, begin = self._begin()
@@ -275,9 +295,9 @@ def route(parts: list[list[tuple[int, int, float]]], first: int, last: int) -> l
     return out[::-1]
 
 
-def encode_whole(model: Pieces, text: str | None) -> bytes:
-    """Ids (int32, as bytes) of a text that is one chunk; null and empty give none."""
-    return b"".join(model.encode_units(_UNIT.findall(normal(text)))) if text else b""
+def encode_whole(model: Pieces, texts: list[str | None]) -> list[bytes]:
+    """Ids (int32, as bytes) of texts that are one chunk each; null and empty give none."""
+    return [b"".join(x) for x in model.encode_words([split_words(t or "") for t in texts])]
 
 
 _CHUNK = "key string, k long, n long, text string, lo long, hi long"
@@ -376,7 +396,7 @@ def encode_small(text: Column, path: str) -> Column:
     def encoded(text: pa.Array) -> pa.Array:
         m, out = pieces(path), []
         for i in range(0, len(text), 256):
-            out += [encode_whole(m, t) for t in text.slice(i, 256).to_pylist()]
+            out += encode_whole(m, text.slice(i, 256).to_pylist())
         size = np.cumsum([0, *(len(x) // 4 for x in out)])
         values = pa.Array.from_buffers(pa.int32(), int(size[-1]), [None, pa.py_buffer(b"".join(out))])
         return pa.ListArray.from_arrays(pa.array(size, pa.int32()), values)
@@ -389,7 +409,16 @@ def decode(ids: Column, path: str) -> Column:
 
     def decoded(ids: pa.Array) -> pa.Array:
         m = pieces(path)
-        return pa.array([None if x.as_py() is None else m.decode(x.as_py()) for x in ids], pa.string())
+        flat = ids.flatten().to_numpy(zero_copy_only=False)  # without those of null arrays
+        ends = np.concatenate([[0], np.cumsum([0 if n is None else n for n in pc.list_value_length(ids).to_pylist()])]).astype(np.int64)
+        data, stop = m.decode_all(flat, ends)
+        out = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(stop.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids that no encoding gives
+            out = pa.array([None if x is None else m.decode(x) for x in ids.to_pylist()], pa.large_string())
+        out = pc.if_else(pc.is_valid(ids), out, pa.scalar(None, pa.large_string()))
+        return out.cast(pa.string())
 
     return F.arrow_udf(decoded, "string")(ids)
 

@@ -64,7 +64,7 @@ def test_combination_is_associative():
 def test_whole_texts_and_decoding(text):
     m = pieces.pieces(PATH)
     lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    ids = np.frombuffer(pieces.encode_whole(m, text), np.int32).tolist()
+    ids = np.frombuffer(pieces.encode_whole(m, [text])[0], np.int32).tolist()
     assert ids == lib.encode(text)
     if "▁" not in text:
         assert m.decode(ids) == text
@@ -98,3 +98,13 @@ def test_other_columns_stay(spark):
     out = pieces.encode(df, PATH)
     assert out.columns == [c for c in df.columns if c != "piece_ids"] + ["piece_ids"]
     assert sorted(r.key for r in out.collect()) == ["k", "k"]
+
+
+def test_decoding_many_texts_at_once(spark, library):
+    texts = edges() + ["", "a", " a", "é", "語 x"]
+    ids = [None, [], [5000], [3, 3], [200, 31000], *(library.encode(t or "") for t in texts)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "k int, ids array<int>")
+    m = pieces.pieces(PATH)
+    got = {r.k: r.text for r in df.select("k", pieces.decode(df.ids, PATH).alias("text")).collect()}
+    assert got == {i: None if x is None else m.decode(x) for i, x in enumerate(ids)}
+    assert [got[i + 5] for i in range(len(texts))] == [t or "" for t in texts]
