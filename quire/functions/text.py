@@ -104,15 +104,15 @@ def last_start_tag(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(c, F.lit(r"<start_index_(\d+)>"), F.lit(1)), F.lit(-1)).try_cast("int"), F.lit(-1))
 
 
-FENCE = "```"
+#: The last fence and all behind it.
+LAST_FENCE = r"(?s)```(?!.*```).*$"
 
 
 def fenced(c: Column) -> Column:
     """What a json fence holds: after the first opening, up to the last fence, stripped."""
     at = F.instr(c, F.lit("```json"))
     body = F.when(at > 0, F.substr(c, at + 7)).otherwise(c)
-    parts = F.size(F.split(body, FENCE))
-    return strip(F.when(parts > 1, F.substring_index(body, FENCE, parts - 1)).otherwise(body))
+    return strip(F.regexp_replace(body, LAST_FENCE, ""))
 
 
 def repaired_json(c: Column) -> Column:
@@ -124,8 +124,7 @@ def repaired_json(c: Column) -> Column:
     """
     at = F.instr(c, F.lit("```json"))
     body = F.substr(c, at + 7)
-    closed = F.size(F.split(body, FENCE)) > 1
-    inside = F.when(closed, F.substring_index(body, FENCE, F.size(F.split(body, FENCE)) - 1)).otherwise(F.lit(""))
+    inside = F.when(F.contains(body, F.lit("```")), F.regexp_replace(body, LAST_FENCE, "")).otherwise(F.lit(""))
     text = collapse(F.replace(F.when(at > 0, inside).otherwise(c), F.lit("None"), F.lit("null")))
     fixed = F.replace(F.replace(text, F.lit(",]"), F.lit("]")), F.lit(",}"), F.lit("}"))
 

@@ -1,0 +1,125 @@
+"""Searching outlines and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators import search, tree
+from quire.queries.outline import COLLAPSE, NL
+from quire.queries.registry import query
+from quire.queries.trees import _TEXTS, sql, text_nodes
+from quire.sources import views as v
+from quire.sources.views import sql_words
+
+_QW = f", qw AS (SELECT DISTINCT item_id AS query_id, unnest({sql_words('lower(text)')}) AS word FROM benchmark)"
+_SCORES = f"""{_TEXTS}{_QW}, nw AS (SELECT DISTINCT doc_id, ord, node_id, unnest({sql_words("lower(title || ' ' || text)")}) AS word FROM txt),
+ inner_nodes AS (SELECT DISTINCT p.doc_id, p.ord FROM txt p JOIN txt c ON c.doc_id = p.doc_id AND c.parent_idx = p.idx),
+ sc AS (SELECT query_id, doc_id, ord, node_id, count(*) * CASE WHEN i.ord IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM nw JOIN qw USING (word) LEFT JOIN inner_nodes i USING (doc_id, ord) GROUP BY query_id, doc_id, ord, node_id, i.ord)"""
+
+
+def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.with_parent_ord(text_nodes(spark, sf))
+
+
+@query(sql(f"{_SCORES} SELECT query_id, doc_id, ord, node_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ord) AS INTEGER) AS rank FROM sc QUALIFY rank <= 5"))
+def tree_search_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nodes that share most words with each question, leaves first."""
+    return search.search_nodes(v.questions(spark, sf), nodes(spark, sf)).select("query_id", "doc_id", "ord", "node_id", "score", "rank")
+
+
+# Answers of a search, with repeated and unknown ids.
+_ANS = """, q AS (SELECT item_id AS query_id FROM benchmark), ids AS (SELECT query_id, query_id % 20 AS doc_id, ['0003', '0000', '9999', '0003', '0001', '0002', '0004', '0000'] AS node_list FROM q)"""
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    ids = F.array(*map(F.lit, ("0003", "0000", "9999", "0003", "0001", "0002", "0004", "0000")))
+    return v.questions(spark, sf).select("query_id", (F.col("query_id") % 20).alias("doc_id"), ids.alias("node_list"))
+
+
+_DISTINCT = ", ex AS (SELECT query_id, doc_id, unnest(node_list) AS node_id, unnest(generate_series(1, len(node_list))) AS nth FROM ids), ds AS (SELECT query_id, doc_id, node_id, min(nth) AS nth FROM ex GROUP BY ALL)"
+
+
+@query(sql(f"{_TEXTS}{_ANS}{_DISTINCT} SELECT d.query_id, d.doc_id, d.node_id, cast(row_number() OVER (PARTITION BY query_id, d.doc_id ORDER BY nth) - 1 AS INTEGER) AS pos FROM ds d JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id QUALIFY pos < 3"))
+def node_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct known ids of an answer, the first three."""
+    return search.chosen(answers(spark, sf), text_nodes(spark, sf), 3)
+
+
+@query(sql(f"{_TEXTS}{_ANS}{_DISTINCT}, top AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY nth) <= 5), "
+           f"j AS (SELECT t.query_id, t.doc_id, t.nth, '[' || n.node_id || ' p' || start_index || '-' || end_index || '] ' || title || {NL} || {COLLAPSE.format('text')} AS part FROM top t JOIN txt n ON n.doc_id = t.doc_id AND n.node_id = t.node_id WHERE {COLLAPSE.format('text')} <> '') "
+           f"SELECT query_id, doc_id, string_agg(part, {NL} || {NL} ORDER BY nth) AS context FROM j GROUP BY ALL"))
+def retrieved_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled texts of the first five distinct ids."""
+    return search.retrieved_context(answers(spark, sf), text_nodes(spark, sf))
+
+
+@query(sql(f"{_TEXTS}{_ANS}{_DISTINCT}, pg AS (SELECT d.query_id, d.doc_id, p.page_no, min(d.nth) AS nth FROM ds d JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id JOIN (SELECT DISTINCT page_no FROM pl) p ON p.page_no BETWEEN n.start_index AND n.end_index GROUP BY ALL) "
+           "SELECT query_id, doc_id, cast(page_no AS INTEGER) AS page_no, cast(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY nth, page_no) - 1 AS INTEGER) AS place FROM pg"))
+def retrieved_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct pages of retrieved nodes, in the order they are first seen."""
+    return search.retrieved_pages(answers(spark, sf), text_nodes(spark, sf))
+
+
+@query(sql(f"{_TEXTS}{_ANS}{_DISTINCT} SELECT d.query_id, d.doc_id, d.node_id, coalesce(n.title, 'NOT FOUND') AS title FROM ds d LEFT JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id"))
+def node_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of ids for display."""
+    asked = answers(spark, sf).select("query_id", "doc_id", F.explode(F.array_distinct("node_list")).alias("node_id"))
+    return search.looked_up(asked, text_nodes(spark, sf)).select("query_id", "doc_id", "node_id", "title")
+
+
+@query(sql(f"{_SCORES}, h AS (SELECT query_id, '0001' AS node_id, sum(CASE word WHEN 'the' THEN 2.5::DOUBLE WHEN 'de' THEN 1.0::DOUBLE END) AS boost FROM qw WHERE word IN ('the', 'de') GROUP BY query_id), "
+           "b AS (SELECT s.query_id, doc_id, ord, s.node_id, score + coalesce(boost, 0) AS score FROM sc s LEFT JOIN h ON h.query_id = s.query_id AND h.node_id = s.node_id) "
+           "SELECT query_id, doc_id, node_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ord) AS INTEGER) AS rank FROM b QUALIFY rank <= 3"))
+def search_with_preference(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores raised by expert hints."""
+    q = v.questions(spark, sf)
+    hints = spark.createDataFrame([("the", "0001", 2.5), ("de", "0001", 1.0)], "keyword string, node_id string, boost double")
+    every = search.search_nodes(q, nodes(spark, sf), 2**30).drop("rank")
+    best = search.top_k(search.with_preference(every, q, hints), 3, F.desc("score"), F.asc("doc_id"), F.asc("ord"))
+    return best.select("query_id", "doc_id", "node_id", "score", "rank")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'de' AND n_chars > 2000")
+def doc_search_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by a condition on their metadata; the filter reaches the scan."""
+    return v.table(spark, sf, "documents").where("lang = 'de' AND n_chars > 2000").select("doc_id", "lang", "source", "n_chars")
+
+
+@query(sql(f"{_TEXTS}{_QW}, ds AS (SELECT doc_id, 'Covers: ' || string_agg(title, '; ' ORDER BY ord) || '.' AS d FROM txt WHERE depth = 0 GROUP BY doc_id), dw AS (SELECT DISTINCT doc_id, unnest({sql_words('lower(d)')}) AS word FROM ds), "
+           "s AS (SELECT query_id, doc_id, count(*) AS score FROM dw JOIN qw USING (word) GROUP BY ALL) SELECT query_id, doc_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"))
+def doc_search_description(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by their descriptions."""
+    from quire.plans.build import descriptions
+
+    return search.search_descriptions(v.questions(spark, sf), descriptions(text_nodes(spark, sf)), 5)
+
+
+_VEC = """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, vec_id % 50 AS doc_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, q), top AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 40)"""
+
+
+def near(spark: SparkSession, sf: str) -> DataFrame:
+    c = v.chunk_vectors(spark, sf)
+    return search.search_vectors(c, c.where("vec_id = 0").select(F.col("embedding").alias("vector")), 40)
+
+
+@query(f"{_VEC} SELECT vec_id, doc_id, round(score, 6) AS score FROM top")
+def doc_search_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks nearest to a question's vector."""
+    return near(spark, sf).select("vec_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{_VEC} SELECT doc_id, round(sum(score) / sqrt(count(*) + 1), 6) AS doc_score, count(*) AS n_chunks FROM top GROUP BY doc_id")
+def doc_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Document scores from chunk scores."""
+    return search.document_scores(near(spark, sf)).select("doc_id", F.round("doc_score", 6).alias("doc_score"), "n_chunks")
+
+
+@query()
+def answer_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """An extractive, cited answer from each question's retrieved nodes."""
+    q = v.questions(spark, sf)
+    n = nodes(spark, sf)
+    top = search.search_nodes(q, n).select("query_id", "doc_id", "node_id")
+    ctx = top.join(n.select("doc_id", "node_id", "text"), ["doc_id", "node_id"])
+    return search.best_sentences(q, ctx.select("query_id", F.concat_ws(":", "doc_id", "node_id").alias("label"), "text"))

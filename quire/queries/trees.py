@@ -1,0 +1,196 @@
+"""Trees from dotted paths, and index builds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators import pages, toc, tree
+from quire.plans import build
+from quire.plans.options import Options
+from quire.plans.reasoner import RuleReasoner
+from quire.queries.outline import _PAD, _RANGES, COLLAPSE, NL, SQUASH, ranges
+from quire.queries.registry import query
+from quire.sources import views as v
+from quire.sources.views import with_views
+
+# Items with duplicate paths, children before their parents, and missing paths.
+_ITEMS = f"""{_RANGES}, it AS (SELECT doc_id, idx, CASE WHEN idx % 11 = 10 THEN NULL WHEN idx % 7 = 5 THEN '1' WHEN idx % 9 = 8 THEN structure || '.1.2' ELSE structure END AS structure, title, start_index, end_index FROM ranges)"""
+_UP = """, cand AS (SELECT doc_id, idx, structure, title, start_index, end_index, CASE WHEN structure LIKE '%.%' THEN regexp_replace(structure, '\\.[^.]*$', '') END AS up FROM it),
+ par AS (SELECT c.doc_id, c.idx, c.structure, c.title, c.start_index, c.end_index, max(p.idx) AS parent_idx FROM cand c LEFT JOIN it p ON p.doc_id = c.doc_id AND p.structure = c.up AND p.idx < c.idx GROUP BY ALL)"""
+_WALK = f""", walk AS (SELECT doc_id, idx, parent_idx, 0 AS depth, [idx] AS path FROM par WHERE parent_idx IS NULL UNION ALL SELECT p.doc_id, p.idx, p.parent_idx, w.depth + 1, list_append(w.path, p.idx) FROM par p JOIN walk w ON w.doc_id = p.doc_id AND w.idx = p.parent_idx),
+ tree AS (SELECT p.*, w.depth, cast(row_number() OVER (PARTITION BY p.doc_id ORDER BY w.path) - 1 AS INTEGER) AS ord FROM par p JOIN walk w USING (doc_id, idx)),
+ nodes AS (SELECT *, {_PAD.format('ord')} AS node_id FROM tree)"""
+_VIEWS = ("page_list", "toc")
+_TREE = f"{_ITEMS}{_UP}{_WALK}"
+
+
+def sql(body: str) -> str:
+    return with_views(*_VIEWS, body=body)
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("structure")
+    odd = F.when(F.col("idx") % 11 == 10, F.lit(None)).when(F.col("idx") % 7 == 5, "1").when(F.col("idx") % 9 == 8, F.concat(s, F.lit(".1.2"))).otherwise(s)
+    return ranges(spark, sf).withColumn("structure", odd)
+
+
+def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes in pre-order, with parents and ids."""
+    return tree.with_order(tree.with_parents(items(spark, sf)))
+
+
+@query(sql(f"{_ITEMS}{_UP} SELECT doc_id, idx, structure, cast(parent_idx AS INTEGER) AS parent_idx FROM par"))
+def tree_path_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """Parents by dotted path, the latest earlier item winning."""
+    return tree.with_parents(items(spark, sf)).select("doc_id", "idx", "structure", "parent_idx")
+
+
+@query(sql(f"{_TREE} SELECT doc_id, idx, cast(depth AS INTEGER) AS depth, ord, node_id FROM nodes"))
+def tree_node_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth, pre-order place and padded id."""
+    return nodes(spark, sf).select("doc_id", "idx", "depth", "ord", "node_id")
+
+
+@query(sql(f"{_TREE} SELECT n.doc_id, n.node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = n.doc_id AND c.parent_idx = n.idx)"))
+def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: nodes without children."""
+    return tree.leaves(nodes(spark, sf)).select("doc_id", "node_id")
+
+
+@query(sql(f"{_TREE} SELECT d.doc_id, i.node_id, coalesce(bool_or(n.node_id IS NOT NULL AND c.idx IS NULL), false) AS is_leaf FROM (SELECT DISTINCT doc_id FROM it) d CROSS JOIN (VALUES ('0000'), ('0003'), ('9999')) i(node_id) LEFT JOIN nodes n ON n.doc_id = d.doc_id AND n.node_id = i.node_id LEFT JOIN nodes c ON c.doc_id = d.doc_id AND c.parent_idx = n.idx GROUP BY ALL"))
+def tree_is_leaf(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether given ids are leaves; unknown ones are not."""
+    n = nodes(spark, sf)
+    asked = n.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, ("0000", "0003", "9999")))).alias("node_id"))
+    return tree.is_leaf(n, asked)
+
+
+@query(sql(f"{_TREE} SELECT doc_id, arg_max(node_id, ord) AS node_id, arg_max(title, ord) AS title FROM nodes WHERE depth = 0 GROUP BY doc_id"))
+def tree_last_root(spark: SparkSession, sf: str) -> DataFrame:
+    """The last top-level node."""
+    return tree.last_root(nodes(spark, sf))
+
+
+@query(sql(f"{_TREE} SELECT doc_id, string_agg(repeat('  ', depth) || '[' || node_id || '] ' || title || ' (p' || start_index || '-' || end_index || ')', {NL} ORDER BY ord) AS tree FROM nodes GROUP BY doc_id"))
+def tree_render(spark: SparkSession, sf: str) -> DataFrame:
+    """The outline as indented lines with ids and page ranges."""
+    return tree.rendered(nodes(spark, sf))
+
+
+_TEXTS = f"""{_TREE}, txt AS (SELECT n.doc_id, n.idx, n.ord, n.node_id, n.depth, n.parent_idx, n.title, n.start_index, n.end_index, coalesce(string_agg(p.text, '' ORDER BY p.page_no), '') AS text, cast(coalesce(sum(p.n_tokens), 0) AS INTEGER) AS n_tokens
+ FROM nodes n LEFT JOIN pl p ON p.doc_id = n.doc_id AND p.page_no BETWEEN n.start_index AND n.end_index GROUP BY ALL)"""
+
+
+def text_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.with_text(nodes(spark, sf), v.page_list(spark, sf))
+
+
+@query(sql(f"{_TEXTS}, s AS (SELECT *, {COLLAPSE.format('text')} AS x FROM txt), e AS (SELECT *, CASE WHEN length(x) > 220 THEN rtrim(x[1:217]) || '...' ELSE x END AS e FROM s), "
+           f"f AS (SELECT *, CASE WHEN length(e) > 180 THEN rtrim(e[1:177]) || '...' ELSE e END AS about FROM e) "
+           f"SELECT doc_id, string_agg(repeat('  ', depth) || '[' || node_id || '] ' || title || ' (p' || start_index || '-' || end_index || ')' || CASE WHEN about <> '' THEN {NL} || repeat('  ', depth) || '  - ' || about ELSE '' END, {NL} ORDER BY ord) AS tree FROM f GROUP BY doc_id"))
+def tree_render_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The outline with excerpts of the nodes' texts."""
+    return tree.rendered(text_nodes(spark, sf))
+
+
+@query(sql(f"{_TREE}, g AS (SELECT *, repeat(title || ' ', 8) AS summary FROM nodes) SELECT doc_id, string_agg(repeat('  ', depth) || '[' || node_id || '] ' || title || ' (p' || start_index || '–' || end_index || ')' || {NL} || repeat('  ', depth) || '     └ ' || CASE WHEN length(summary) > 120 THEN summary[1:120] || '…' ELSE summary END, {NL} ORDER BY ord) AS tree FROM g GROUP BY doc_id"))
+def tree_render_glyph(spark: SparkSession, sf: str) -> DataFrame:
+    """The outline with glyphs and cut summaries."""
+    return tree.rendered(nodes(spark, sf).withColumn("summary", F.expr("repeat(title || ' ', 8)")), "glyph")
+
+
+@query(sql(f"{_TREE} SELECT doc_id, string_agg(repeat('  ', depth) || title, {NL} ORDER BY ord) AS tree FROM nodes GROUP BY doc_id"))
+def tree_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles by depth."""
+    return tree.rendered(nodes(spark, sf), "titles")
+
+
+@query(sql(f"{_TEXTS} SELECT doc_id, node_id, text, n_tokens FROM txt"))
+def tree_node_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages of each node's range joined."""
+    return text_nodes(spark, sf).select("doc_id", "node_id", "text", "n_tokens")
+
+
+@query(sql(f"{_TEXTS} SELECT doc_id, node_id, start_index, end_index, n_tokens FROM txt WHERE end_index - start_index > 1 AND n_tokens >= 150"))
+def tree_large_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """T13's test: nodes over a page and over a token limit."""
+    return tree.large_nodes(text_nodes(spark, sf), 1, 150).select("doc_id", "node_id", "start_index", "end_index", "n_tokens")
+
+
+@query(sql(f"{_TEXTS} SELECT doc_id, node_id, n_tokens FROM txt WHERE n_tokens > 400"))
+def token_limit_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes over a token limit."""
+    return tree.over_limit(text_nodes(spark, sf), 400).select("doc_id", "node_id", "n_tokens")
+
+
+@query(sql(f"{_TREE} SELECT title, node_id, start_index FROM nodes"))
+def node_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns dropped, then kept in a given order where they exist."""
+    return tree.projected(tree.without(nodes(spark, sf), "text", "end_index"), "title", "node_id", "summary", "start_index", "end_index")
+
+
+@query(sql(f"{_TREE}, reach AS (SELECT doc_id, idx AS top, idx, end_index FROM nodes UNION ALL SELECT r.doc_id, r.top, n.idx, n.end_index FROM reach r JOIN nodes n ON n.doc_id = r.doc_id AND n.parent_idx = r.idx) SELECT doc_id, top AS idx, max(end_index) AS subtree_end_index FROM reach GROUP BY ALL"))
+def tree_subtree_end(spark: SparkSession, sf: str) -> DataFrame:
+    """The last page of a node or anything below it."""
+    return tree.subtree_end(nodes(spark, sf)).select("doc_id", "idx", "subtree_end_index")
+
+
+# Verification and repair, on items whose places are partly wrong.
+
+_WRONG = ", w AS (SELECT doc_id, idx, structure, title, page_num, cast(CASE WHEN idx % 4 = 1 THEN physical_index + 2 ELSE physical_index END AS INTEGER) AS physical_index FROM toc), sz AS (SELECT doc_id, max(page_no) AS n FROM pl GROUP BY doc_id), b AS (SELECT w.*, n FROM w JOIN sz USING (doc_id))"
+_CHECK = f"""{_WRONG}, bb AS (SELECT doc_id, idx, title, n, CASE WHEN physical_index <= n THEN physical_index END AS p FROM b),
+ ck AS (SELECT bb.*, CASE WHEN p IS NOT NULL THEN contains({SQUASH.format('pl.text')}, {SQUASH.format('bb.title')}) AND bb.title <> '' END AS correct FROM bb LEFT JOIN pl ON pl.doc_id = bb.doc_id AND pl.page_no = bb.p),
+ md2 AS (SELECT doc_id, arg_max(p, idx) >= any_value(n) / 2 AS reaches_middle, avg(CASE WHEN correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE correct IS NOT NULL) AS a FROM ck GROUP BY doc_id)"""
+RULES = RuleReasoner()
+
+
+def checked(spark: SparkSession, sf: str) -> DataFrame:
+    p = v.page_list(spark, sf)
+    wrong = F.when(F.col("idx") % 4 == 1, F.col("physical_index") + 2).otherwise(F.col("physical_index"))
+    its = v.toc_items(spark, sf).select("doc_id", "idx", "structure", "title", "page_num", wrong.alias("physical_index"))
+    return build.verified(toc.within_pages(its, build.sizes(p)), p, RULES)
+
+
+@query(sql(f"{_CHECK} SELECT doc_id, idx, correct, reaches_middle, round_even(CASE WHEN reaches_middle THEN coalesce(a, 0) ELSE 0 END, 6) AS accuracy FROM ck JOIN md2 USING (doc_id)"))
+def verify_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Items checked against their pages, and the share that holds."""
+    return checked(spark, sf).select("doc_id", "idx", "correct", "reaches_middle", F.bround("accuracy", 6).alias("accuracy"))
+
+
+@query(sql(f"""{_CHECK}, span AS (SELECT a.doc_id, a.idx, a.title, a.n, a.p, a.correct,
+  coalesce((SELECT arg_max(x.p, x.idx) FROM ck x WHERE x.doc_id = a.doc_id AND x.idx < a.idx AND x.correct), 0) AS lo, coalesce((SELECT arg_min(x.p, x.idx) FROM ck x WHERE x.doc_id = a.doc_id AND x.idx > a.idx AND x.correct), a.n) AS hi FROM ck a),
+ hit AS (SELECT s.doc_id, s.idx, min(pl.page_no) AS found FROM span s JOIN pl ON pl.doc_id = s.doc_id AND pl.page_no BETWEEN s.lo AND s.hi WHERE NOT s.correct AND contains({SQUASH.format('pl.text')}, {SQUASH.format('s.title')}) AND s.title <> '' GROUP BY ALL)
+ SELECT s.doc_id, s.idx, CASE WHEN NOT coalesce(correct, true) AND found IS NOT NULL THEN found ELSE p END AS physical_index, CASE WHEN found IS NOT NULL THEN true ELSE correct END AS correct FROM span s LEFT JOIN hit USING (doc_id, idx)"""))
+def fix_incorrect(spark: SparkSession, sf: str) -> DataFrame:
+    """Wrong items looked for between their right neighbours."""
+    return build.fixed(checked(spark, sf), v.page_list(spark, sf), RULES).select("doc_id", "idx", "physical_index", "correct")
+
+
+@query(sql(f""", asked AS (SELECT doc_id, idx, title FROM toc), s AS (SELECT doc_id, max(page_no) AS n FROM pl GROUP BY doc_id)
+ SELECT a.doc_id, a.idx, min(pl.page_no) AS physical_index FROM asked a LEFT JOIN pl ON pl.doc_id = a.doc_id AND contains({SQUASH.format('pl.text')}, {SQUASH.format('a.title')}) AND a.title <> '' GROUP BY ALL"""))
+def locate_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Items without printed pages, on the first page with their title."""
+    return build.with_contents(v.toc_items(spark, sf), v.page_list(spark, sf), RULES).select("doc_id", "idx", "physical_index")
+
+
+@query()
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """The outline index of every document from its pages."""
+    return build.index_documents(v.page_list(spark, sf))
+
+
+@query()
+def split_large_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """An index whose oversized nodes were indexed again."""
+    return build.index_documents(v.page_list(spark, sf), Options.of(max_pages_per_node=3, max_tokens_per_node=150, add_node_summary=False))
+
+
+@query()
+def mode_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that begin with a contents page, through all modes."""
+    its = v.toc_items(spark, sf).where(F.col("title").rlike(r"^[A-Z][a-z]+( [a-z]+){1,4}$"))
+    line = F.concat("structure", F.lit(" "), "title", F.lit(" ........ "), F.col("physical_index").cast("string"))
+    front = its.withColumn("line", line).groupBy("doc_id").agg(pages.in_order("idx", "line", "\n").alias("text")).select("doc_id", F.lit(1).alias("page_no"), "text", F.lit(10).alias("n_tokens"))
+    body = v.page_list(spark, sf).withColumn("page_no", F.col("page_no") + 1).join(front.select("doc_id"), "doc_id", "left_semi")
+    return build.cascade(front.unionByName(body), RULES, Options())
