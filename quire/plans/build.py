@@ -212,18 +212,19 @@ def split_large(nodes: DataFrame, pages: DataFrame, r: Reasoner, o: Options, rou
     return nodes
 
 
-def index_documents(pages: DataFrame, options: Options | None = None, reasoner: Reasoner | None = None) -> DataFrame:
+def index_documents(pages: DataFrame, options: Options | None = None, reasoner: Reasoner | None = None, splitter: Reasoner | None = None) -> DataFrame:
     """The outline index of every document as flat node rows.
 
     ``pages(doc_id, page_no, text, n_tokens)`` -> ``doc_id, ord, node_id, parent_ord, depth,
     structure, title, start_index, end_index, n_tokens, summary, text`` as the options ask.
+    ``splitter`` looks for headings inside oversized nodes; the reasoner itself by default.
     """
     o, r = options or Options(), reasoner or RuleReasoner()
     pages = pages.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "text", F.col("n_tokens").cast("int").alias("n_tokens"))
     items = toc.with_preface(cascade(pages, r, o).select(*ITEM, "mode"))
     ends = sizes(pages).withColumnRenamed("n_pages", "last_page")
     flat = finished(items, pages, ends, r).select("doc_id", "idx", "structure", "title", "start_index", "end_index", "mode").withColumn("split", F.lit(False))
-    flat = split_large(cut(flat), pages, r, o).drop("split")
+    flat = split_large(cut(flat), pages, splitter or r, o).drop("split")
     nodes = tree.with_parent_ord(tree.with_order(tree.with_parents(flat)))
     nodes = pg.with_text(nodes, pages)
     if o.add_node_summary:

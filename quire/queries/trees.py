@@ -182,8 +182,9 @@ def index_build(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def split_large_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """An index whose oversized nodes were indexed again."""
-    return build.index_documents(v.page_list(spark, sf), Options.of(max_pages_per_node=3, max_tokens_per_node=150, add_node_summary=False))
+    """An index of few headings whose oversized nodes were indexed again with more."""
+    o = Options.of(max_pages_per_node=3, max_tokens_per_node=150, add_node_summary=False)
+    return build.index_documents(v.page_list(spark, sf), o, RuleReasoner(heading_words=3), RuleReasoner(heading_words=12))
 
 
 @query()
