@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df
+
+
+def portions(text: pa.Array, size: int = 4_000_000) -> Iterator[list[str | None]]:
+    """The texts of a batch in lists of about ``size`` code points, so that work on many at once stays bounded."""
+    held, n = [], 0
+    for t in text:
+        held.append(t.as_py())
+        n += len(held[-1] or "")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, has_at_most, small_batches
+from quire.llm.common import col, has_at_most, portions, small_batches
 
 #: Bound of the training sample: documents of each language, and hashed grams.
 SAMPLE_PER_LANGUAGE, BUCKETS = 400, 1 << 16
@@ -29,7 +29,7 @@ SAMPLE_PER_LANGUAGE, BUCKETS = 400, 1 << 16
 SCRIPT_SHARE = 0.02
 SWITCH_PENALTY = 14.0
 #: Entries of a task's dictionary of scored words.
-DICTIONARY = 400_000
+DICTIONARY = 200_000
 GRAMS = 4
 #: First and last code point of the scripts told apart.
 SCRIPTS = {
@@ -70,8 +70,8 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     owner = np.repeat(np.arange(len(words)), size)
     is_letter = letter[code]
     letters = np.bincount(owner, is_letter, len(words)).astype(np.int64)
-    votes = np.zeros((len(words), len(SCRIPTS) + 1), np.int32)
-    np.add.at(votes, (owner[is_letter], script[code[is_letter]]), 1)
+    kinds = len(SCRIPTS) + 1
+    votes = np.bincount(owner[is_letter] * kinds + script[code[is_letter]], minlength=len(words) * kinds).reshape(-1, kinds)
     grams, owners = [], []
     h = np.zeros(len(code), np.uint64)
     for n in range(1, GRAMS + 1):
@@ -129,14 +129,24 @@ class LanguageModel:
             self._rows = [(np.concatenate([r[0] for r in self._rows]), np.concatenate([r[1] for r in self._rows]))]
         return self._rows[0] if self._rows else (np.zeros((0, len(self.langs))), np.zeros(0, np.int64))
 
-    def label(self, s: np.ndarray) -> np.ndarray:
-        """Best language of each word under the switching penalty."""
-        best = int(s.sum(axis=0).argmax())
-        run = np.cumsum(s - s[:, best : best + 1], axis=0)
-        low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), run[:-1]]), axis=0)
-        if (run - low).max(initial=0.0) <= self.penalty:
-            return np.full(len(s), best)
-        return viterbi(s, self.penalty)
+    def labels(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Best language of each word of each text under the switching penalty."""
+        out, hard = [], []
+        for s in scores:
+            best = int(s.sum(axis=0).argmax())
+            run = np.cumsum(s - s[:, best : best + 1], axis=0)
+            low = np.minimum(np.minimum.accumulate(run, axis=0), 0.0)
+            # What a stretch in another language wins over the best one, at most.
+            if (run[1:] - low[:-1]).max(initial=run[:1].max(initial=0.0)) > self.penalty:
+                hard.append(len(out))
+            out.append(np.full(len(s), best))
+        hard.sort(key=lambda k: -len(out[k]))
+        while hard:  # as many texts side by side as 32 MB of back pointers allow
+            room = max(1, (32 << 20) // (len(out[hard[0]]) * len(self.langs)))
+            now, hard = hard[:room], hard[room:]
+            for k, path in zip(now, viterbi([scores[k] for k in now], self.penalty)):
+                out[k] = path
+        return out
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, str]]:
         """``(lang, score, spans)`` of each text; spans are ``start:end:lang``, comma-joined."""
@@ -146,22 +156,21 @@ class LanguageModel:
         docs = [(t or "").split() for t in texts]
         score, letters = self._lookup(docs)
         row = self._row
-        for text, words in zip(texts, docs):
-            at = np.fromiter(map(row.__getitem__, words), np.int64, len(words))
-            n = letters[at]
-            total = int(n.sum())
-            if not total:
+        at = [np.fromiter(map(row.__getitem__, words), np.int64, len(words)) for words in docs]
+        some = [k for k, x in enumerate(at) if letters[x].any()]
+        paths = dict(zip(some, self.labels([score[at[k]] for k in some])))
+        for k, (text, x) in enumerate(zip(texts, at)):
+            if k not in paths:
                 yield "und", 0.0, ""
                 continue
-            s = score[at]
-            path = self.label(s)
+            n, path = letters[x], paths[k]
             share = np.bincount(path, n, len(self.langs))
-            k = int(share.argmax())
-            # Letters that the winner labels, damped where its lead per word is small.
-            lead = s[path == k].sum(axis=0)
-            rest = np.delete(lead, k)
-            sure = 1.0 if not len(rest) else 1.0 / (1.0 + np.exp(-min(50.0, lead[k] - rest.max())))
-            yield self.langs[k], float(share[k] / total * sure), self._spans(text, path)
+            best = int(share.argmax())
+            # Letters that the winner labels, damped where its lead over them is small.
+            lead = score[x[path == best]].sum(axis=0)
+            rest = np.delete(lead, best)
+            sure = 1.0 if not len(rest) else 1.0 / (1.0 + np.exp(-min(50.0, lead[best] - rest.max())))
+            yield self.langs[best], float(share[best] / n.sum() * sure), self._spans(text, path)
 
     def _spans(self, text: str, path: np.ndarray) -> str:
         cuts = np.flatnonzero(path[1:] != path[:-1]) + 1
@@ -178,22 +187,33 @@ class LanguageModel:
         return ",".join(f"{a}:{b}:{self.langs[path[i]]}" for a, b, i in zip(bounds, bounds[1:], [0, *cuts]))
 
 
-def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
-    """Best path through scores (words x languages) that pays ``penalty`` for each switch."""
-    n, k = s.shape
-    came = np.empty((n, k), np.int32)
-    v, own = s[0].copy(), np.arange(k)
+def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Best paths through scores (words x languages), longest text first, paying ``penalty`` for each switch.
+
+    All texts advance together, one word at a time.
+    """
+    size = np.array([len(s) for s in scores])
+    flat, first = np.concatenate(scores), np.cumsum(size) - size
+    n, (d, k) = int(size[0]), (len(scores), flat.shape[1])
+    active = np.searchsorted(-size, -np.arange(n), "left")  # texts that are longer than each place
+    switch, source = np.zeros((n, d, k), bool), np.zeros((n, d), np.int32)
+    v = flat[first].copy()
     for i in range(1, n):
-        j = int(v.argmax())
-        move = v[j] - penalty
-        switch = v < move
-        came[i] = np.where(switch, j, own)
-        v = np.where(switch, move, v) + s[i]
-    path = np.empty(n, np.int64)
-    path[-1] = int(v.argmax())
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = came[i, path[i]]
-    return path
+        m = active[i]
+        now = v[:m]
+        j = now.argmax(axis=1)
+        move = now[np.arange(m), j] - penalty
+        switch[i, :m] = now < move[:, None]
+        source[i, :m] = j
+        v[:m] = np.maximum(now, move[:, None]) + flat[first[:m] + i]
+    paths = np.empty(len(flat), np.int64)
+    state = v.argmax(axis=1)
+    for i in range(n - 1, -1, -1):
+        m = active[i]
+        paths[first[:m] + i] = state[:m]
+        if i:
+            state[:m] = np.where(switch[i, np.arange(m), state[:m]], source[i, :m], state[:m])
+    return np.split(paths, first[1:])
 
 
 _COUNTS = "lang string, grams binary, scripts binary"
@@ -262,8 +282,8 @@ def identify(text: Column, model: LanguageModel, session) -> Column:
     def labelled(text: pa.Array) -> pa.Array:
         m = shared.value
         out = [[], [], [], []]
-        for i in range(0, len(text), 256):
-            for lang, score, spans in m.predict(text.slice(i, 256).to_pylist()):
+        for part in portions(text):
+            for lang, score, spans in m.predict(part):
                 for x, v in zip(out, (lang, score, spans.count(",") + 1 if spans else 0, spans)):
                     x.append(v)
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.string())

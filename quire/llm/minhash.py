@@ -131,7 +131,7 @@ def _sketch(text: pa.Array) -> pa.Array:
     )
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=16)
 def _set(text: str | None) -> frozenset[bytes]:
     return frozenset(shingle_set(text))
 

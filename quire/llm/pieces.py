@@ -32,13 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, cut, small_batches
+from quire.llm.common import col, cut, portions, small_batches
 
 #: Code points above which a text is cut, of a chunk, and chunks that one task combines.
 GIANT, CHUNK, FAN = 32_768, 8_192, 64
 MARK = "▁"
 #: Entries of a task's dictionary of encoded words.
-DICTIONARY = 500_000
+DICTIONARY = 350_000
 START = END = -1
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -144,9 +144,19 @@ def split_words(text: str) -> list[str]:
     return _UNIT.findall(normal(text))
 
 
-def syncs(text: str, lo: int, hi: int) -> list[int]:
-    """Places from lo to hi, hi left out, that no piece reaches across."""
-    return [m.start() + 1 for m in re.compile(f"[^{MARK}]{MARK}").finditer(text, max(0, lo - 1), min(len(text), hi + 1)) if lo <= m.start() + 1 < hi]
+_SYNC = re.compile(f"[^{MARK}]{MARK}")
+
+
+def syncs(text: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """First and last place behind ``lo`` and before ``hi`` that no piece reaches across."""
+    m = _SYNC.search(text, lo, hi)
+    if m is None:
+        return None
+    last = hi
+    while True:
+        last = text.rfind(MARK, lo + 1, last)
+        if text[last - 1] != MARK:
+            return m.start() + 1, last
 
 
 class Chunk:
@@ -158,8 +168,7 @@ class Chunk:
 
     def __init__(self, model: Pieces, text: str, lo: int, hi: int, first: bool, last: bool):
         self.m, self.text, self.lo, self.hi, self.first, self.last = model, text, lo, hi, first, last
-        s = [p for p in syncs(text, lo, hi) if p > lo]
-        self.sync = (s[0], s[-1]) if s else None
+        self.sync = syncs(text, lo, hi)
 
     def states(self, at: int) -> list[int]:
         """All states at a boundary inside the text."""
@@ -395,8 +404,8 @@ def encode_small(text: Column, path: str) -> Column:
 
     def encoded(text: pa.Array) -> pa.Array:
         m, out = pieces(path), []
-        for i in range(0, len(text), 256):
-            out += encode_whole(m, text.slice(i, 256).to_pylist())
+        for part in portions(text):
+            out += encode_whole(m, part)
         size = np.cumsum([0, *(len(x) // 4 for x in out)])
         values = pa.Array.from_buffers(pa.int32(), int(size[-1]), [None, pa.py_buffer(b"".join(out))])
         return pa.ListArray.from_arrays(pa.array(size, pa.int32()), values)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, small_batches
+from quire.llm.common import col, portions, small_batches
 
 #: Entries of a task's dictionary of pre-tokens (about 150 bytes each).
 DICTIONARY = 1_500_000
@@ -74,8 +74,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     @F.arrow_udf("bigint")
     def counted(text: pa.Array) -> pa.Array:
         out: list[int] = []
-        for i in range(0, len(text), 512):
-            out += count_tokens(vocabulary, text.slice(i, 512).to_pylist())
+        for part in portions(text):
+            out += count_tokens(vocabulary, part)
         return pa.array(out, pa.int64())
 
     text = F.coalesce(col(text_col), F.lit(""))

@@ -15,7 +15,7 @@ def brute(rows, items, model):
     """The same decisions, one after another, in plain Python."""
     kept = []
     for (i, t), (lang, score, _) in zip(rows, model.predict([t for _, t in rows])):
-        if lang != "und" and score >= 0.5:
+        if lang != "und" and score >= 1 / 3:
             kept.append((i, t))
     parent = {i: i for i, _ in kept}
 
