@@ -21,13 +21,13 @@ from quire.llm import decontaminate, language, minhash, pieces, secrets
 from quire.llm.common import col, has_at_most, small_batches, table
 
 #: Share of a text's letters in one language below which the text is rejected.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 1 / 3
 #: Ids up to which a list of dropped documents is broadcast.
 BROADCAST_IDS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language of their own: no letters, or no language with half of them."""
+    """Drop documents without a language of their own: no letters, or no language with a third of them."""
     model = language.train(docs)
     found = small_batches(docs).withColumn("__language", language.identify(col("text"), model, spark))
     clear = (F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SCORE)
