@@ -12,14 +12,13 @@
 4. Those pairs are confirmed on the full word shingles of both texts, and the
    links give components.
 
-A bucket of n near copies would have n * n / 2 pairs, so they never leave a task. The
-first round emits stars only (each member against the first one it may be linked
-with) and confirms them on the texts, which joins most copies. The second round
-looks again at the buckets that still hold two components: every block gets the full
-shingle sets of its members, confirms all pairs between components that reach the
-estimate inside the task, and emits at most one confirmed link for each join of two
-components. Pairs inside one component cannot change the result; no others are left
-out.
+A bucket of n near copies would have n * n / 2 pairs, so they are never emitted. The
+first round pairs every member of a bucket with its smallest id only, estimates and
+confirms these pairs, which joins most copies. The second round looks again at the
+buckets that still hold two components: every block gets the full shingle sets of its
+members, confirms all pairs between components that reach the estimate inside the task,
+and emits at most one confirmed link for each join of two components. Pairs inside one
+component cannot change the result; no others are left out.
 """
 
 from __future__ import annotations
@@ -95,8 +94,8 @@ def pack(low: np.ndarray) -> bytes:
 
 
 def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarity of one packed signature with others (rows of uint64)."""
-    x = one[None, :] ^ many
+    """Collision-corrected similarity of packed signatures (rows of uint64): one with many, or row by row."""
+    x = np.atleast_2d(one) ^ many
     half = x.shape[1] // BITS
     differ = np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1)
     chance = 2.0**-BITS
@@ -149,20 +148,10 @@ def _jaccard_udf(threshold: int):
     return linked
 
 
-def _star(floor: float, ids: np.ndarray, sig: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stars of one block: the first member that is left takes all it may be linked with.
-
-    ``left`` is all true if the block lies on the diagonal, else it tells the two sides apart.
-    """
-    diagonal, rest = bool(left.all()), np.arange(len(ids))
-    while len(rest) > 1:
-        seed, others = rest[0], rest[1:]
-        near = estimate(sig[seed], sig[others]) >= floor
-        if not diagonal:
-            near &= left[others] != left[seed]
-        for y in others[near]:
-            yield int(ids[seed]), int(ids[y])
-        rest = others[~near]
+def _estimates(u: pa.Array, v: pa.Array) -> pa.Array:
+    """Estimates of pairs of packed signatures."""
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) for x in (u, v))
+    return pa.array(estimate(a, b), pa.float64())
 
 
 def _confirmed(threshold: int, floor: float, ids: np.ndarray, sig: np.ndarray, left: np.ndarray, label: np.ndarray, texts: list) -> Iterator[tuple[int, int]]:
@@ -195,7 +184,7 @@ def _confirmed(threshold: int, floor: float, ids: np.ndarray, sig: np.ndarray, l
                 yield int(ids[i]), int(ids[j])
 
 
-def _blocks(threshold: int, floor: float, confirm: bool):
+def _blocks(threshold: int, floor: float):
     """mapInArrow over rows sorted by (band, x, y): one block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +211,7 @@ def _blocks(threshold: int, floor: float, confirm: bool):
         pairs: set[tuple[int, int]] = set()
         bounds = [0, *ends.tolist(), len(t)]
         for lo, hi in zip(bounds, bounds[1:]):
-            block = ids[lo:hi], sig[lo:hi], blk[lo:hi] == x[lo]
-            found = _confirmed(threshold, floor, *block, label[lo:hi], t["text"][lo:hi].to_pylist()) if confirm else _star(floor, *block)
+            found = _confirmed(threshold, floor, ids[lo:hi], sig[lo:hi], blk[lo:hi] == x[lo], label[lo:hi], t["text"][lo:hi].to_pylist())
             for a, b in found:
                 if a != b:
                     pairs.add((min(a, b), max(a, b)))
@@ -233,8 +221,8 @@ def _blocks(threshold: int, floor: float, confirm: bool):
     return run
 
 
-def _in_blocks(members: DataFrame, more: DataFrame, threshold: int, floor: float, confirm: bool) -> DataFrame:
-    """members(band, rep, m, label) and what a block needs of each rep -> pairs (u, v)."""
+def _in_blocks(members: DataFrame, more: DataFrame, threshold: int, floor: float) -> DataFrame:
+    """members(band, rep, m, label) and what a block needs of each rep -> confirmed links (u, v) between labels."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
     blk = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     tiles = (
@@ -246,7 +234,7 @@ def _in_blocks(members: DataFrame, more: DataFrame, threshold: int, floor: float
         .repartition("band", "x", "y")
         .sortWithinPartitions("band", "x", "y", "rep")
     )
-    return tiles.mapInArrow(_blocks(threshold, floor, confirm), "u long, v long").distinct()
+    return tiles.mapInArrow(_blocks(threshold, floor), "u long, v long").distinct()
 
 
 def _named(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -286,14 +274,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_band = "PARTITION BY band"
     members = (
         classes.select("rep", F.explode("bands").alias("band"))
-        .selectExpr("band", "rep", f"count(*) OVER ({in_band}) AS m")
+        .selectExpr("band", "rep", f"count(*) OVER ({in_band}) AS m", f"min(rep) OVER ({in_band}) AS first")
         .where("m > 1")
     )
     members = cut(members)
     texts = ids.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
 
-    stars = cut(_in_blocks(members.withColumn("label", F.col("rep")), signatures, threshold, floor, confirm=False))
-    links = cut(_confirm(stars, texts, threshold))
+    stars = members.where("first <> rep").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct()
+    for side in ("u", "v"):
+        stars = stars.join(signatures.select(F.col("rep").alias(side), F.col("packed").alias(f"packed_{side}")), side)
+    near = F.arrow_udf(_estimates, "double")("packed_u", "packed_v") >= floor
+    links = cut(_confirm(cut(stars.where(near).select("u", "v")), texts, threshold))
     label = connected_components(links).withColumnRenamed("node", "rep")
     open_ = (
         members.join(label, "rep", "left")
@@ -301,11 +292,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .drop("component")
         .selectExpr("*", f"min(label) OVER ({in_band}) AS lo", f"max(label) OVER ({in_band}) AS hi")
         .where("lo <> hi")
-        .drop("lo", "hi")
+        .drop("lo", "hi", "first")
     )
     open_ = cut(open_)
     more = _named(texts, open_.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep").join(signatures, "rep")
-    links = cut(links.union(_in_blocks(open_, more, threshold, floor, confirm=True)))
+    links = cut(links.union(_in_blocks(open_, more, threshold, floor)))
     label = connected_components(links).withColumnRenamed("node", "rep")
     by_key = classes.select("key", "rep").join(label, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
