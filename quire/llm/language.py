@@ -117,9 +117,13 @@ class LanguageModel:
         out[letters == 0] = 0.0
         return out, letters
 
+    def forget(self) -> None:
+        """Drop the scored words."""
+        self._row, self._rows = {}, []
+
     def _lookup(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._row) > DICTIONARY:
-            self._row, self._rows = {}, []
+            self.forget()
         new = list(set().union(*docs).difference(self._row))
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
@@ -250,12 +254,15 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageM
     """
     rows = docs.select(col("doc_id").alias("doc_id"), col("lang").cast("string").alias("lang"), col("text").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    known = rows.where("text IS NOT NULL").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = F.broadcast(sizes) if has_at_most(sizes, 10_000) else sizes
+    # First about twice as many as needed by hash alone, so that no task orders a whole language.
     ids = (
-        rows.where("text IS NOT NULL").select("doc_id", "lang")
-        .selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id) AS n")
-        .where(F.col("n") <= per_language)
+        known.join(sizes, "lang").where(F.col("h") * F.col("n") < F.lit(2.0 * per_language * (1 << 31))).select("doc_id", "lang", "h").distinct()
+        .selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS k")
+        .where(F.col("k") <= per_language)
         .select("doc_id", "lang")
-        .distinct()
     )
     ids = F.broadcast(ids) if has_at_most(ids, 200_000) else ids
     sample = rows.join(ids, ["doc_id", "lang"], "left_semi")
@@ -279,15 +286,19 @@ def identify(text: Column, model: LanguageModel, session) -> Column:
     shared = session.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,n_spans:bigint,spans:string>")
-    def labelled(text: pa.Array) -> pa.Array:
+    def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        out = [[], [], [], []]
-        for part in portions(text):
-            for lang, score, spans in m.predict(part):
-                for x, v in zip(out, (lang, score, spans.count(",") + 1 if spans else 0, spans)):
-                    x.append(v)
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.string())
-        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["lang_pred", "score", "n_spans", "spans"])
+        try:
+            for text in batches:
+                out = [[], [], [], []]
+                for part in portions(text):
+                    for lang, score, spans in m.predict(part):
+                        for x, v in zip(out, (lang, score, spans.count(",") + 1 if spans else 0, spans)):
+                            x.append(v)
+                yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["lang_pred", "score", "n_spans", "spans"])
+        finally:  # a worker that waits for its next task holds no dictionary
+            m.forget()
 
     return labelled(text)
 

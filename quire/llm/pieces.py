@@ -91,6 +91,10 @@ class Pieces:
             self._follows[key] = tuple(self.raw.encode(a + b)) == self.ids(a) + self.ids(b)
         return self._follows[key]
 
+    def forget(self) -> None:
+        """Drop what was learned about words and neighbours."""
+        self.words.clear(), self._ids.clear(), self._follows.clear()
+
     def encode_words(self, texts: list[list[str]]) -> list[list[bytes]]:
         """Ids (int32, as bytes) of words of texts as ``split_words`` gives them; distinct ones are encoded once."""
         known = self.words
@@ -334,6 +338,7 @@ def _matrix(path: str):
         for d in it:
             rows = [Chunk(pieces(path), r.text, r.lo, r.hi, r.k == 0, r.k == r.n - 1).transfer() for r in d.itertuples()]
             yield _matrices(d[["key", "k"]], rows)
+        pieces(path).forget()
 
     return run
 
@@ -375,6 +380,7 @@ def _traced(path: str):
                 for r in d.itertuples()
             ]
             yield pd.DataFrame({"key": d["key"], "k": d["k"], "ids": ids})
+        pieces(path).forget()
 
     return run
 
@@ -402,13 +408,18 @@ def encode_giants(texts: DataFrame, path: str) -> DataFrame:
 def encode_small(text: Column, path: str) -> Column:
     """Ids of a text of at most ``GIANT`` code points; a null text has none."""
 
-    def encoded(text: pa.Array) -> pa.Array:
-        m, out = pieces(path), []
-        for part in portions(text):
-            out += encode_whole(m, part)
-        size = np.cumsum([0, *(len(x) // 4 for x in out)])
-        values = pa.Array.from_buffers(pa.int32(), int(size[-1]), [None, pa.py_buffer(b"".join(out))])
-        return pa.ListArray.from_arrays(pa.array(size, pa.int32()), values)
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = pieces(path)
+        try:
+            for text in batches:
+                out: list[bytes] = []
+                for part in portions(text):
+                    out += encode_whole(m, part)
+                size = np.cumsum([0, *(len(x) // 4 for x in out)])
+                values = pa.Array.from_buffers(pa.int32(), int(size[-1]), [None, pa.py_buffer(b"".join(out))])
+                yield pa.ListArray.from_arrays(pa.array(size, pa.int32()), values)
+        finally:  # a worker that waits for its next task holds no dictionary
+            m.forget()
 
     return F.arrow_udf(encoded, "array<int>")(text)
 

@@ -12,6 +12,7 @@ pre-token) pairs would move more than the texts themselves); when it has
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,8 +22,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import col, portions, small_batches
 
 #: Entries of a task's dictionary of pre-tokens (about 150 bytes each).
-DICTIONARY = 1_500_000
-_pieces: dict[str, dict[bytes, int]] = {}
+DICTIONARY = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -35,9 +35,9 @@ def _tokenizer(path: str):
     return t
 
 
-def count_tokens(path: str, texts: list[str | None]) -> list[int]:
-    """Number of tokens of each text; null counts as empty."""
-    known = _pieces.setdefault(path, {})
+def count_tokens(path: str, texts: list[str | None], known: dict[bytes, int] | None = None) -> list[int]:
+    """Number of tokens of each text; null counts as empty. ``known`` is the task's dictionary."""
+    known = {} if known is None else known
     freqs = [Counter((t or "").encode("utf-8", "surrogatepass").split()) for t in texts]
     out, todo, start = [], {}, 0
 
@@ -71,13 +71,15 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     each; other columns are ignored.
     """
 
-    @F.arrow_udf("bigint")
-    def counted(text: pa.Array) -> pa.Array:
-        out: list[int] = []
-        for part in portions(text):
-            out += count_tokens(vocabulary, part)
-        return pa.array(out, pa.int64())
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[bytes, int] = {}
+        for text in batches:
+            out: list[int] = []
+            for part in portions(text):
+                out += count_tokens(vocabulary, part, known)
+            yield pa.array(out, pa.int64())
 
+    counted = F.arrow_udf(counted, "bigint")
     text = F.coalesce(col(text_col), F.lit(""))
     return (
         small_batches(docs).select(col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("n_tokens"))
