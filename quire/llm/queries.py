@@ -83,4 +83,40 @@ SELECT cast(file AS BIGINT) AS file, cast(idx AS INTEGER) AS idx, page_id, 'chan
        digest_a, sha256(left(record, length(record) - 5) || chr(1) || {_NL} || {_NL}) AS digest_b
 FROM leaf WHERE page_id % {warc.DAMAGE_EVERY} = {warc.DAMAGE_AT}
 """
-ORACLES: dict[str, str] = {"op2_warc_fixity": _OP2}
+#: In these tables the article element holds the whole text; blocks are its headings and paragraphs.
+_OP4 = r"""
+WITH inside AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages
+), block AS (
+  SELECT page_id, url, unnest(generate_series(1, len(parts))) AS k, unnest(parts) AS part FROM inside
+), clean AS (
+  SELECT page_id, k, replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM block
+), tidy AS (
+  SELECT page_id, k, trim(regexp_replace(regexp_replace(t, '&amp$', '&'), '\s+', ' ', 'g')) AS t FROM clean
+), joined AS (
+  SELECT page_id, string_agg(t, chr(10) ORDER BY k) AS text FROM tidy WHERE t <> '' GROUP BY page_id
+)
+SELECT page_id, url, coalesce(text, '') AS text, cast(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN joined USING (page_id)
+"""
+#: All pairs that share a shingle, on exact sets, and reachability by recursion.
+_OP9 = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), place AS (
+  SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM word WHERE len(w) > 0
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM place
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_have FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT u, v FROM pair JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE 100 * both_have >= 75 * (x.n + y.n - both_have)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.v FROM reach r JOIN link l ON l.u = r.other
+), low AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, cast(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM low LEFT JOIN size USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op2_warc_fixity": _OP2, "op4_html_extraction": _OP4, "op9_minhash": _OP9}
