@@ -54,7 +54,7 @@ def full_context(pages: DataFrame) -> DataFrame:
 
 
 def chunk_spans(pages: DataFrame, max_tokens: int, overlap: int = 1) -> DataFrame:
-    """``doc_id, chunk_no, first_page, last_page, n_tokens``: greedy chunks under a budget.
+    """``doc_id, chunk_no, first_page, last_page, n_tokens``: greedy chunks under a budget.
 
     A document within the budget is one chunk. Otherwise chunks aim at the mean of an even
     part and the budget; each begins with the last ``overlap`` pages of the one before,

@@ -60,13 +60,22 @@ def within_pages(items: DataFrame, sizes: DataFrame, start: int = 1) -> DataFram
     return items.join(sizes, "doc_id").withColumn("physical_index", F.when(ok, F.col("physical_index"))).drop("n_pages")
 
 
+def sampled(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` items of each document, chosen by a seeded hash (O4). A sampling operator: nothing calls it unasked."""
+    order = F.row_number().over(_doc().orderBy(F.xxhash64("idx", F.lit(seed)), "idx"))
+    return items.withColumn("__n", order).where(F.col("__n") <= n).drop("__n")
+
+
 def located(items: DataFrame) -> DataFrame:
     """Items that have a physical page."""
     return items.where("physical_index IS NOT NULL")
 
 
 def neighbours(known: Column, before: Column, after: Column) -> tuple[Column, Column]:
-    """Nearest earlier and later known value by ``idx``, with defaults."""
+    """Nearest earlier and later known value by ``idx``, with defaults.
+
+    Values to leave out (X5) are passed as null.
+    """
     w = _doc().orderBy("idx")
     prev = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     next_ = F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))

@@ -114,7 +114,7 @@ def without(nodes: DataFrame, *names: str) -> DataFrame:
 
 
 def projected(nodes: DataFrame, *names: str) -> DataFrame:
-    """Keep the named columns that exist, in the given order."""
+    """Keep the named columns that exist, in the given order."""
     return nodes.select(*(c for c in names if c in nodes.columns))
 
 

@@ -23,7 +23,7 @@ ITEM = ["doc_id", "idx", "structure", "title", "page_num", "physical_index"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage between rounds, by a checkpoint where the session has a folder for it, else by caching."""
+    """Cut lineage between rounds, by a checkpoint where the session has a folder for it, else by caching."""
     sc = df.sparkSession.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None and named:
@@ -69,7 +69,7 @@ def first_mention(items: DataFrame, pages: DataFrame, r: Reasoner, lo: str, hi:
 
 
 def without_contents(pages: DataFrame, r: Reasoner, start: int = 1) -> DataFrame:
-    """Items from headings on the pages themselves (C4); numbered in page order."""
+    """Items from headings on the pages themselves (C4, R4); numbered in page order."""
     rows = pages.select("doc_id", "page_no", r.heading(F.col("text")).alias("title")).where("title IS NOT NULL")
     idx = F.row_number().over(_doc().orderBy("page_no")) - 1
     rows = rows.withColumn("idx", idx)

@@ -24,7 +24,7 @@ class Options:
 
     @classmethod
     def of(cls, **given) -> Options:
-        """Options from keyword arguments; null keeps the default, yes and no are read as booleans."""
+        """Options from keyword arguments (C14, X5); null keeps the default, yes and no are read as booleans."""
         kinds = {f.name: f.type for f in fields(cls)}
         unknown = sorted(set(given) - set(kinds))
         if unknown:

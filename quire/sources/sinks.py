@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 from pathlib import Path
 
@@ -56,6 +57,11 @@ def write_index(nodes: DataFrame, path: str, descriptions: DataFrame | None = No
     docs.select(F.concat(t.file_name(F.col("doc_name")), F.lit("_structure")).alias("doc_name"), F.col("json").alias("value")).write.partitionBy("doc_name").mode("overwrite").text(path)
 
 
+def run_name(stem: str, now: datetime.datetime | None = None) -> str:
+    """A file name for a run: the stem and its time, without slashes."""
+    return f"{stem.replace('/', '-')}_{(now or datetime.datetime.now()).strftime('%Y%m%d_%H%M%S')}"
+
+
 class RunLog:
     """An append-only log on the driver, rewritten every ``every`` entries and on close."""
 
