@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, small_batches
+from quire.llm.common import col, cut, has_at_most, small_batches
 
 Q, WINDOW, STRIDE, EDIT_SHARE = 10, 128, 64, 0.06
 #: Items with fewer bytes after normalisation are too short to be evidence.
 MIN_BYTES = 24
 #: Bytes of benchmark text that are indexed and broadcast at once; more is done in blocks.
 BLOCK_BYTES = 16_000_000
+#: Ids of contaminated documents up to which they are broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 _BITS = 22
 _U = np.uint64
 
@@ -246,5 +248,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any benchmark passage, all columns kept. Rows without doc_id stay."""
-    found = find_passages(docs, benchmark).select(F.col("doc_id").alias("__found")).distinct()
+    found = cut(find_passages(docs, benchmark).select(F.col("doc_id").alias("__found")).distinct())
+    found = F.broadcast(found) if has_at_most(found, BROADCAST_IDS) else found
     return docs.join(found, col("doc_id") == F.col("__found"), "left_anti")

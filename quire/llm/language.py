@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, has_at_most, portions, small_batches
+from quire.llm.common import col, cut, has_at_most, portions, small_batches
 
 #: Bound of the training sample: documents of each language, and hashed grams.
 SAMPLE_PER_LANGUAGE, BUCKETS = 400, 1 << 16
@@ -254,11 +254,12 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageM
     """
     rows = docs.select(col("doc_id").alias("doc_id"), col("lang").cast("string").alias("lang"), col("text").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    known = rows.where("text IS NOT NULL").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # Null texts may be drawn; they teach nothing, and only the narrow columns are read here.
+    known = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"))
+    sizes = cut(known.groupBy("lang").agg(F.count("*").alias("n")))
     sizes = F.broadcast(sizes) if has_at_most(sizes, 10_000) else sizes
     # First about twice as many as needed by hash alone, so that no task orders a whole language.
-    ids = (
+    ids = cut(
         known.join(sizes, "lang").where(F.col("h") * F.col("n") < F.lit(2.0 * per_language * (1 << 31))).select("doc_id", "lang", "h").distinct()
         .selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS k")
         .where(F.col("k") <= per_language)

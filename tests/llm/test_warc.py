@@ -2,7 +2,6 @@ import gzip
 import hashlib
 import random
 
-from pyspark.sql import functions as F
 
 from quire.llm import warc
 
