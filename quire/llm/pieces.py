@@ -38,7 +38,7 @@ from quire.llm.common import col, cut, portions, small_batches
 GIANT, CHUNK, FAN = 32_768, 8_192, 64
 MARK = "▁"
 #: Entries of a task's dictionary of encoded words.
-DICTIONARY = 350_000
+DICTIONARY = 250_000
 START = END = -1
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -406,22 +406,31 @@ def encode_giants(texts: DataFrame, path: str) -> DataFrame:
 
 
 def encode_small(text: Column, path: str) -> Column:
-    """Ids of a text of at most ``GIANT`` code points; a null text has none."""
+    """``struct<ids, same>`` of a text of at most ``GIANT`` code points; a null text has no ids.
+
+    ``same`` tells whether the ids, decoded, are the text again. Encoding and decoding share
+    one Python worker, so a task holds one model.
+    """
 
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = pieces(path)
         try:
             for text in batches:
-                out: list[bytes] = []
+                out, same = [], []
                 for part in portions(text):
-                    out += encode_whole(m, part)
+                    ids = encode_whole(m, part)
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                    data, stop = m.decode_all(np.frombuffer(b"".join(ids), np.int32), ends)
+                    back = data.tobytes()
+                    same += [back[a:b] == (t or "").encode("utf-8", "surrogatepass") for t, a, b in zip(part, stop, stop[1:])]
+                    out += ids
                 size = np.cumsum([0, *(len(x) // 4 for x in out)])
                 values = pa.Array.from_buffers(pa.int32(), int(size[-1]), [None, pa.py_buffer(b"".join(out))])
-                yield pa.ListArray.from_arrays(pa.array(size, pa.int32()), values)
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(size, pa.int32()), values), pa.array(same, pa.bool_())], names=["ids", "same"])
         finally:  # a worker that waits for its next task holds no dictionary
             m.forget()
 
-    return F.arrow_udf(encoded, "array<int>")(text)
+    return F.arrow_udf(encoded, "struct<ids:array<int>,same:boolean>")(text)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -443,20 +452,26 @@ def decode(ids: Column, path: str) -> Column:
     return F.arrow_udf(decoded, "string")(ids)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "piece_ids", same_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` and ``out_col array<int>`` (replaced if it exists).
 
+    ``same_col`` adds whether decoding gives the text back.
+
     Ids are those of the library for the whole text, without begin or end ids. A null
     or empty text gives an empty array. Equal giant texts are encoded once.
     """
-    names = [c for c in docs.columns if c != out_col]
+    names = [c for c in docs.columns if c not in (out_col, same_col)]
+    more = [out_col, *([same_col] if same_col else [])]
     text = col(text_col)
     rows = small_batches(docs).select(*map(col, names))
     small = F.coalesce(F.length(text) <= GIANT, F.lit(True))
-    few = rows.where(small).withColumn(out_col, encode_small(text, path))
+    few = rows.where(small).withColumn("__e", encode_small(text, path))
+    few = few.withColumn(out_col, F.col("__e.ids"))
+    few = (few.withColumn(same_col, F.col("__e.same")) if same_col else few).select(*map(col, [*names, *more]))
     giant = rows.where(~small).withColumn("__key", F.sha2(text, 256))
     done = encode_giants(giant.select(F.col("__key").alias("key"), text.alias("text")).dropDuplicates(["key"]), path)
-    many = giant.join(done.withColumnRenamed("key", "__key").withColumnRenamed("ids", out_col), "__key").select(*map(col, names), col(out_col))
+    many = giant.join(done.withColumnRenamed("key", "__key").withColumnRenamed("ids", out_col), "__key")
+    many = (many.withColumn(same_col, decode(col(out_col), path) == text) if same_col else many).select(*map(col, [*names, *more]))
     return few.unionByName(many)
 
 
@@ -469,9 +484,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     ignored.
     """
     rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    out = encode(rows, path)
+    out = encode(rows, path, same_col="round_trip")
     chunks = F.when(F.length("text") <= GIANT, 1).otherwise(F.ceil((F.length("text") + 1) / CHUNK)).cast("long")
-    return out.select(
-        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", chunks.alias("n_chunks"),
-        (decode(F.col("piece_ids"), path) == F.col("text")).alias("round_trip"),
-    )
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", chunks.alias("n_chunks"), "round_trip")
