@@ -1,12 +1,14 @@
 """Benchmark decontamination by q-gram lemma filtering (operator 8).
 
-Benchmark items, in lower case with single spaces, become windows of at most 128
-characters. In one pass over the texts every 10-byte q-gram is looked up; its hits
-fall on diagonals (place in the text minus place in the window), which are counted
-in overlapping bands. A window of m bytes that occurs with at most e edits shares
-at least ``m + 1 - q * (e + 1)`` q-grams with the text inside one band (the q-gram
-lemma), so only bands that reach this count are regions worth a look. Each region is
-verified by a banded alignment.
+Texts and benchmark items are taken in lower case with single spaces, as code points.
+A passage is any stretch of 128 code points of an item, at whatever offset (or the whole
+shorter item), and counts if it occurs in a text with at most 8 % edits. In one pass over
+the texts every 8-gram is looked up; its hits fall on diagonals (place in the text minus
+place in the item), which are counted in overlapping bands. A stretch of m code points
+that occurs with at most e edits shares at least ``m + 1 - q * (e + 1)`` q-grams with the
+text inside one band (the q-gram lemma), so only stretches that reach this count in a
+band are worth a look. Unbroken runs of hits are exact passages; every other stretch is
+verified by a banded alignment, many at a time.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import col, cut, has_at_most, small_batches
 
-Q, WINDOW, STRIDE, EDIT_SHARE = 10, 128, 64, 0.06
-#: Items with fewer bytes after normalisation are too short to be evidence.
-MIN_BYTES = 24
+Q, WINDOW, EDIT_SHARE = 8, 128, 0.08
+#: Items with fewer code points after normalisation are too short to be evidence.
+MIN_CHARS = 24
 #: Bytes of benchmark text that are indexed and broadcast at once; more is done in blocks.
 BLOCK_BYTES = 16_000_000
 #: Ids of contaminated documents up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _BITS = 22
 _U = np.uint64
+#: Alignments computed at once; a cost weighs _COST so that its start can ride below it.
+_BATCH, _COST, _INF = 2048, 1 << 12, 10_000 << 12
 
 
 def normal(text: str | None) -> str:
@@ -39,142 +43,197 @@ def normal(text: str | None) -> str:
 
 
 def budget(m: int) -> int:
-    """Edits that a window of m bytes may have; the lemma's count stays positive."""
+    """Edits that a stretch of m code points may have; the lemma's count stays positive."""
     return max(0, min(int(EDIT_SHARE * m), (m - Q) // Q))
 
 
-def windows(item: bytes) -> list[tuple[int, bytes]]:
-    """``(start, window)``: all of a short item, else overlapping windows up to its end."""
-    if len(item) < MIN_BYTES:
+def windows(item) -> list[tuple[int, bytes | str]]:
+    """``(start, window)``: every stretch of an item that counts as a passage; all of a short item."""
+    if len(item) < MIN_CHARS:
         return []
-    last = max(0, len(item) - WINDOW)
-    return [(s, item[s : s + WINDOW]) for s in sorted({*range(0, last, STRIDE), last})]
+    return [(s, item[s : s + WINDOW]) for s in range(max(0, len(item) - WINDOW) + 1)]
 
 
-def _keys(buf: bytes) -> np.ndarray:
-    """A 64-bit key for each q-gram of the bytes."""
-    n = len(buf) - Q + 1
-    if n <= 0:
+def points(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _keys(text: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each q-gram of the code points, from keys of 2, 4 and 8."""
+    if len(text) < Q:
         return np.zeros(0, np.uint64)
-    a = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
-    return (a[:n] * _U(0x9E3779B97F4A7C15)) ^ (a[Q - 8 : Q - 8 + n] * _U(0xC2B2AE3D27D4EB4F) >> _U(7)) * _U(0xFF51AFD7ED558CCD)
+    k = text.astype(np.uint64)
+    for step in (1, 2, 4):
+        k = (k[:-step] * _U(0x9E3779B97F4A7C15)) ^ (k[step:] * _U(0xC2B2AE3D27D4EB4F) >> _U(7)) * _U(0xFF51AFD7ED558CCD)
+    return k
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, value)`` of the ranges ``first .. first + n - 1``."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
 @dataclass
 class BenchmarkIndex:
-    """Windows of a block of items and where each of their q-grams occurs."""
+    """A block of items and where each of their q-grams occurs."""
 
     item: list[int]
-    start: list[int]
-    window: list[bytes]
+    text: list[np.ndarray]
 
     def __post_init__(self):
-        grams = [_keys(w) for w in self.window]
+        grams = [_keys(t) for t in self.text]
         key = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        win = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
         off = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(key, kind="stable")
         self.key, first, self.n = np.unique(key[order], return_index=True, return_counts=True)
-        self.first, self.win, self.off = first, win[order], off[order]
+        self.first, self.row, self.off = first, row[order], off[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.key >> _U(64 - _BITS)).astype(np.int64)] = True
-        self.edits = np.array([budget(len(w)) for w in self.window], np.int64)
-        self.least = np.array([len(w) + 1 - Q * (budget(len(w)) + 1) for w in self.window], np.int64)
+        self.length = np.array([len(t) for t in self.text], np.int64)
+        self.size = np.minimum(self.length, WINDOW)
+        self.edits = np.array([budget(int(m)) for m in self.size], np.int64)
+        self.least = self.size + 1 - Q * (self.edits + 1)
         self.step = int(self.edits.max(initial=0)) + 1
+        self.shift = int(self.length.max(initial=0)) + self.step  # no band is negative
+        self.flat = np.concatenate([*self.text, np.zeros(0, np.uint32)])
+        self.base = np.cumsum([0, *self.length])[:-1]
 
-    def regions(self, buf: bytes) -> np.ndarray:
-        """Rows ``(window, band)`` whose shared q-grams reach the lemma's count."""
+    def hits(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, place in the item, diagonal)`` of all q-grams that text and items share."""
         key = _keys(buf)
         pos = np.flatnonzero(self.seen[(key >> _U(64 - _BITS)).astype(np.int64)])
         if not len(pos) or not len(self.key):
-            return np.zeros((0, 2), np.int64)
+            return (np.zeros(0, np.int64),) * 3
         at = np.minimum(np.searchsorted(self.key, key[pos]), len(self.key) - 1)
         hit = self.key[at] == key[pos]
         pos, at = pos[hit], at[hit]
-        n = self.n[at]
-        each = np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        win, diagonal = self.win[each], np.repeat(pos, n) - self.off[each] + WINDOW
+        k, each = _ranges(self.first[at], self.n[at])
+        return self.row[each], self.off[each], pos[k] - self.off[each] + self.shift
+
+    def exact(self, row, off, diagonal) -> np.ndarray:
+        """Rows ``(row, start, diagonal)`` of stretches whose q-grams all lie on one diagonal."""
+        order = np.lexsort((off, diagonal, row))
+        row, off, diagonal = row[order], off[order], diagonal[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (diagonal[1:] != diagonal[:-1]) | (off[1:] != off[:-1] + 1)
+        head = np.flatnonzero(new)
+        run = np.diff(np.append(head, len(row)))
+        n = run - (self.size[row[head]] - Q)
+        head, n = head[n > 0], n[n > 0]
+        k, start = _ranges(off[head], n)
+        return np.stack([row[head][k], start, diagonal[head][k]], axis=1)
+
+    def regions(self, row, off, diagonal) -> np.ndarray:
+        """Rows ``(row, start, band)``: stretches that share as many q-grams with a band as the lemma asks."""
         band = diagonal // self.step
-        code = (win << 40) + band
+        code = (row << 40) + band
         code = np.concatenate([code, code - 1])  # each band reaches over two steps
         codes, back, count = np.unique(code, return_inverse=True, return_counts=True)
-        enough = count >= self.least[codes >> 40]
-        # Of the bands that are left, count each place of the window once only.
-        left = np.flatnonzero(enough[back])
-        place = np.tile(self.off[each], 2)[left]
-        once = np.unique(back[left] * WINDOW + place) // WINDOW
-        code = codes[np.bincount(once, minlength=len(codes)) >= self.least[codes >> 40]]
-        return np.stack([code >> 40, code & ((1 << 40) - 1)], axis=1)
-
-    def matches(self, docs: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-        """``(doc, item, start, end, edits)`` in bytes of the normalised texts."""
-        buf = b"\n".join([*docs, b" " * Q])  # no normalised text holds \n
+        left = np.flatnonzero((count >= self.least[codes >> 40])[back])
+        # Of the bands that are left, count each place of the item once only.
+        place = np.unique(back[left] * (self.shift + 1) + np.tile(off, 2)[left])
+        group, place = place // (self.shift + 1), place % (self.shift + 1)
+        r = codes[group] >> 40
+        last = np.arange(len(group)) + self.least[r] - 1
+        ok = last < len(group)
+        far = np.minimum(last, max(len(group) - 1, 0))
+        ok &= (group[far] == group) & (place[far] - place <= self.size[r] - Q)
+        r, group, near, far = r[ok], group[ok], place[ok], place[far][ok]
+        low, high = np.maximum(far - (self.size[r] - Q), 0), np.minimum(near, self.length[r] - self.size[r])
+        if len(low):  # both rise within a group, so ranges overlap only with the one before
+            low[1:] = np.where(group[1:] == group[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])
+        k, start = _ranges(low, np.maximum(high - low + 1, 0))
+        return np.stack([r[k], start, codes[group][k] & ((1 << 40) - 1)], axis=1)
+
+    def matches(self, docs: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """``(doc, item, start, end, edits)`` in code points of the normalised texts."""
+        buf = points("\n".join([*docs, ""]))  # no normalised text holds \n
         edge = np.cumsum([0, *(len(d) + 1 for d in docs)])
-        for w, band in self.regions(buf):
-            window, e = self.window[w], int(self.edits[w])
-            lo = int(band) * self.step - WINDOW
-            hi = lo + 2 * self.step + len(window) + e
-            first = int(np.searchsorted(edge, max(lo - e, 0), "right")) - 1
-            last = int(np.searchsorted(edge, min(hi, len(buf)) - 1, "right")) - 1
-            for d in range(max(first, 0), min(last, len(docs) - 1) + 1):
-                a, b = max(lo - e, int(edge[d])), min(hi, int(edge[d]) + len(docs[d]))
-                if b - a < len(window) - e:
-                    continue
-                found = align(window, buf[a:b], e, 2 * (self.step + e))
-                if found:
-                    s, t, cost = found
-                    yield d, self.item[w], a + s - int(edge[d]), a + t - int(edge[d]), cost
+        row, off, diagonal = self.hits(buf)
+        same = self.exact(row, off, diagonal)
+        at = same[:, 2] - self.shift + same[:, 1]
+        doc = np.searchsorted(edge, at, "right") - 1
+        for r, d, s, m in zip(same[:, 0], doc, at - edge[doc], self.size[same[:, 0]]):
+            yield int(d), self.item[r], int(s), int(s + m), 0
+        todo = self.regions(row, off, diagonal)
+        if len(same):  # a band with an exact occurrence needs no alignment
+            code = lambda r, s, b: ((r * (self.shift + 1) + s) << 32) + b + 1
+            b = same[:, 2] // self.step
+            done = np.concatenate([code(same[:, 0], same[:, 1], b), code(same[:, 0], same[:, 1], b - 1)])
+            todo = todo[~np.isin(code(*todo.T), done)]
+        todo = todo[np.argsort(self.size[todo[:, 0]], kind="stable")]
+        m, e = self.size[todo[:, 0]], self.edits[todo[:, 0]]
+        low = todo[:, 2] * self.step - self.shift + todo[:, 1] - e
+        high = low + 2 * self.step + m + 2 * e
+        first = np.maximum(np.searchsorted(edge, np.maximum(low, 0), "right") - 1, 0)
+        last = np.minimum(np.searchsorted(edge, np.minimum(high, len(buf)) - 1, "right") - 1, len(docs) - 1)
+        k, doc = _ranges(first, np.maximum(last - first + 1, 0))
+        a, b = np.maximum(low[k], edge[doc]), np.minimum(high[k], edge[doc + 1] - 1)
+        keep = b - a >= m[k] - e[k]
+        k, doc, a, b = k[keep], doc[keep], a[keep], b[keep]
+        cuts = np.flatnonzero(np.diff(m[k])) + 1
+        for part in np.split(np.arange(len(k)), cuts):
+            for i in range(0, len(part), _BATCH):
+                p = part[i : i + _BATCH]
+                j, size, most = k[p], int(m[k[p[0]]]), int(e[k[p[0]]])
+                r = todo[j, 0]
+                window = self.flat[(self.base[r] + todo[j, 1])[:, None] + np.arange(size)]
+                s, t, cost = align_all(window, buf, a[p], b[p], most, 2 * (self.step + most))
+                for x in np.flatnonzero(cost <= most):
+                    d = int(doc[p[x]])
+                    yield d, self.item[r[x]], int(a[p[x]] + s[x] - edge[d]), int(a[p[x]] + t[x] - edge[d]), int(cost[x])
+
+
+def align_all(window: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ``start, end, edits`` of each window (a row) inside its region ``text[a:b]``.
+
+    An alignment may start at any of the first ``band`` places of the region and
+    stays within ``most`` diagonals of its start, so only a band of the table is filled.
+    Results with more than ``most`` edits say no more than that.
+    """
+    size, wide = window.shape[1], band + 2 * most + 1
+    off = np.arange(wide) - most  # column c of row i stands at text place i + off[c]
+    place = np.arange(size + wide) - most
+    length = (b - a)[:, None]
+    late, outside = place >= length, (place < 0) | (place >= length)
+    region = np.where(outside, 0, text[np.clip(a[:, None] + place, 0, max(len(text) - 1, 0))] if len(text) else 0)
+    late, outside = np.where(late, _INF, 0).astype(np.int32), np.where(outside, _INF, 0).astype(np.int32)
+    cost = np.where((off >= 0) & (off <= length), off, _INF).astype(np.int32)  # the start rides below the edits
+    ramp = (np.arange(wide) * _COST).astype(np.int32)
+    for i in range(size):
+        here = slice(i, i + wide)
+        straight = cost + np.where(region[:, here] == window[:, i : i + 1], 0, _COST).astype(np.int32) + outside[:, here]
+        up = late[:, here] + _COST  # the window's character is missing in the text
+        up[:, :-1] += cost[:, 1:]
+        up[:, -1] = _INF
+        step = np.minimum(np.minimum(straight, up), _INF) - ramp
+        cost = np.minimum(np.minimum.accumulate(step, axis=1) + ramp, _INF)  # a character of the text is extra
+    k = cost.argmin(axis=1)
+    best = cost[np.arange(len(cost)), k]
+    return best % _COST, size + off[k], best // _COST
 
 
 def align(window: bytes, region: bytes, most: int, band: int) -> tuple[int, int, int] | None:
-    """Best ``(start, end, edits)`` of the window inside the region, at most ``most`` edits.
-
-    The alignment may start at any of the first ``band`` places of the region and
-    stays within ``most`` diagonals of its start, so only a band of the table is filled.
-    """
-    at = region.find(window)
-    if at >= 0:
-        return at, at + len(window), 0
+    """``align_all`` for one window and region: ``(start, end, edits)``, or None beyond ``most`` edits."""
     text = np.frombuffer(region, np.uint8)
-    wide = band + 2 * most + 1
-    off = np.arange(wide) - most  # column c of row i stands at text place i + off[c]
-    inf = 10_000
-    cost = np.where((off >= 0) & (off <= len(text)), 0, inf)
-    came = np.where(cost == 0, off, 0)  # where the alignment began
-    ramp = np.arange(wide)
-    for i, ch in enumerate(window):
-        place = i + off
-        ok = (place >= 0) & (place < len(text))
-        same = np.zeros(wide, bool)
-        same[ok] = text[place[ok]] == ch
-        straight = cost + ~same
-        straight[~ok] = inf
-        up = np.append(cost[1:] + 1, inf)  # the window's character is missing in the text
-        step = np.where(straight <= up, straight, up)
-        begin = np.where(straight <= up, came, np.append(came[1:], 0))
-        step[(place + 1 < 0) | (place + 1 > len(text))] = inf
-        low = np.minimum.accumulate(step - ramp) + ramp  # a character of the text is extra
-        source = np.maximum.accumulate(np.where(step - ramp == np.minimum.accumulate(step - ramp), ramp, 0))
-        cost, came = low, begin[source]
-    k = int(cost.argmin())
-    if cost[k] > most:
-        return None
-    return int(came[k]), int(len(window) + off[k]), int(cost[k])
+    found = align_all(np.frombuffer(window, np.uint8)[None, :], text, np.array([0]), np.array([len(text)]), most, band)
+    s, t, cost = (int(x[0]) for x in found)
+    return (s, t, cost) if cost <= most else None
 
 
 def build_index(items: list[tuple[int, str | None]]) -> BenchmarkIndex:
-    out = BenchmarkIndex([], [], [])
-    for item, text in items:
-        for s, w in windows(normal(text).encode("utf-8", "surrogatepass")):
-            out.item.append(item), out.start.append(s), out.window.append(w)
-    out.__post_init__()
-    return out
+    out = [(item, points(normal(text))) for item, text in items]
+    out = [(item, text) for item, text in out if len(text) >= MIN_CHARS]
+    return BenchmarkIndex([item for item, _ in out], [text for _, text in out])
 
 
 def _place(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans in bytes of the normalised text as spans in code points of the text itself."""
+    """Spans of the normalised text as spans of the text itself, in code points."""
     word = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-    size = [len(w.encode("utf-8", "surrogatepass")) for w in text.lower().split()]
+    size = [len(w) for w in text.lower().split()]
     if len(word) != len(size):
         return [(0, len(text)) for _ in spans]
     first = np.cumsum([0, *(s + 1 for s in size)])
@@ -190,12 +249,13 @@ def search(index: BenchmarkIndex, ids: list, texts: list[str | None], size: int
     """``(doc_id, item_id, start, end, edits, n_windows)`` for each text and item that match."""
     held, total = [], 0
     for i, t in enumerate(texts):
-        held.append((i, normal(t).encode("utf-8", "surrogatepass")))
+        held.append((i, normal(t)))
         total += len(held[-1][1])
         if total >= size or i == len(texts) - 1:
             best: dict[tuple[int, int], dict] = {}
             for d, item, s, e, cost in index.matches([x for _, x in held]):
-                best.setdefault((held[d][0], item), {}).setdefault((s, e), cost)
+                spans = best.setdefault((held[d][0], item), {})
+                spans[s, e] = min(cost, spans.get((s, e), cost))
             for (d, item), spans in best.items():
                 words = _place(texts[d], [(min(s for s, _ in spans), max(e for _, e in spans))])
                 yield ids[d], item, *words[0], min(spans.values()), len(spans)
@@ -209,9 +269,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row for each document and benchmark item that share a passage.
 
     ``start`` and ``end`` are code points of the document that take in all matched
-    windows, ``edits`` the fewest edits of one. A passage counts from 128 bytes of the
-    item on (or the whole shorter item). Null or empty texts and items under 24 bytes
-    match nothing; repeated rows are reported each. Other columns are ignored.
+    stretches, ``edits`` the fewest edits of one. A passage counts from 128 code points of
+    the item on, at any offset (or the whole shorter item), with at most 8 % edits. Null or
+    empty texts and items under 24 code points match nothing; repeated rows are reported
+    each. Other columns are ignored.
 
     The benchmark is measured first: up to 16 MB are indexed on the driver and
     broadcast; a larger one is cut by hashed item id in blocks of about that size, and

@@ -89,3 +89,37 @@ def test_alignment_against_full_table():
         assert (got is None) == (want > 5)
         if got:
             assert got[2] == want and distance(w, region[got[0] : got[1]]) == want
+
+
+def test_every_passage_of_an_item_at_any_offset():
+    """Quotes are cut from the item here, not taken from the operator's windows."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyzäßéñ語"
+    item = " ".join("".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(60))[:300].strip()
+    index = dec.build_index([(7, item), (8, sentence(rng, 60))])
+    other = lambda: "".join(rng.choices(letters, k=150))
+    for size in (128, 160):
+        quotes = [item[s : s + size] for s in range(len(item) - size + 1)]
+        docs = [f"{other()}{q.strip()}{other()}" for q in quotes]
+        long = [i for i, q in enumerate(quotes) if len(q.strip()) >= 128]
+        got = {(i, k) for i, k, *_ in dec.search(index, list(range(len(docs))), docs)}
+        assert {(i, 7) for i in long} <= got and len(long) > 60
+        assert all(k == 7 for _, k in got)
+    # Ten replaced characters, eight in a hundred, spread or not, at any offset.
+    docs, want = [], set()
+    for i in range(120):
+        s, edits = rng.randrange(len(item) - 127), rng.choice((7, 10, 10, 10, 11, 16, 30))
+        q = list(item[s : s + 128])
+        for p in rng.sample(range(128), edits):
+            q[p] = "#"
+        docs.append(other() + "".join(q) + other())
+        t = dec.normal(docs[-1])
+        if any(distance(item[a : a + 128], t[100:330]) <= 10 for a in range(max(0, s - 6), min(s + 7, len(item) - 127), 3)) or distance(item[s : s + 128], t) <= 10:
+            want.add(i)
+    got = {i for i, *_ in dec.search(index, list(range(len(docs))), docs)}
+    assert want <= got and len(want) > 40
+    assert all(distance_of_any(item, docs[i]) for i in sorted(got - want)[:3])
+
+
+def distance_of_any(item, doc):
+    return any(distance(item[a : a + 128], dec.normal(doc)) <= 10 for a in range(len(item) - 127))
