@@ -6,6 +6,11 @@ medians and absolute deviations on, the three quarters of the documents nearest
 centre give the next centre and covariance, whose determinant falls with each step. A
 document far from its group by Mahalanobis distance is rejected.
 
+The same estimate is made for each language over all sources and for all documents. A
+group's centre and covariance are drawn towards its language's, and those towards the
+whole, the more the smaller it is; so documents of rare groups are judged as well, and
+no verdict hangs on a least group size.
+
 All statistics cover whole texts and all documents. A group is only ever seen through
 sums and bounded quantile sketches, so a source with a third of all rows is no special
 case.
@@ -20,8 +25,10 @@ from quire.llm.common import col, cut, has_at_most
 
 SPACE = r"\x20\x09-\x0D"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Share of a group that the estimate rests on, concentration steps, least group size.
-CORE, STEPS, MIN_GROUP = 0.75, 4, 50
+#: Share of a group that the estimate rests on, concentration steps.
+CORE, STEPS = 0.75, 4
+#: Documents with which a group's own estimate weighs as much as the wider one's (weights go with the square).
+SHRINK = 100
 #: Rejected beyond this squared distance (of six dimensions; scaled so that the median fits).
 CUTOFF = 120.0
 #: Statistics, and the least standard deviation of each that a group is taken to have.
@@ -88,6 +95,11 @@ def _estimate(near: DataFrame, names: list[str]) -> DataFrame:
     m = near.groupBy("g").agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m_{x}") for x in names), *(F.avg(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a, b in pairs))
     cov = {(a, b): F.col(f"c_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}") + (F.lit(FEATURES[a] ** 2) if a == b else F.lit(0.0)) for a, b in pairs}
     m = m.select("g", "n", *(f"m_{x}" for x in names), *(cov[p].alias(f"c_{p[0]}_{p[1]}") for p in pairs))
+    return _factor(m, names, pairs)
+
+
+def _factor(m: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """The Cholesky factor in place of the covariance."""
     for j, b in enumerate(names):  # one column of the factor at a time
         done = lambda a: sum((F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}") for k in names[:j]), F.lit(0.0))
         m = m.withColumn(f"l_{b}_{b}", F.sqrt(F.greatest(F.col(f"c_{b}_{b}") - done(b), F.lit(FEATURES[b] ** 2))))
@@ -118,28 +130,62 @@ def covariance_estimates(rows: DataFrame) -> DataFrame:
     return cut(est.join(scale, "g"))
 
 
+def _moments(estimate: DataFrame, level: str, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Weight, scale, centre and covariance of one level's estimates, with the level in their names."""
+    size = F.col("size").cast("double")
+    cov = {(a, b): sum((F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}") for k in names[: names.index(b) + 1]), F.lit(0.0)) for a, b in pairs}
+    return estimate.where(F.col("g").startswith(level)).select(
+        F.col("g").alias(f"g{level}"), (size * size / (size * size + SHRINK**2)).alias(f"w{level}"), F.col("scale").alias(f"scale{level}"),
+        *(F.col(f"m_{x}").alias(f"m{level}_{x}") for x in names), *(cov[p].alias(f"c{level}_{p[0]}_{p[1]}") for p in pairs),
+    )
+
+
+def shrunk_estimates(rows: DataFrame) -> DataFrame:
+    """``rows(g0, g1, g2, base_failed, x1 .. x6)`` -> centre, factor and ``scale`` for each ``g2``.
+
+    Keys start with their level: 0 for all documents, 1 for a language, 2 for a language
+    and source. A group none of whose documents passed has its language's estimate.
+    """
+    names = list(FEATURES)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
+    est = covariance_estimates(rows.where("NOT base_failed").select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *names))
+    out = rows.select("g0", "g1", "g2").distinct()
+    for level in "012":
+        moments = _moments(est, level, names, pairs)
+        moments = F.broadcast(moments) if has_at_most(moments, BROADCAST_GROUPS) else moments
+        out = out.join(moments, f"g{level}", "inner" if level == "0" else "left")
+    columns = ["scale{}"] + [f"m{{}}_{x}" for x in names] + [f"c{{}}_{a}_{b}" for a, b in pairs]
+    values = {c: F.col(c.format(0)) for c in columns}
+    for level in "12":
+        w = F.coalesce(F.col(f"w{level}"), F.lit(0.0))
+        values = {c: w * F.coalesce(F.col(c.format(level)), F.lit(0.0)) + (1 - w) * v for c, v in values.items()}
+    return cut(_factor(out.select("g2", *(v.alias(c.replace("{}", "")) for c, v in values.items())), names, pairs))
+
+
 def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """One row per input row: ``doc_id, n_words``, the base statistics, ``base_failed, kept, distance2``.
 
     ``base_failed``: fewer than 20 words, or over 30 % of the words in 8-word windows that
     occur twice. Documents that fail it take no part in the estimates. Null language or
-    source are values like any other; groups under 50 documents that passed have no verdict
-    of their own and keep what passed. A null text counts as empty. Repeated rows count
+    source are values like any other; small groups are judged by estimates drawn towards
+    their language's and the whole's. ``distance2`` is null only if no document passed the
+    base rules. A null text counts as empty. Repeated rows count
     each; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"), F.struct(col("lang").alias("lang"), col("source").alias("source")).alias("g"))
     rows = word_statistics(rows, F.col("text")).drop("text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    g = F.concat_ws("\x1f", F.coalesce(F.col("g.lang").cast("string"), F.lit("\x1e")), F.coalesce(F.col("g.source").cast("string"), F.lit("\x1e")))
-    rows = cut(rows.withColumn("base_failed", failed).withColumns(vector()).withColumn("g", g))
-    est = covariance_estimates(rows.where("NOT base_failed")).where(F.col("size") >= MIN_GROUP)
+    lang, source = (F.coalesce(F.col(f"g.{x}").cast("string"), F.lit("\x1e")) for x in ("lang", "source"))
+    keys = {"g0": F.lit("0"), "g1": F.concat(F.lit("1"), lang), "g2": F.concat(F.lit("2"), lang, F.lit("\x1f"), source)}
+    rows = cut(rows.withColumn("base_failed", failed).withColumns(vector()).withColumns(keys).drop("g"))
+    est = shrunk_estimates(rows)
     names = list(FEATURES)
     est = F.broadcast(est) if has_at_most(est, BROADCAST_GROUPS) else est
-    out = rows.join(est, "g", "left")
+    out = rows.join(est, "g2", "left")
     for i, a in enumerate(names):
         done = sum((F.col(f"l_{a}_{b}") * F.col(f"z_{b}") for b in names[:i]), F.lit(0.0))
         out = out.withColumn(f"z_{a}", (F.col(a) - F.col(f"m_{a}") - done) / F.col(f"l_{a}_{a}"))
     d2 = sum((F.col(f"z_{x}") * F.col(f"z_{x}") for x in names), F.lit(0.0)) / F.greatest(F.col("scale"), F.lit(0.2))
     out = out.withColumn("distance2", d2)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
+    kept = ~F.col("base_failed") & (F.col("distance2") <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")

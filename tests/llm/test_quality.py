@@ -70,3 +70,21 @@ def test_estimate_against_numpy(spark):
     low = np.array([[est[f"l_x{i}_x{j}"] if j <= i else 0.0 for j in range(1, 7)] for i in range(1, 7)])
     ratio = np.linalg.det(low @ low.T) / np.linalg.det(np.cov(clean.T))
     assert 0.02 < ratio < 3
+
+
+def test_small_groups_are_judged(spark):
+    """Junk in groups of any size goes, clean texts stay, and every document has a distance."""
+    rng = random.Random(6)
+    sizes = {("en", f"big{k}"): 120 for k in range(3)} | {("en", f"s{k}"): k for k in (1, 2, 3, 5, 8, 20, 49, 50, 51)} | {("xx", "t"): 1, ("yy", "t"): 2, (None, None): 3}
+    rows, junk = [], set()
+    for (lang, source), n in sizes.items():
+        for j in range(n):
+            i = len(rows)
+            words = sentence(rng, rng.randrange(30, 300), "word").split()
+            if j % 10 == n - 1 or (n == 3 and j == 2):
+                junk.add(i)
+            text = " *** ".join(words) if i in junk else " ".join(words)
+            rows.append((i, text, lang, source, 1, "x", "k", "n", "s", "p", 7, 8))
+    out = quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in out if not r.kept} == junk and len(junk) > 5
+    assert all(r.distance2 is not None for r in out)
