@@ -1,10 +1,12 @@
 """Secret scan by token efficiency (operator 1).
 
 Three base patterns find keyword assignments, access-key ids and long hexadecimal
-runs. The method adds random strings that no pattern names: a run of key-like
-characters that a byte-level BPE vocabulary cannot shorten (few characters per
-token) is reported as ``random``, unless it is a known digest or an identifier.
-Prose, even invented prose, takes more characters per token than random text.
+runs. The method adds random strings that no pattern names: inside runs of key-like
+characters, a stretch that a byte-level BPE vocabulary cannot shorten (few characters
+per token over at least 16 characters) is reported as ``random``, so words around a key
+do not dilute it. Only digests, UUIDs, time stamps and numbers are left out untested.
+Prose, even invented prose, takes more characters per token than random text; plain
+words are held to a lower ratio than parts with digits or capitals inside.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from quire.llm.common import col, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
-#: A run is random if it has fewer characters per token than this.
-MAX_CHARS_PER_TOKEN = 2.4
-MIN_RUN, MIN_PART = 16, 14
+#: A stretch is random if it has fewer characters per token than this; one of words alone, fewer than the second.
+MAX_CHARS_PER_TOKEN, MAX_IN_WORDS = 2.4, 2.1
+MIN_RUN = 16
+#: Plain words at either end of a random stretch are left out of it from this ratio on.
+WORD_RATIO = 3.0
 #: Hexadecimal lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 
@@ -35,6 +39,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PART = re.compile(r"[A-Za-z0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_STAMP = re.compile(r"[0-9]{8}T[0-9]{4,6}Z?")
 
 
 @lru_cache(maxsize=4)
@@ -47,18 +53,60 @@ def _encoding(path: str):
     return tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _known(run: str) -> bool:
-    """Whether the run is a digest or an identifier rather than random text."""
-    if _UUID.fullmatch(run) or (len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run)):
-        return True
-    part = max(_PART.findall(run), key=len, default="")
-    if len(part) < MIN_PART:  # words, dates, paths and versions joined by marks
-        return True
-    digits = sum(c.isdigit() for c in part)
-    turns = sum(a.islower() and b.isupper() for a, b in zip(part, part[1:]))
-    if digits == len(part):
-        return True
-    return digits < 2 and turns < 3
+def _known(part: str) -> bool:
+    """Whether a part is a digest or a time stamp."""
+    return bool(_STAMP.fullmatch(part) or (len(part) in DIGEST_LENGTHS and _DIGEST.fullmatch(part)))
+
+
+def _pieces(run: str) -> list[list[tuple[int, int]]]:
+    """Places of the alphanumeric parts to test; UUIDs, digests and time stamps divide a run, numbers are passed over."""
+    uuids = [m.span() for m in _UUID.finditer(run) if not run[m.start() - 1 : m.start()].isalnum() and not run[m.end() : m.end() + 1].isalnum()]
+    out = [[]]
+    for m in _PART.finditer(run):
+        inside = next((u for u in uuids if u[0] <= m.start() < u[1]), None)
+        if inside or _known(m[0]):
+            out.append([])
+        elif not m[0].isdigit():
+            out[-1].append(m.span())
+    return out
+
+
+def _random(run: str, encoding, most: float) -> list[tuple[int, int]]:
+    """Spans of the run whose tokens are too short, from part to part."""
+    out = []
+    for parts in _pieces(run):
+        if sum(e - s for s, e in parts) < MIN_RUN:
+            continue
+        units, ratio = [], []  # (part, characters, tokens, whether a word)
+        for k, (s, e) in enumerate(parts):
+            word = bool(_WORD.fullmatch(run, s, e))
+            tokens = encoding.encode_ordinary(run[s:e].lower() if word else run[s:e])
+            ratio.append((e - s) / len(tokens) if word else 0.0)
+            units += [(k, e - s, len(tokens), True)] if word else [(k, len(encoding.decode_single_token_bytes(t)), 1, False) for t in tokens]
+        low, j, chars, n, mixed = set(), 0, 0, 0, 0
+        for i, (k, c, t, word) in enumerate(units):
+            while j < len(units) and chars < MIN_RUN:
+                chars, n, mixed, j = chars + units[j][1], n + units[j][2], mixed + (not units[j][3]), j + 1
+            if chars < MIN_RUN:
+                break
+            if chars < (most if mixed else min(most, MAX_IN_WORDS)) * n:
+                low.update(range(k, units[j - 1][0] + 1))
+            chars, n, mixed = chars - c, n - t, mixed - (not word)
+        k = 0
+        while k < len(parts):
+            if k not in low:
+                k += 1
+                continue
+            a = k
+            while k < len(parts) and k in low:
+                k += 1
+            b = k - 1  # words at either end are not part of the key
+            while a < b and ratio[a] >= WORD_RATIO and parts[b][1] - parts[a + 1][0] >= MIN_RUN:
+                a += 1
+            while a < b and ratio[b] >= WORD_RATIO and parts[b - 1][1] - parts[a][0] >= MIN_RUN:
+                b -= 1
+            out.append((parts[a][0], parts[b][1]))
+    return out
 
 
 def find_secrets(text: str | None, vocabulary: str, max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, str]]:
@@ -78,14 +126,10 @@ def find_secrets(text: str | None, vocabulary: str, max_chars_per_token: float =
         found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text, s, e) if m.end() - m.start() >= MIN_HEX]
     more = []
     for r in runs:
-        s, e = r.span()
-        run = r[0].rstrip("./=-_+")
-        run_start = s + len(run) - len(run.lstrip("./=-_+"))
-        run_end, run = s + len(run), run.lstrip("./=-_+")
-        if len(run) < MIN_RUN or _known(run) or any(a < run_end and run_start < b for a, b, _ in found):
+        if len(r[0].strip("./=-_+")) < MIN_RUN:
             continue
-        if len(run) < max_chars_per_token * len(_encoding(vocabulary).encode_ordinary(run)):
-            more.append((run_start, run_end, "random"))
+        spans = [(r.start() + s, r.start() + e) for s, e in _random(r[0], _encoding(vocabulary), max_chars_per_token)]
+        more += [(s, e, "random") for s, e in spans if not any(a < e and s < b for a, b, _ in found)]
     return sorted(found + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -68,3 +68,28 @@ def test_redact(spark):
     df = spark.createDataFrame([("a password=abcdefgh b",), (None,), ("plain",)], "text string")
     got = [r[0] for r in df.select(secrets.redact(df.text, VOCAB)).collect()]
     assert got == ["a [SECRET] b", None, "plain"]
+
+
+def test_random_strings_of_any_shape_and_beside_words():
+    rng = random.Random(29)
+    pick = lambda letters, k: "".join(rng.choices(letters, k=k))
+    alnum = string.ascii_letters + string.digits
+    shapes = {
+        "lower": lambda: pick(string.ascii_lowercase, rng.choice((24, 32))),
+        "grouped": lambda: "-".join(pick(string.ascii_uppercase + string.digits, 5) for _ in range(5)),
+        "base64url": lambda: pick(string.ascii_letters, 1) + pick(alnum + "-_", 22) + pick(string.ascii_letters, 1),
+    }
+    for name, shape in shapes.items():
+        found = 0
+        for _ in range(200):
+            key = shape()
+            spans = [x for x in secrets.find_secrets(f"the value is {key} here", VOCAB) if x[2] == "random"]
+            found += len(spans) == 1 and 13 <= spans[0][0] and spans[0][1] <= 13 + len(key) and spans[0][1] - spans[0][0] >= 0.8 * len(key)
+        assert found >= 0.95 * 200, name
+    for _ in range(100):  # words in the same run neither hide the key nor go with it
+        key = pick(string.ascii_letters, 10) + pick(string.digits, 3) + pick(alnum, 11)
+        text = f"see /service/configuration/value.name={key}/other/location/page.html"
+        s = text.index(key)
+        assert secrets.find_secrets(text, VOCAB) == [(s, s + len(key), "random")]
+    for clean in ("release-2024.01.01-build.12.34", "20240101T000000Z", "4111111111111111", "some/long/path/of/plain-words_and.names", "123e4567-e89b-12d3-a456-426614174000.backup.tar"):
+        assert secrets.find_secrets(clean, VOCAB) == [], clean
