@@ -5,8 +5,9 @@ bounded sample and notes which scripts a language uses. Prediction scores each
 distinct word once: the script of its letters narrows the candidate languages, the
 gram model scores them. A Viterbi pass over the words of a whole text, with a
 penalty for each switch, labels spans; the language with most letters is the
-document's. A text in which no span could win more than one switch costs keeps one
-label, which is proved by running sums before the full pass is spent on it.
+document's. A text in which no span, nor a prefix and a suffix together, could win more
+than one switch costs keeps one label, which is proved by running sums before the full
+pass is spent on it.
 """
 
 from __future__ import annotations
@@ -140,8 +141,11 @@ class LanguageModel:
             best = int(s.sum(axis=0).argmax())
             run = np.cumsum(s - s[:, best : best + 1], axis=0)
             low = np.minimum(np.minimum.accumulate(run, axis=0), 0.0)
-            # What a stretch in another language wins over the best one, at most.
-            if (run[1:] - low[:-1]).max(initial=run[:1].max(initial=0.0)) > self.penalty:
+            # What a stretch in another language wins over the best one, at most; a path that
+            # uses the best one has a switch for each such stretch. A path that never does has one
+            # fewer, but then its first stretch is a prefix and its last one a suffix.
+            ends = run[:-1].max(initial=0.0) + (run[-1:] - run[:-1]).max(initial=0.0)
+            if max(ends, (run[1:] - low[:-1]).max(initial=run[:1].max(initial=0.0))) > self.penalty:
                 hard.append(len(out))
             out.append(np.full(len(s), best))
         hard.sort(key=lambda k: -len(out[k]))

@@ -66,3 +66,19 @@ def test_held_out_rows_are_never_learned(spark):
     swapped = df.withColumn("lang", F.when(language.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang")))
     assert language.train(swapped).langs == language.train(df).langs
     assert np.array_equal(language.train(swapped).weight, language.train(df).weight)
+
+
+def test_shortcut_when_the_best_path_never_uses_the_best_language():
+    m = language.LanguageModel(["a", "b", "c"], np.zeros((1, 3)), np.ones((1, 3), bool), 14.0)
+    assert [list(x) for x in m.labels([np.array([[13.0, -20, 0], [-20, 13, 0]])])] == [[0, 1]]
+    rng = np.random.default_rng(7)
+    for _ in range(400):  # three languages that rival each other in stretches
+        n, p = int(rng.integers(2, 7)), 14.0
+        s = rng.choice([13.0, 6.0, 0.0, -7.0, -20.0], (n, 3))
+        s[:, 2] = rng.choice([0.0, 1.0], n)
+
+        def value(path):
+            return sum(s[i, k] for i, k in enumerate(path)) - p * sum(a != b for a, b in zip(path, path[1:]))
+
+        best = max(map(value, itertools.product(range(3), repeat=n)))
+        assert abs(best - value(m.labels([s])[0])) < 1e-9
