@@ -51,10 +51,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op6_quality`` that SQL can express: statistics and base rules."""
+    return quality.base_rules(table(spark, sf_dir, "documents")).drop("n_lines", "n_twice")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_warc_fixity, op3_pieces, op4_html_extraction, op5_sharding, op6_quality, op7_language_id, op8_decontaminate, op9_minhash, op10_token_counts,
+        quality_base_columns,
     )
 }
 _NL = "chr(13) || chr(10)"
@@ -119,4 +125,23 @@ WITH RECURSIVE word AS (
 )
 SELECT doc_id, cast(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM low LEFT JOIN size USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op2_warc_fixity": _OP2, "op4_html_extraction": _OP4, "op9_minhash": _OP9}
+#: Words, lines and repeated windows counted one by one.
+_BASE6 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM t)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1
+), inside AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, generate_series(0, 7) g(j) GROUP BY doc_id
+)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+       cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+       cast(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, cast(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+       len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
+FROM t LEFT JOIN inside USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"quality_base_columns": _BASE6, "op2_warc_fixity": _OP2, "op4_html_extraction": _OP4, "op9_minhash": _OP9}
