@@ -5,7 +5,7 @@ All but the last return the columns they were given. Between stages the rows are
 as Parquet, so a lost executor costs a stage's work at most.
 
 Null texts have no letter and go in the first stage; documents without doc_id are never
-near copies or contaminated. Extra columns stay. An empty table gives an empty result.
+near copies. Extra columns stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,13 +9,17 @@ that occurs with at most e edits shares at least ``m + 1 - q * (e + 1)`` q-grams
 text inside one band (the q-gram lemma), so only stretches that reach this count in a
 band are worth a look. Unbroken runs of hits are exact passages; every other stretch is
 verified by a banded alignment, many at a time.
+
+Hits are worked on in slices of the text that overlap by a passage, so their number is
+bounded however often a q-gram repeats. The inner part of a long run with a period of up
+to 128 characters (rules, table borders) is passed over on both sides: it holds the same
+stretches as the part that is left.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -23,15 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, cut, has_at_most, small_batches
+from quire.llm.common import col, cut, small_batches
 
 Q, WINDOW, EDIT_SHARE = 8, 128, 0.08
-#: Items with fewer code points after normalisation are too short to be evidence.
+#: By default items with fewer code points after normalisation are too short to be evidence.
 MIN_CHARS = 24
-#: Bytes of benchmark text that are indexed and broadcast at once; more is done in blocks.
-BLOCK_BYTES = 16_000_000
-#: Ids of contaminated documents up to which they are broadcast (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Bytes of index that are built and broadcast at once, and those that a code point of the
+#: benchmark takes; a larger benchmark is done in blocks.
+BLOCK_BYTES, INDEX_BYTES = 96_000_000, 28
+#: Hits that are worked on at once.
+HITS = 400_000
+#: Longest period of runs whose inner part is passed over, and the length that is left of them:
+#: room for an occurrence at every offset of the period. Runs are first looked for in strides.
+_PERIOD, _LEFT, _STRIDE = 128, 512, 64
 _BITS = 22
 _U = np.uint64
 #: Alignments computed at once; a cost weighs _COST so that its start can ride below it.
@@ -47,9 +55,9 @@ def budget(m: int) -> int:
     return max(0, min(int(EDIT_SHARE * m), (m - Q) // Q))
 
 
-def windows(item) -> list[tuple[int, bytes | str]]:
+def windows(item, least: int = MIN_CHARS) -> list[tuple[int, bytes | str]]:
     """``(start, window)``: every stretch of an item that counts as a passage; all of a short item."""
-    if len(item) < MIN_CHARS:
+    if len(item) < max(least, 1):
         return []
     return [(s, item[s : s + WINDOW]) for s in range(max(0, len(item) - WINDOW) + 1)]
 
@@ -59,6 +67,32 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def shortened(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text without the inner part of long periodic runs, and the place of each code point that is left."""
+    keep = np.ones(len(text), bool)
+    column = np.ascontiguousarray(np.append(text, np.zeros(-len(text) % _STRIDE, text.dtype)).reshape(-1, _STRIDE).T)
+    for p in range(1, _PERIOD + 1):
+        if len(text) <= _LEFT + p:
+            break
+        some = column[p % _STRIDE, p // _STRIDE :]
+        some = np.flatnonzero(some == column[0, : len(some)])
+        n = _LEFT // _STRIDE - 1
+        if len(some) < n or not (some[n - 1 :] - some[: len(some) - n + 1] == n - 1).any():
+            continue
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(some) > 1) + 1, [len(some)]])
+        for k in np.flatnonzero(np.diff(edge) >= n).tolist():
+            low, high = max(0, int(some[edge[k]] - 1) * _STRIDE), min(len(text) - p, int(some[edge[k + 1] - 1] + 2) * _STRIDE)
+            if not keep[low : high + p].all():
+                continue
+            same = (text[low + p : high + p] == text[low:high]) & (text[low + p : high + p] != 10)
+            ends = low + np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+            for a, b in ends.reshape(-1, 2).tolist():  # the run is text[a : b + p]
+                if b - a > _LEFT:
+                    keep[a + _LEFT // 2 : a + _LEFT // 2 + (b + p - a - _LEFT) // p * p] = False
+    place = np.flatnonzero(keep)
+    return text[place], place
+
+
 def _keys(text: np.ndarray) -> np.ndarray:
     """A 64-bit key for each q-gram of the code points, from keys of 2, 4 and 8."""
     if len(text) < Q:
@@ -75,43 +109,75 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
-@dataclass
 class BenchmarkIndex:
-    """A block of items and where each of their q-grams occurs."""
+    """A block of items and where each of their q-grams occurs.
 
-    item: list[int]
-    text: list[np.ndarray]
+    Items under ``Q`` code points have no q-gram; they are found by plain search.
+    """
 
-    def __post_init__(self):
-        grams = [_keys(t) for t in self.text]
-        key = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        row = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-        off = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.short = [(item, "".join(map(chr, t))) for item, t in items if len(t) < Q]
+        items = [(item, shortened(t)[0]) for item, t in items if len(t) >= Q]
+        self.item = np.array([item for item, _ in items], np.int64)
+        self.length = np.array([len(t) for _, t in items], np.int64)
+        self.flat = np.concatenate([*(t for _, t in items), np.zeros(0, np.uint32)])
+        self.base = np.cumsum(self.length) - self.length
+        n = np.maximum(self.length - Q + 1, 0)
+        row, off = _ranges(np.zeros(len(n), np.int64), n)
+        key = np.concatenate([*(_keys(t) for _, t in items), np.zeros(0, np.uint64)])
         order = np.argsort(key, kind="stable")
-        self.key, first, self.n = np.unique(key[order], return_index=True, return_counts=True)
-        self.first, self.row, self.off = first, row[order], off[order]
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[(self.key >> _U(64 - _BITS)).astype(np.int64)] = True
-        self.length = np.array([len(t) for t in self.text], np.int64)
+        self.key, first = np.unique(key[order], return_index=True)
+        self.first = np.append(first, len(key)).astype(np.int32)
+        self.row, self.off = row[order].astype(np.int32), off[order].astype(np.int32)
+        seen = np.zeros(1 << _BITS, bool)
+        seen[(self.key >> _U(64 - _BITS)).astype(np.int64)] = True
+        self.seen = np.packbits(seen)
         self.size = np.minimum(self.length, WINDOW)
         self.edits = np.array([budget(int(m)) for m in self.size], np.int64)
         self.least = self.size + 1 - Q * (self.edits + 1)
         self.step = int(self.edits.max(initial=0)) + 1
         self.shift = int(self.length.max(initial=0)) + self.step  # no band is negative
-        self.flat = np.concatenate([*self.text, np.zeros(0, np.uint32)])
-        self.base = np.cumsum([0, *self.length])[:-1]
+        self.reach = int((self.size + self.edits).max(initial=0))  # code points of the longest occurrence
+
+    def hits(self, buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(row, place in the item, diagonal)`` of the q-grams that text and items share.
 
-    def hits(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(row, place in the item, diagonal)`` of all q-grams that text and items share."""
+        Slices of the text, or of the items where a short stretch of text has very many
+        hits; every occurrence of an item's stretch lies whole in one of them.
+        """
         key = _keys(buf)
-        pos = np.flatnonzero(self.seen[(key >> _U(64 - _BITS)).astype(np.int64)])
-        if not len(pos) or not len(self.key):
-            return (np.zeros(0, np.int64),) * 3
+        if not len(key) or not len(self.key):
+            return
+        bit = (key >> _U(64 - _BITS)).astype(np.int64)
+        pos = np.flatnonzero((self.seen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
         at = np.minimum(np.searchsorted(self.key, key[pos]), len(self.key) - 1)
         hit = self.key[at] == key[pos]
         pos, at = pos[hit], at[hit]
-        k, each = _ranges(self.first[at], self.n[at])
-        return self.row[each], self.off[each], pos[k] - self.off[each] + self.shift
+        first = self.first[at].astype(np.int64)
+        n = self.first[at + 1] - first
+        total = np.cumsum(n)
+        i, end = 0, len(pos)
+        while i < end:
+            j = int(np.searchsorted(total, total[i] - n[i] + HITS, "right"))
+            j = max(j, int(np.searchsorted(pos, pos[i] + 2 * self.reach)))
+            parts = -(-int(total[j - 1] - total[i] + n[i]) // HITS)
+            for part in range(parts if parts > 1 else 1):
+                k, each = _ranges(first[i:j], n[i:j]) if parts <= 1 else self._of_part(first[i:j], n[i:j], part, parts)
+                row, off = self.row[each].astype(np.int64), self.off[each].astype(np.int64)
+                yield row, off, pos[i:j][k] - off + self.shift
+            if j >= end:
+                return
+            i = max(i + 1, int(np.searchsorted(pos, pos[j - 1] + 1 - self.reach)))
+
+    def _of_part(self, first: np.ndarray, n: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges' values whose item belongs to a part, found few ranges at a time."""
+        out = []
+        edge = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(n)]):
+            k, each = _ranges(first[a:b], n[a:b])
+            mine = self.row[each] % parts == part
+            out.append((k[mine] + a, each[mine]))
+        return np.concatenate([k for k, _ in out]), np.concatenate([e for _, e in out])
 
     def exact(self, row, off, diagonal) -> np.ndarray:
         """Rows ``(row, start, diagonal)`` of stretches whose q-grams all lie on one diagonal."""
@@ -148,19 +214,27 @@ class BenchmarkIndex:
         k, start = _ranges(low, np.maximum(high - low + 1, 0))
         return np.stack([r[k], start, codes[group][k] & ((1 << 40) - 1)], axis=1)
 
-    def matches(self, docs: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """``(doc, item, start, end, edits)`` in code points of the normalised texts."""
-        buf = points("\n".join([*docs, ""]))  # no normalised text holds \n
-        edge = np.cumsum([0, *(len(d) + 1 for d in docs)])
-        row, off, diagonal = self.hits(buf)
-        same = self.exact(row, off, diagonal)
-        at = same[:, 2] - self.shift + same[:, 1]
-        doc = np.searchsorted(edge, at, "right") - 1
-        for r, d, s, m in zip(same[:, 0], doc, at - edge[doc], self.size[same[:, 0]]):
-            yield int(d), self.item[r], int(s), int(s + m), 0
-        todo = self.regions(row, off, diagonal)
-        if len(same):  # a band with an exact occurrence needs no alignment
-            code = lambda r, s, b: ((r * (self.shift + 1) + s) << 32) + b + 1
+    def matches(self, docs: list[str]) -> np.ndarray:
+        """Distinct rows ``(doc, row, start, end, edits)``, places in code points of the normalised texts."""
+        buf, place = shortened(points("\n".join([*docs, ""])))  # no normalised text holds \n
+        edge = np.append(0, np.flatnonzero(buf == 10) + 1)
+        found = [np.zeros((0, 5), np.int64)]
+        for hits in self.hits(buf):
+            same = self.exact(*hits)
+            at = same[:, 2] - self.shift + same[:, 1]
+            found.append(np.unique(np.stack([same[:, 0], at, at + self.size[same[:, 0]], np.zeros_like(at)], axis=1), axis=0))
+            found[-1] = np.concatenate([(np.searchsorted(edge, found[-1][:, 1], "right") - 1)[:, None], found[-1]], axis=1)
+            found.append(self._near(buf, edge, same, self.regions(*hits)))
+        out = np.unique(np.concatenate(found), axis=0)
+        start = place[edge[out[:, 0]]]
+        out[:, 2] = place[out[:, 2]] - start
+        out[:, 3] = place[np.maximum(out[:, 3] - 1, 0)] + 1 - start
+        return out
+
+    def _near(self, buf: np.ndarray, edge: np.ndarray, same: np.ndarray, todo: np.ndarray) -> np.ndarray:
+        """Stretches of ``todo`` that occur with edits; those with an exact occurrence in their band are left out."""
+        if len(same):
+            code = lambda r, s, b: ((self.base[r] + s) << 34) + b + 1
             b = same[:, 2] // self.step
             done = np.concatenate([code(same[:, 0], same[:, 1], b), code(same[:, 0], same[:, 1], b - 1)])
             todo = todo[~np.isin(code(*todo.T), done)]
@@ -169,22 +243,22 @@ class BenchmarkIndex:
         low = todo[:, 2] * self.step - self.shift + todo[:, 1] - e
         high = low + 2 * self.step + m + 2 * e
         first = np.maximum(np.searchsorted(edge, np.maximum(low, 0), "right") - 1, 0)
-        last = np.minimum(np.searchsorted(edge, np.minimum(high, len(buf)) - 1, "right") - 1, len(docs) - 1)
+        last = np.minimum(np.searchsorted(edge, np.minimum(high, len(buf)) - 1, "right") - 1, len(edge) - 2)
         k, doc = _ranges(first, np.maximum(last - first + 1, 0))
         a, b = np.maximum(low[k], edge[doc]), np.minimum(high[k], edge[doc + 1] - 1)
         keep = b - a >= m[k] - e[k]
         k, doc, a, b = k[keep], doc[keep], a[keep], b[keep]
-        cuts = np.flatnonzero(np.diff(m[k])) + 1
-        for part in np.split(np.arange(len(k)), cuts):
+        found = [np.zeros((0, 5), np.int64)]
+        for part in np.split(np.arange(len(k)), np.flatnonzero(np.diff(m[k])) + 1):
             for i in range(0, len(part), _BATCH):
                 p = part[i : i + _BATCH]
                 j, size, most = k[p], int(m[k[p[0]]]), int(e[k[p[0]]])
                 r = todo[j, 0]
                 window = self.flat[(self.base[r] + todo[j, 1])[:, None] + np.arange(size)]
                 s, t, cost = align_all(window, buf, a[p], b[p], most, 2 * (self.step + most))
-                for x in np.flatnonzero(cost <= most):
-                    d = int(doc[p[x]])
-                    yield d, self.item[r[x]], int(a[p[x]] + s[x] - edge[d]), int(a[p[x]] + t[x] - edge[d]), int(cost[x])
+                x = cost <= most
+                found.append(np.stack([doc[p], r, a[p] + s, a[p] + t, cost], axis=1)[x])
+        return np.concatenate(found)
 
 
 def align_all(window: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,10 +298,9 @@ def align(window: bytes, region: bytes, most: int, band: int) -> tuple[int, int,
     return (s, t, cost) if cost <= most else None
 
 
-def build_index(items: list[tuple[int, str | None]]) -> BenchmarkIndex:
+def build_index(items: list[tuple[int, str | None]], least: int = MIN_CHARS) -> BenchmarkIndex:
     out = [(item, points(normal(text))) for item, text in items]
-    out = [(item, text) for item, text in out if len(text) >= MIN_CHARS]
-    return BenchmarkIndex([item for item, _ in out], [text for _, text in out])
+    return BenchmarkIndex([(item, text) for item, text in out if len(text) >= max(least, 1)])
 
 
 def _place(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -245,48 +318,82 @@ def _place(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(index: BenchmarkIndex, ids: list, texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple]:
-    """``(doc_id, item_id, start, end, edits, n_windows)`` for each text and item that match."""
+def _portions(texts: list[str | None], size: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers and normalised texts, about ``size`` code points at a time."""
     held, total = [], 0
     for i, t in enumerate(texts):
         held.append((i, normal(t)))
         total += len(held[-1][1])
         if total >= size or i == len(texts) - 1:
-            best: dict[tuple[int, int], dict] = {}
-            for d, item, s, e, cost in index.matches([x for _, x in held]):
-                spans = best.setdefault((held[d][0], item), {})
-                spans[s, e] = min(cost, spans.get((s, e), cost))
-            for (d, item), spans in best.items():
-                words = _place(texts[d], [(min(s for s, _ in spans), max(e for _, e in spans))])
-                yield ids[d], item, *words[0], min(spans.values()), len(spans)
+            yield [i for i, _ in held], [x for _, x in held]
             held, total = [], 0
 
 
+def search(index: BenchmarkIndex, ids: list, texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple]:
+    """``(doc_id, item_id, start, end, edits, n_windows)`` for each text and item that match."""
+    for at, docs in _portions(texts, size):
+        out = index.matches(docs)
+        head = np.flatnonzero(np.append(True, (out[1:, :2] != out[:-1, :2]).any(axis=1))) if len(out) else []
+        for a, b in zip(head, [*head[1:], len(out)]):
+            d, r = out[a, :2].tolist()
+            part = out[a:b]
+            spans = 1 + int((part[1:, 2:4] != part[:-1, 2:4]).any(axis=1).sum())  # rows are in order
+            words = _place(texts[at[d]], [(int(part[:, 2].min()), int(part[:, 3].max()))])
+            yield ids[at[d]], int(index.item[r]), *words[0], int(part[:, 4].min()), spans
+        for d, text in enumerate(docs):
+            for item, short in index.short:
+                places = [m.start() for m in re.finditer(f"(?={re.escape(short)})", text)]
+                if places:
+                    words = _place(texts[at[d]], [(places[0], places[-1] + len(short))])
+                    yield ids[at[d]], item, *words[0], 0, len(places)
+
+
+def hold_passages(index: BenchmarkIndex, texts: list[str | None], size: int = 1 << 20) -> list[bool]:
+    """Whether each text holds a passage of the index."""
+    out = [False] * len(texts)
+    for at, docs in _portions(texts, size):
+        for d in np.unique(index.matches(docs)[:, 0]).tolist():
+            out[at[d]] = True
+        for d, text in enumerate(docs):
+            out[at[d]] = out[at[d]] or any(short in text for _, short in index.short)
+    return out
+
+
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long, n_windows long"
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def indexes(benchmark: DataFrame, least: int = MIN_CHARS) -> Iterator:
+    """Broadcast indexes of the benchmark: one, or blocks by hashed text where it would be beyond ``BLOCK_BYTES``.
+
+    The benchmark is measured first, so what is on the driver at once has a bound. A text
+    that is longer than a block is one block.
+    """
+    item = F.coalesce(col("item_id").cast("long"), F.lit(0))
+    items = benchmark.select(item.alias("item_id"), col("text").alias("text")).where("text IS NOT NULL")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = 1 + int(chars * INDEX_BYTES // BLOCK_BYTES)
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct()
+        yield benchmark.sparkSession.sparkContext.broadcast(build_index([(r.item_id, r.text) for r in part.toLocalIterator()], least))
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS) -> DataFrame:
     """One row for each document and benchmark item that share a passage.
 
     ``start`` and ``end`` are code points of the document that take in all matched
-    stretches, ``edits`` the fewest edits of one. A passage counts from 128 code points of
-    the item on, at any offset (or the whole shorter item), with at most 8 % edits. Null or
-    empty texts and items under 24 code points match nothing; repeated rows are reported
-    each. Other columns are ignored.
-
-    The benchmark is measured first: up to 16 MB are indexed on the driver and
-    broadcast; a larger one is cut by hashed item id in blocks of about that size, and
-    the documents are passed over once for each block.
+    stretches, ``edits`` the fewest edits of one, ``n_windows`` the places found (of long
+    periodic runs, those in the part that is looked at). A passage counts from 128 code
+    points of the item on, at any offset (or the whole shorter item), with at most 8 %
+    edits. Items under ``least`` code points are left out; with ``least=1`` all take part,
+    those under eight code points without edits. Null or empty texts match nothing;
+    repeated rows and rows with a null doc_id are reported each. Items with a null
+    item_id are reported as item 0. Other columns are ignored.
+
+    Up to 96 MB of index are built on the driver and broadcast; a larger benchmark is cut
+    in blocks of about that size, and the documents are passed over once for each block.
     """
-    items = benchmark.select(col("item_id").cast("long").alias("item_id"), col("text").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + int(size // BLOCK_BYTES)
     rows = small_batches(docs).select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    found = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct()
-        index = docs.sparkSession.sparkContext.broadcast(build_index([(r.item_id, r.text) for r in part.toLocalIterator()]))
-        found.append(rows.mapInArrow(_search(index), SCHEMA))
+    found = [rows.mapInArrow(_search(index), SCHEMA) for index in indexes(benchmark, least)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -307,8 +414,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", F.lit(True)).withColumn("kept", F.lit(False))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any benchmark passage, all columns kept. Rows without doc_id stay."""
-    found = cut(find_passages(docs, benchmark).select(F.col("doc_id").alias("__found")).distinct())
-    found = F.broadcast(found) if has_at_most(found, BROADCAST_IDS) else found
-    return docs.join(found, col("doc_id") == F.col("__found"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = MIN_CHARS) -> DataFrame:
+    """Rows of ``docs`` whose text holds no benchmark passage, all columns kept.
+
+    Each row is judged by its own text, whatever its doc_id; null texts stay. With a
+    benchmark of several blocks the rows that are left are stored between blocks.
+    """
+    blocks = indexes(benchmark, least)
+    out = small_batches(docs)
+    out = out.where(~_holds(next(blocks))(col(text_col)))
+    for index in blocks:
+        out = cut(out).where(~_holds(index)(col(text_col)))
+    return out
+
+
+def _holds(index):
+    @F.arrow_udf("boolean")
+    def holds(text: pa.Array) -> pa.Array:
+        return pa.array(hold_passages(index.value, text.to_pylist()), pa.bool_())
+
+    return holds

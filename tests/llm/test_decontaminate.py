@@ -123,3 +123,44 @@ def test_every_passage_of_an_item_at_any_offset():
 
 def distance_of_any(item, doc):
     return any(distance(item[a : a + 128], dec.normal(doc)) <= 10 for a in range(len(item) - 127))
+
+
+def test_repetitive_texts_in_slices(monkeypatch):
+    """Few hits at once and shortened runs change nothing but the number of places."""
+    rng = random.Random(14)
+    line = "-" * 60
+    items = ["-" * 400, "=-" * 150, ("| ab " * 60), (line + " ") * 6, sentence(rng, 40), "".join(rng.choices("ab", k=300))]
+    docs = ["-" * 700, "x" + "=-" * 400 + "y", "| ab " * 200 + items[4] + "| ab " * 30, (line + "\n") * 13, "".join(rng.choices("ab", k=400)) + items[5][90:250], "", "-" * 127, items[4] + "-" * 700 + items[4], "\n" * 2000]
+    brief = lambda: sorted(x[:5] for x in dec.search(dec.build_index(list(enumerate(items))), list(range(len(docs))), docs))
+    now = brief()
+    assert {(0, 0), (1, 1), (2, 2), (2, 4), (3, 3), (4, 5), (7, 0), (7, 4)} <= {x[:2] for x in now}
+    assert (0, 0, 0, 700, 0) in now and (1, 1, 0, 802, 0) in now
+    monkeypatch.setattr(dec, "HITS", 40_000)
+    assert brief() == now
+    monkeypatch.setattr(dec, "_PERIOD", 0)
+    assert brief() == now
+
+
+def test_long_run_takes_little_memory():
+    import tracemalloc
+
+    index = dec.build_index([(1, "-" * 600)])
+    for text in ("-" * 80_000, "".join(random.Random(3).choices(["-" * 40, "- " * 20, "x"], k=150))):
+        tracemalloc.start()
+        assert [x[:2] for x in dec.search(index, [5], [text])] == [(5, 1)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300_000_000
+
+
+def test_short_items_rows_without_id_and_item_without_id(spark):
+    items = [(1, "Yes, it is"), (2, "no"), (3, "seventeen characters"), (None, "a passage without an item_id of its own")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["well, YES,  it is so", "nothing else", "17 seventeen chbracters", "x a passage without an item_id of its own y", None, ""]
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in dec.find_passages(docs, bench, least=1).collect()}
+    assert set(out) == {(0, 1), (1, 2), (2, 3), (None, 0)}
+    assert texts[0][out[0, 1].start : out[0, 1].end] == "YES,  it is" and out[2, 3].edits == 1
+    assert {(r.doc_id, r.item_id) for r in dec.find_passages(docs, bench).collect()} == {(None, 0)}
+    assert [r.doc_id for r in dec.clean(docs, bench).collect()] == [0, 1, 2, 4, 5]
+    assert [r.doc_id for r in dec.clean(docs, bench, least=1).collect()] == [4, 5]
