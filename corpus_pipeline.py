@@ -10,7 +10,6 @@ near copies. Extra columns stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, language, minhash, pieces, secrets
-from quire.llm.common import col, has_at_most, small_batches, table
+from quire.llm.common import col, has_at_most, shared_folder, small_batches, table
 
 #: Share of a text's letters in one language below which the text is rejected.
 MIN_LANGUAGE_SCORE = 1 / 3
@@ -81,13 +80,23 @@ def _light(ids: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is kept in the shared checkpoint folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what lies between them is written to the shared folder.
+
+    A stage's rows are deleted once the next stage's are written; those before the last
+    stage stay, since the result is computed from them.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:  # the stage before is read no more
+                _delete(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

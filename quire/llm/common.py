@@ -19,16 +19,24 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session that names none (a local test) gets a temporary one.
+    A session on one machine that names none (a local test) gets a temporary one; a
+    cluster must name it, since no machine's own folder is seen by the others.
     """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="quire-")).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -38,10 +46,16 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after asking for Arrow batches that fit whole texts: 1000 rows, unless the session names a number."""
+    """``df``, after asking for Arrow batches that fit whole texts.
+
+    A batch has 1000 rows or 32 MB at most (or one longer row). These are settings of the
+    session and stay; a session that names numbers of its own keeps them.
+    """
     conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, common, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", str(2**63 - 1), str(32 << 20))):
+        key = f"spark.sql.execution.arrow.{name}"
+        if conf.get(key, None) in (common, f"{common}b", f"{common}B"):
+            conf.set(key, value)
     return df
 
 

@@ -1,6 +1,6 @@
 """A small HTML tree: elements and runs of text as flat lists in page order.
 
-One pass over tags with a regular expression; no recursion, so depth and length are
+One pass over tags with regular expressions; no recursion, so depth and length are
 bounded by memory only. Contents of scripts, styles and other elements without text of
 their own are dropped here.
 """
@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?>[^=>]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+>")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript iframe svg math object head title textarea select canvas audio video".split())
@@ -28,41 +30,57 @@ _ENDS = {
 
 
 class Dom:
-    """Nodes in page order. ``tag`` is ``#text`` for a run of text beside block elements."""
+    """Nodes in page order. ``tag`` is ``#text`` for a run of text beside block elements.
+
+    Quotes mean something only after an equals sign. A tag or comment that is not closed
+    takes the rest of the page with it. Every step moves on or costs what it removes, so
+    time grows with the length whatever is left open.
+    """
 
     def __init__(self, source: str):
         self.tag, self.parent, self.attrs, self.text, self.link = ["#root"], [-1], [""], [[]], [0]
         self.order: list[tuple[int, int]] = []  # (block, index of its piece), in page order
+        self.opened: Counter[str] = Counter()  # open elements by name
         stack, block, anchors = [0], [0], 0
+        endless: set[str] = set()  # names without a closing tag further on
         at, n = 0, len(source)
         while at < n:
-            m = _TAG.search(source, at)
+            lt = source.find("<", at)
+            m = _OPEN.match(source, lt) if lt >= 0 else None
+            literal = lt >= 0 and m is None and source[lt + 1 : lt + 2] not in ("!", "?", "/")
+            stop = n if lt < 0 else lt + literal
+            if stop > at:
+                self._add(block[-1], source[at:stop], anchors)
+            if lt < 0 or literal:
+                at = stop
+                continue
             if m is None:
-                self._add(block[-1], source[at:], anchors)
-                break
-            if m.start() > at:
-                self._add(block[-1], source[at : m.start()], anchors)
-            at = m.end()
-            name = m[2]
-            if name is None:
+                comment = source.startswith("<!--", lt)
+                end = source.find("-->" if comment else ">", lt + 4 if comment else lt + 1)
+                at = n if end < 0 else end + (3 if comment else 1)
                 continue
-            name = name.lower()
+            rest = _REST.match(source, m.end())
+            if rest is None:
+                break
+            at, raw, name = rest.end(), rest[0][:-1], m[2].lower()
             if m[1]:
-                if name == "br" or name == "p" and not self._open(stack, "p"):
+                if name == "br" or name == "p" and not self.opened["p"]:
                     self._add(block[-1], " ", 0)
                     continue
-                if not self._open(stack, name):
+                if not self.opened[name]:
                     continue
                 while True:
-                    k = stack.pop()
+                    k = self._close(stack)
                     anchors -= self.tag[k] == "a"
                     if block[-1] == k:
                         block.pop()
                     if self.tag[k] == name:
                         break
                 continue
-            if name in SILENT and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            if name in SILENT and not raw.rstrip().endswith("/"):
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                if end is None:
+                    endless.add(name)
                 at = end.end() if end else (n if name in ("script", "style") else at)
                 self._add(block[-1], " ", 0)
                 continue
@@ -71,29 +89,32 @@ class Dom:
                 continue
             anchors = self._imply(name, stack, block, anchors)
             k = len(self.tag)
-            self.tag.append(name), self.parent.append(stack[-1]), self.attrs.append(m[3]), self.text.append([]), self.link.append(0)
-            if m[3].rstrip().endswith("/") and name not in BLOCK:
+            self.tag.append(name), self.parent.append(stack[-1]), self.attrs.append(raw), self.text.append([]), self.link.append(0)
+            if raw.rstrip().endswith("/") and name not in BLOCK:
                 continue
             stack.append(k)
+            self.opened[name] += 1
             anchors += name == "a"
             if name in BLOCK:
                 block.append(k)
 
-    def _open(self, stack: list[int], name: str) -> bool:
-        return any(self.tag[k] == name for k in stack)
+    def _close(self, stack: list[int]) -> int:
+        k = stack.pop()
+        self.opened[self.tag[k]] -= 1
+        return k
 
     def _imply(self, name: str, stack: list[int], block: list[int], anchors: int) -> int:
         ends, stop = _ENDS.get(name, (None, None))
         if ends is None and name in BLOCK and name not in ("tbody", "thead", "tfoot"):
             ends, stop = {"p"}, _SCOPE
-        if ends:
+        if ends and any(self.opened[t] for t in ends):
             for i in range(len(stack) - 1, 0, -1):
                 t = self.tag[stack[i]]
                 if t in ends:
-                    for k in stack[i:]:
-                        anchors -= self.tag[k] == "a"
-                    del stack[i:]
-                    while block[-1] not in stack:
+                    first = stack[i]
+                    while len(stack) > i:
+                        anchors -= self.tag[self._close(stack)] == "a"
+                    while block[-1] >= first:  # nodes are numbered in page order
                         block.pop()
                     break
                 if t in stop:

@@ -1,7 +1,7 @@
 """Main text of web pages by boosted trees over DOM nodes (operator 4).
 
-Every element and every loose run of text gets features: its tag and attribute tokens
-and those of its ancestors, depth, density of text, links and tags in its subtree, and
+Every element and every loose run of text gets features: its tag, its hashed attribute
+tokens (as log-odds learned for each bucket) and those of its ancestors, depth, density of text, links and tags in its subtree, and
 statistics of its siblings. Boosted trees give log-odds that a node's subtree holds
 main text. Decoding is hierarchical: the labelling with the highest total that never
 puts a kept node under a dropped one is found by one pass up and one down the tree.
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,18 +29,14 @@ from quire.llm.common import col, small_batches
 from quire.llm.dom import BLOCK, Dom, attributes
 
 #: Bound of the training set: composed pages and their seed.
-PAGES, SEED = 900, 20
+PAGES, SEED = 3000, 20
 
-# Tags and attribute tokens that speak for or against main text.
+#: Buckets of hashed attribute tokens and their parts, and occurrences with which a token speaks as much as its parts.
+BUCKETS, ENOUGH = 1 << 13, 8.0
+
+# Tags whose meaning speaks for or against main text.
 GOOD_TAGS = frozenset("article main".split())
 BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset label input".split())
-GOOD_TOKENS = frozenset("article content post entry main body story text prose page maincontent articlebody postcontent entrycontent".split())
-BAD_TOKENS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs"
-    " footer foot header masthead sidebar side aside rail widget comment comments comentarios disqus reply replies discussion cookie cookies consent"
-    " gdpr notice alert popup modal overlay toast related recommended share sharing social follow subscribe newsletter signup login search form"
-    " copyright legal toolbar pagination pager tags skip hidden outbrain taboola".split()
-)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -59,6 +57,40 @@ def _tokens(raw: str) -> list[str]:
     return words
 
 
+def _buckets(token: str) -> list[int]:
+    """Buckets of a token (first) and of its four-letter parts."""
+    edged = f"^{token}$"
+    return [zlib.crc32(x.encode()) % BUCKETS for x in (edged + "=", *(edged[i : i + 4] for i in range(len(edged) - 3)))]
+
+
+class TokenWeights:
+    """Log-odds of holding main text for hashed attribute tokens, learned from labelled nodes.
+
+    A token that was seldom or never seen is judged by its four-letter parts.
+    """
+
+    def __init__(self, tokens: list[list[str]], y: np.ndarray):
+        held = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+        for t, label in zip(tokens, y):
+            if t:
+                held[int(label)][np.unique(np.concatenate([_buckets(x) for x in set(t)]))] += 1
+        labels_ = [label for t, label in zip(tokens, y) if t]
+        base = float(np.mean(labels_)) if labels_ else 0.5
+        self.seen = held[0] + held[1]
+        self.odds = np.log((held[1] + 2 * base) / (held[0] + 2 * (1 - base))) - np.log(base / (1 - base)) if 0 < base < 1 else np.zeros(BUCKETS)
+        self.known: dict[str, float] = {}
+
+    def __call__(self, token: str) -> float:
+        if token not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            b = _buckets(token)
+            own = self.seen[b[0]] / (self.seen[b[0]] + ENOUGH)
+            parts = np.mean(self.odds[b[1:]]) if len(b) > 1 else 0.0
+            self.known[token] = float(own * self.odds[b[0]] + (1 - own) * parts)
+        return self.known[token]
+
+
 class Page:
     """Nodes of a page for the model: block elements and, beside them, loose runs of text."""
 
@@ -68,30 +100,31 @@ class Page:
         n0 = len(dom.tag)
         keep = [k == 0 or dom.tag[k] in BLOCK or dom.tag[k] not in _INLINE for k in range(n0)]
         self.node = [0] * n0
-        self.tag, self.parent, self.good, self.bad = [], [], [], []
+        self.tag, self.parent, self.tokens = [], [], []
         for k in range(n0):
             up = self.node[dom.parent[k]] if k else -1
             if not keep[k]:
                 self.node[k] = up
                 continue
             self.node[k] = len(self.tag)
-            t = _tokens(dom.attrs[k])
-            self.tag.append(dom.tag[k]), self.parent.append(up)
-            self.good.append(sum(x in GOOD_TOKENS for x in t)), self.bad.append(sum(x in BAD_TOKENS for x in t))
+            self.tag.append(dom.tag[k]), self.parent.append(up), self.tokens.append(_tokens(dom.attrs[k]))
         parents = {p for p in self.parent if p >= 0}
         self.at: list[int] = []  # node of each block of text
         for block, _ in self.blocks:
             k = self.node[block]
             if k in parents:  # loose text beside other elements is a node of its own
                 k = len(self.tag)
-                self.tag.append("#text"), self.parent.append(self.node[block]), self.good.append(0), self.bad.append(0)
+                self.tag.append("#text"), self.parent.append(self.node[block]), self.tokens.append([])
             self.at.append(k)
         self.links = [0] * len(self.tag)
         for k in range(n0):
             self.links[self.node[k]] += dom.link[k]
 
-    def features(self) -> np.ndarray:
+    def features(self, weight: TokenWeights) -> np.ndarray:
         n = len(self.tag)
+        odds = [[weight(x) for x in t] for t in self.tokens]
+        own_good = [sum(x for x in w if x > 0) for w in odds]
+        own_bad = [-sum(x for x in w if x < 0) for w in odds]
         parent = self.parent
         length, words, stops, count, first = ([0] * n for _ in range(5))
         total = 0
@@ -104,8 +137,8 @@ class Page:
             total += len(text)
         paras = [int(t == "p") for t in self.tag]
         link, tags = list(self.links), [1] * n
-        good = [int(t in GOOD_TAGS) + g for t, g in zip(self.tag, self.good)]
-        bad = [int(t in BAD_TAGS) + b for t, b in zip(self.tag, self.bad)]
+        good = [2 * (t in GOOD_TAGS) + g for t, g in zip(self.tag, own_good)]
+        bad = [2 * (t in BAD_TAGS) + b for t, b in zip(self.tag, own_bad)]
         in_good, in_bad = list(good), list(bad)
         kids: list[list[int]] = [[] for _ in range(n)]
         for k in range(1, n):
@@ -123,8 +156,8 @@ class Page:
             p = parent[k]
             depth[k] = depth[p] + 1
             over_good[k] = over_good[p] + good[p]
-            over_bad[k] = over_bad[p] + bad[p] + (self.tag[p] == "header" and not over_good[p])
-            in_header[k] = int(in_header[p] or (self.tag[k] == "header" and over_good[k] > 0))
+            over_bad[k] = over_bad[p] + bad[p] + 2 * (self.tag[p] == "header" and over_good[p] < 1)
+            in_header[k] = int(in_header[p] or (self.tag[k] == "header" and over_good[k] >= 1))
         out = np.zeros((n, len(FEATURES)))
         for k in order:
             p, t = parent[k], self.tag[k]
@@ -132,7 +165,7 @@ class Page:
             ns = len(sib)
             sib_len = (length[p] - length[k]) / max(1, ns - 1) if p >= 0 else 0
             out[k] = (
-                depth[k], t in GOOD_TAGS, t in BAD_TAGS, self.good[k], self.bad[k], over_good[k], over_bad[k],
+                depth[k], t in GOOD_TAGS, t in BAD_TAGS, own_good[k], own_bad[k], over_good[k], over_bad[k],
                 t == "p", len(t) == 2 and t[0] == "h" and t[1].isdigit(), t in ("li", "dt", "dd"), t in ("div", "section", "body", "html", "#root", "table", "td"),
                 t == "#text", t == "header", in_header[k],
                 np.log1p(length[k]), length[k] / max(1, total), link[k] / max(1, length[k]), tags[k] / max(1, words[k]),
@@ -145,10 +178,10 @@ class Page:
                 names: dict[str, int] = {}
                 for k in kids[p]:
                     names[self.tag[k]] = names.get(self.tag[k], 0) + 1
-                held = sum(in_good[k] > 0 for k in kids[p])
+                held = sum(in_good[k] >= 1 for k in kids[p])
                 for k in kids[p]:
                     out[k, alike] = min(names[self.tag[k]], 50)
-                    out[k, near] = held - (in_good[k] > 0)
+                    out[k, near] = held - (in_good[k] >= 1)
         return out
 
     def decode(self, margin: np.ndarray) -> list[bool]:
@@ -186,6 +219,7 @@ class _Composer:
         self.r = rng
         self.words = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(1, 4))) for _ in range(200)]
         self.main: list[str] = []
+        self.opaque = rng.random() < 0.25
 
     def some(self, lo: int, hi: int, end: str = ".") -> str:
         w = [self.r.choice(self.words) + (self.r.choice(",.") if self.r.random() < 0.1 else "") for _ in range(self.r.randrange(lo, hi))]
@@ -195,10 +229,14 @@ class _Composer:
     def links(self, n: int) -> str:
         return "".join(f'<li><a href="/{i}">{self.some(1, 3, "")}</a></li>' for i in range(n))
 
-    def cls(self, *names: str) -> str:
+    def cls(self, kind: str) -> str:
+        """An attribute with a name for the kind of block; some pages use none, or opaque ones."""
         how = self.r.random()
-        name = self.r.choice(names)
-        name = name if how < 0.5 else self.r.choice([f"site-{name}", f"{name}-wrap", f"{name} box", f"{name}_1", f"c-{name}"])
+        if self.opaque and how < 0.8:
+            return "" if how < 0.4 else f' class="{"".join(self.r.choices("abcdefghijkmnpqrstuvwxyz0123456789", k=6))}"'
+        name = self.r.choice(_NAMES[kind].split())
+        how = self.r.random()
+        name = name if how < 0.5 else self.r.choice([f"site-{name}", f"{name}-wrap", f"{name} box", f"{name}_1", f"c-{name}", f"{name}s", f"mod{name.capitalize()}"])
         return f' {self.r.choice(["class", "class", "id"])}="{name}"'
 
     def par(self, text: str, main: bool) -> str:
@@ -244,23 +282,23 @@ class _Composer:
         text = self.some(*r.choice([(1, 4), (4, 15), (15, 60)]))
         k = r.randrange(9)
         if k == 0:
-            return f"<div{self.cls('ad', 'ads', 'advert', 'banner', 'sponsored', 'promo')}>{text}</div>"
+            return f"<div{self.cls('advert')}{r.choice(['', '', '', ' hidden', ' style="display: none"'])}>{text}</div>"
         if k == 1:
-            return f"<aside{self.cls('sidebar', 'related', 'widget') if r.random() < 0.6 else ''}>{self.par(text, False)}</aside>"
+            return f"<aside{self.cls('side') if r.random() < 0.6 else ''}>{self.par(text, False)}</aside>"
         if k == 2:
-            return f"<div{self.cls('sidebar', 'related', 'share', 'social', 'newsletter', 'recommended')}><h3>{self.some(1, 4, '')}</h3><ul>{self.links(r.randrange(1, 8))}</ul></div>"
+            return f"<div{self.cls(r.choice(['side', 'share']))}><h3>{self.some(1, 4, '')}</h3><ul>{self.links(r.randrange(1, 8))}</ul></div>"
         if k == 3:
-            return f"<form action='/s'{self.cls('search', 'login', 'signup') if r.random() < 0.5 else ''}><label>{self.some(1, 4, '')}</label><p>{text}</p><input name=q><button>{self.some(1, 3, '')}</button></form>"
+            return f"<form action='/s'{self.cls('form') if r.random() < 0.5 else ''}><label>{self.some(1, 4, '')}</label><p>{text}</p><input name=q><button>{self.some(1, 3, '')}</button></form>"
         if k == 4:
-            return f"<div{self.cls('cookie', 'notice', 'consent', 'alert', 'popup')}>{self.par(text, False)}<button>OK</button></div>"
+            return f"<div{self.cls('notice')}>{self.par(text, False)}<button>OK</button></div>"
         if k in (5, 6):
             n = r.randrange(1, 6)
-            inner = "".join(f"<div{self.cls('comment', 'reply')}>{self.par(self.some(3, 60), False)}</div>" if r.random() < 0.6 else f"<li>{self.par(self.some(3, 60), False)}</li>" for _ in range(n))
+            inner = "".join(f"<div{self.cls('comment')}>{self.par(self.some(3, 60), False)}</div>" if r.random() < 0.6 else f"<li>{self.par(self.some(3, 60), False)}</li>" for _ in range(n))
             tag = r.choice(["div", "section", "ol"])
-            return f"<{tag}{self.cls('comments', 'discussion', 'replies')}><h3>{self.some(1, 3, '')}</h3>{inner}</{tag}>"
+            return f"<{tag}{self.cls('comment')}><h3>{self.some(1, 3, '')}</h3>{inner}</{tag}>"
         if k == 7:
             return f"<nav><ul>{self.links(r.randrange(1, 9))}</ul></nav>"
-        return f"<div{self.cls('breadcrumb', 'menu', 'navigation', 'tags', 'pagination')}>" + " ".join(f"<a href='/{i}'>{self.some(1, 3, '')}</a>" for i in range(r.randrange(1, 7))) + "</div>"
+        return f"<div{self.cls('menu')}>" + " ".join(f"<a href='/{i}'>{self.some(1, 3, '')}</a>" for i in range(r.randrange(1, 7))) + "</div>"
 
     def page(self) -> str:
         r = self.r
@@ -269,31 +307,45 @@ class _Composer:
             before.append(f"<nav><ul>{self.links(r.randrange(2, 12))}</ul></nav>")
         if r.random() < 0.4:
             head = f"<a href='/'>{self.some(1, 3, '')}</a>" + (f"<h1>{self.some(1, 4, '')}</h1>" if r.random() < 0.3 else "") + (f"<p>{self.some(2, 8)}</p>" if r.random() < 0.5 else "")
-            before.append(f"<header>{head}</header>" if r.random() < 0.6 else f"<div{self.cls('header', 'masthead')}>{head}</div>")
+            before.append(f"<header>{head}</header>" if r.random() < 0.6 else f"<div{self.cls('header')}>{head}</div>")
         before += [self.waste() for _ in range(r.choice([0, 0, 1, 1, 2, 3]))]
         r.shuffle(before)
         after += [self.waste() for _ in range(r.choice([0, 0, 1, 1, 2, 4]))]
         if r.random() < 0.85:
             foot = f"&copy; {self.some(1, 10)}" if r.random() < 0.6 else self.par(self.some(2, 30), False) + f"<ul>{self.links(3)}</ul>"
-            after.append(f"<footer>{foot}</footer>" if r.random() < 0.7 else f"<div{self.cls('footer', 'copyright')}>{foot}</div>")
+            after.append(f"<footer>{foot}</footer>" if r.random() < 0.7 else f"<div{self.cls('footer')}>{foot}</div>")
         body = self.article()
         how = r.random()
         if how < 0.45:
-            body = f"<article{self.cls('post', 'story') if r.random() < 0.3 else ''}>{body}</article>"
+            body = f"<article{self.cls('article') if r.random() < 0.3 else ''}>{body}</article>"
         elif how < 0.55:
             body = f"<main>{body}</main>"
         elif how < 0.62:
             body = f"<main><article>{body}</article>{self.waste() if r.random() < 0.5 else ''}</main>"
         elif how < 0.87:
-            body = f"<div{self.cls('content', 'post', 'entry', 'article', 'story', 'main', 'text')}>{body}</div>"
+            body = f"<div{self.cls('article')}>{body}</div>"
         elif how < 0.92:
             body = f"<div>{body}</div>"
         if r.random() < 0.3:
-            body = f"<div{self.cls('container', 'wrapper', 'row', 'layout')}>" + (self.waste() if r.random() < 0.4 else "") + body + "</div>"
+            body = f"<div{self.cls('frame')}>" + (self.waste() if r.random() < 0.4 else "") + body + "</div>"
         head = '<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body>'
         return head + "".join(before) + body + "".join(after) + r.choice(["</body></html>", ""])
 
 
+# Names that sites give to their blocks, by kind.
+_NAMES = {
+    "article": "article content post entry main body story text prose maincontent articlebody postcontent entrycontent artikel beitrag inhalt meldung contenu texte articulo contenido cuerpo noticia",
+    "advert": "ad ads advert advertisement banner sponsor sponsored promo promotion anzeige werbung publicite reklame anuncio publicidad outbrain taboola",
+    "side": "sidebar side aside rail widget related recommended teaser seitenleiste randspalte lateral colonne mehr-zum-thema",
+    "share": "share sharing social follow newsletter subscribe teilen partager compartir",
+    "form": "search login signup register suche anmeldung recherche connexion buscar",
+    "notice": "cookie cookies notice consent gdpr alert popup modal overlay toast hinweis datenschutz avis aviso",
+    "comment": "comment comments reply replies discussion disqus responses kommentar leserkommentar leserbrief forum commentaire reactions comentarios opiniones",
+    "menu": "menu nav navbar navigation breadcrumb tags pagination pager toolbar menue brotkrumen fil-ariane migas navegacion",
+    "header": "header head masthead topbar kopf entete cabecera",
+    "footer": "footer foot copyright legal colophon fuss impressum pied mentions pie",
+    "frame": "container wrapper row layout grid page wrap col",
+}
 _SYLLABLES = "the an er re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
 
 
@@ -318,35 +370,46 @@ def labels(page: Page, main: list[str]) -> np.ndarray:
     return y
 
 
-@lru_cache(maxsize=2)
-def train(pages: int = PAGES, seed: int = SEED) -> Boosted:
-    made = [(Page(h), m) for h, m in composed(pages, seed)]
-    return fit(np.concatenate([p.features() for p, _ in made]), np.concatenate([labels(p, m) for p, m in made]))
+@dataclass
+class Extractor:
+    """What was learned: token weights and trees."""
 
+    weight: TokenWeights
+    trees: Boosted
 
-def main_texts(model: Boosted, sources: list[str | None]) -> list[str]:
-    """Main text of each page; null and empty pages give an empty text."""
-    pages = [Page(s or "") for s in sources]
-    if not pages:
-        return []
-    margin = model.margin(np.concatenate([p.features() for p in pages]))
-    ends = np.cumsum([len(p.tag) for p in pages])
-    return [p.text(p.decode(m)) for p, m in zip(pages, np.split(margin, ends[:-1]))]
+    def texts(self, sources: list[str | None]) -> list[str]:
+        """Main text of each page; null and empty pages give an empty text."""
+        pages = [Page(s or "") for s in sources]
+        if not pages:
+            return []
+        margin = self.trees.margin(np.concatenate([p.features(self.weight) for p in pages]))
+        ends = np.cumsum([len(p.tag) for p in pages])
+        return [p.text(p.decode(m)) for p, m in zip(pages, np.split(margin, ends[:-1]))]
+
+
+@lru_cache(maxsize=2)
+def train(pages: int = PAGES, seed: int = SEED) -> Extractor:
+    """Token weights from one half of the composed pages, trees from the other, so trees see weights as they will be."""
+    made = [(Page(h), m) for h, m in composed(pages, seed)]
+    y = [labels(p, m) for p, m in made]
+    half = len(made) // 2
+    weight = TokenWeights([t for p, _ in made[:half] for t in p.tokens], np.concatenate(y[:half]))
+    return Extractor(weight, fit(np.concatenate([p.features(weight) for p, _ in made[half:]]), np.concatenate(y[half:])))
 
 
-def extract(html: Column, model: Boosted, session) -> Column:
+def extract(html: Column, model: Extractor, session) -> Column:
     shared = session.sparkContext.broadcast(model)
 
     def extracted(html: pa.Array) -> pa.Array:
         out: list[str] = []
         for i in range(0, len(html), 64):
-            out += main_texts(shared.value, html.slice(i, 64).to_pylist())
+            out += shared.value.texts(html.slice(i, 64).to_pylist())
         return pa.array(out, pa.string())
 
     return F.arrow_udf(extracted, "string")(html)
 
 
-def extract_pages(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
     """One row per input row: ``page_id, url, text, n_chars``.
 
     Blocks of the article in page order, joined by one line feed; character references

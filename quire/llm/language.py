@@ -26,6 +26,8 @@ from quire.llm.common import col, cut, has_at_most, portions, small_batches
 
 #: Bound of the training sample: documents of each language, and hashed grams.
 SAMPLE_PER_LANGUAGE, BUCKETS = 400, 1 << 16
+#: Values of lang that are learned at most, and tasks that count their samples.
+MOST_LANGUAGES, SAMPLE_TASKS = 256, 16
 #: Share of a language's letters that must be in a script for it to be a candidate there.
 SCRIPT_SHARE = 0.02
 SWITCH_PENALTY = 14.0
@@ -253,15 +255,18 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageM
     """Learn from text and lang of rows that are not held out and have a doc_id.
 
     At most ``per_language`` documents of each language, those whose hashed id is
-    smallest, are counted on the executors; the driver gets the hashed counts of
-    eight tasks only, whose size does not depend on the input.
+    smallest, are counted on the executors, each language in one task; the driver gets
+    the hashed counts of each language, 512 KB, for at most ``MOST_LANGUAGES`` values of
+    lang (more raise a ValueError).
     """
     rows = docs.select(col("doc_id").alias("doc_id"), col("lang").cast("string").alias("lang"), col("text").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     # Null texts may be drawn; they teach nothing, and only the narrow columns are read here.
     known = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"))
     sizes = cut(known.groupBy("lang").agg(F.count("*").alias("n")))
-    sizes = F.broadcast(sizes) if has_at_most(sizes, 10_000) else sizes
+    if not has_at_most(sizes, MOST_LANGUAGES):
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
+    sizes = F.broadcast(sizes)
     # First about twice as many as needed by hash alone, so that no task orders a whole language.
     ids = cut(
         known.join(sizes, "lang").where(F.col("h") * F.col("n") < F.lit(2.0 * per_language * (1 << 31))).select("doc_id", "lang", "h").distinct()
@@ -271,7 +276,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageM
     )
     ids = F.broadcast(ids) if has_at_most(ids, 200_000) else ids
     sample = rows.join(ids, ["doc_id", "lang"], "left_semi")
-    parts = sample.select("lang", "text").coalesce(8).mapInArrow(_count, _COUNTS).collect()
+    parts = sample.select("lang", "text").repartition(SAMPLE_TASKS, "lang").mapInArrow(_count, _COUNTS).collect()
     langs = sorted({p.lang for p in parts})
     c = np.zeros((BUCKETS, len(langs)))
     scripts = np.zeros((len(SCRIPTS) + 1, len(langs)))

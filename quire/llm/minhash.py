@@ -38,6 +38,8 @@ from quire.llm.components import connected_components
 WORDS, HASHES, BANDS, ROWS, BITS, BLOCK = 5, 256, 48, 5, 2, 512
 #: Ids up to which the list of documents to confirm is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Buckets with several members up to which their list is broadcast (24 bytes each).
+BROADCAST_BUCKETS = 400_000
 
 _U = np.uint64
 _MUL = (np.random.default_rng(20240607).integers(1, 2**63, HASHES, dtype=np.uint64) << _U(1)) | _U(1)
@@ -237,11 +239,14 @@ def _in_blocks(members: DataFrame, more: DataFrame, threshold: int, floor: float
     return tiles.mapInArrow(_blocks(threshold, floor), "u long, v long").distinct()
 
 
+def _light(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, to be broadcast if there are at most so many."""
+    return F.broadcast(rows) if has_at_most(rows, most) else rows
+
+
 def _named(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts whose id is among ``ids(id)``; only those are moved if the ids are few enough to broadcast."""
-    ids = ids.distinct()
-    ids = F.broadcast(ids) if has_at_most(ids, BROADCAST_IDS) else ids
-    return texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    return texts.join(_light(ids.distinct(), BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id", "text"])
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -271,13 +276,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes)
     floor = threshold / 100 - slack(threshold / 100)
     signatures = classes.select("rep", "packed")
-    in_band = "PARTITION BY band"
-    members = (
-        classes.select("rep", F.explode("bands").alias("band"))
-        .selectExpr("band", "rep", f"count(*) OVER ({in_band}) AS m", f"min(rep) OVER ({in_band}) AS first")
-        .where("m > 1")
-    )
-    members = cut(members)
+    every = classes.select("rep", F.explode("bands").alias("band"))
+    buckets = cut(every.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1"))
+    members = cut(every.join(_light(buckets, BROADCAST_BUCKETS), "band"))
     texts = ids.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
 
     stars = members.where("first <> rep").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct()
@@ -286,15 +287,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = F.arrow_udf(_estimates, "double")("packed_u", "packed_v") >= floor
     links = cut(_confirm(cut(stars.where(near).select("u", "v")), texts, threshold))
     label = connected_components(links).withColumnRenamed("node", "rep")
-    open_ = (
-        members.join(label, "rep", "left")
-        .withColumn("label", F.coalesce("component", "rep"))
-        .drop("component")
-        .selectExpr("*", f"min(label) OVER ({in_band}) AS lo", f"max(label) OVER ({in_band}) AS hi")
-        .where("lo <> hi")
-        .drop("lo", "hi", "first")
-    )
-    open_ = cut(open_)
+    labelled = cut(members.join(label, "rep", "left").select("band", "rep", "m", F.coalesce("component", "rep").alias("label")))
+    several = cut(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"))
+    open_ = cut(labelled.join(_light(several, BROADCAST_BUCKETS), "band", "left_semi"))
     more = _named(texts, open_.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep").join(signatures, "rep")
     links = cut(links.union(_in_blocks(open_, more, threshold, floor)))
     label = connected_components(links).withColumnRenamed("node", "rep")

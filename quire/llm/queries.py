@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, extract, language, minhash, pieces, quality, secrets, sharding, token_counts, warc
-from quire.llm.common import table
+from quire.llm.common import shared_folder, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,8 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    """The map goes through the shared folder: version 1 is written there and read back."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,16 +81,25 @@ WITH block AS (
          || 'Content-Type: application/http; msgtype=response' || {_NL}
          || 'Content-Length: ' || cast(strlen(block) AS VARCHAR) || {_NL} || {_NL} || block || {_NL} || {_NL} AS record
   FROM block
+), side AS (
+  SELECT 'a' AS side, page_id, record FROM record
+  UNION ALL
+  SELECT 'b', page_id, CASE WHEN page_id % {warc.DAMAGE_EVERY} = {warc.CHANGED_AT} THEN left(record, length(record) - 5) || chr(1) || {_NL} || {_NL} ELSE record END
+  FROM record WHERE page_id % {warc.DAMAGE_EVERY} <> {warc.MISSING_AT}
+  UNION ALL
+  SELECT 'b', -page_id, record FROM record WHERE page_id % {warc.DAMAGE_EVERY} = {warc.EXTRA_AT}
 ), leaf AS (
-  SELECT coalesce(page_id // {warc.RECORDS_PER_FILE}, -1) AS file, page_id, record, sha256(record) AS digest_a,
-         row_number() OVER w - 1 AS idx, sum(strlen(record)) OVER w AS stop
-  FROM record WINDOW w AS (PARTITION BY coalesce(page_id // {warc.RECORDS_PER_FILE}, -1) ORDER BY page_id, sha256(record) ROWS UNBOUNDED PRECEDING)
-)
-SELECT cast(file AS BIGINT) AS file, cast(idx AS INTEGER) AS idx, page_id, 'changed' AS status,
-       cast(stop - strlen(record) AS BIGINT) AS start_a, cast(stop AS BIGINT) AS end_a,
-       cast(stop - strlen(record) AS BIGINT) AS start_b, cast(stop AS BIGINT) AS end_b,
-       digest_a, sha256(left(record, length(record) - 5) || chr(1) || {_NL} || {_NL}) AS digest_b
-FROM leaf WHERE page_id % {warc.DAMAGE_EVERY} = {warc.DAMAGE_AT}
+  SELECT side, page_id, (page_id % {warc.RECORDS_PER_FILE} + {warc.RECORDS_PER_FILE}) % {warc.RECORDS_PER_FILE} AS idx, strlen(record) AS size, sha256(record) AS digest FROM side
+), placed AS (
+  SELECT *, (page_id - idx) // {warc.RECORDS_PER_FILE} AS file FROM leaf
+), ranged AS (
+  SELECT *, sum(size) OVER (PARTITION BY side, file ORDER BY idx ROWS UNBOUNDED PRECEDING) AS stop FROM placed
+), one AS (SELECT * FROM ranged WHERE side = 'a'), two AS (SELECT * FROM ranged WHERE side = 'b')
+SELECT cast(coalesce(one.file, two.file) AS BIGINT) AS file, cast(coalesce(one.idx, two.idx) AS BIGINT) AS idx, coalesce(one.page_id, two.page_id) AS page_id,
+       CASE WHEN two.page_id IS NULL THEN 'missing' WHEN one.page_id IS NULL THEN 'extra' ELSE 'changed' END AS status,
+       cast(one.stop - one.size AS BIGINT) AS start_a, cast(one.stop AS BIGINT) AS end_a, cast(two.stop - two.size AS BIGINT) AS start_b, cast(two.stop AS BIGINT) AS end_b,
+       one.digest AS digest_a, two.digest AS digest_b
+FROM one FULL JOIN two ON one.page_id = two.page_id WHERE one.digest IS DISTINCT FROM two.digest
 """
 #: In these tables the article element holds the whole text; blocks are its headings and paragraphs.
 _OP4 = r"""

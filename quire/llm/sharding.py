@@ -1,13 +1,13 @@
 """Sharding by fixed virtual slots (operator 5), with DataFrame functions only.
 
-A record's id is hashed into one of a fixed number of virtual slots. Bytes are summed
+A record is hashed into one of a fixed number of virtual slots. Bytes are summed
 per slot, and a map of that fixed size says which shard holds which slot. The first
 map deals the slots, largest first, to the shard that is lightest so far; later ones
 are edits: a new shard takes slots from all others and nothing else moves. Maps are
 stored as versions.
 
-A hot source or a group of copies is spread over all slots, because only ids are
-hashed. A row's place in its shard is its place in its slot plus the rows of the
+A hot source, a group of copies and rows without an id are spread over all slots: a
+slot follows from id, text and number of the copy. A row's place in its shard is its place in its slot plus the rows of the
 shard's earlier slots, so no task ever orders a whole shard.
 """
 
@@ -16,21 +16,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import col
+from quire.llm.common import col, cut
 
 SLOTS, SHARDS = 4096, 16
+#: Copies of one row that a task deals out at once.
+COPIES = 4096
 _BY_SLOT = "PARTITION BY shard ORDER BY virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot``; a null text counts as empty."""
+    """``doc_id, size, text_crc32, virtual_slot``; a null text counts as empty.
+
+    The slot follows from id, text and, for repeated rows, the number of the copy, so
+    neither rows without an id nor a row that occurs very often share a slot. Copies
+    are counted before they are moved and dealt out again in blocks.
+    """
     text = F.coalesce(col(text_col), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(col(id_col)), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
+    rows = cut(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")))
+    once = rows.where("copies = 1").withColumn("copy", F.lit(0).cast("long"))
+    blocks = rows.where("copies > 1").withColumn("block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+    many = blocks.repartition("doc_id", "size", "text_crc32", "block")
+    many = many.withColumn("copy", F.explode(F.expr(f"sequence(block * {COPIES}, least(copies, (block + 1) * {COPIES}) - 1)"))).drop("block")
+    slot = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "copy"), F.lit(slots)).cast("int")
+    return once.unionByName(many).select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -62,16 +75,56 @@ def grow_map(slot_map: DataFrame, shards: int) -> DataFrame:
     return slot_map.selectExpr("virtual_slot", "bytes", "n_rows", f"cast(if({given} <= {share}, {shards}, shard) AS int) AS shard")
 
 
+def rebalance_map(slot_map: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Edit a map for the slots' present sizes: only slots of shards above the mean move.
+
+    Slots are looked at by falling bytes; one moves to the lightest shard if that leaves
+    the lightest below where the slot's own shard was. Slots that the map lacks are dealt so too.
+    """
+    now = sizes.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot", "left")
+    slots = now.agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "n_rows", F.coalesce("shard", F.lit(-1)).alias("shard")))).alias("slots"))
+    slots = slots.selectExpr("slots", f"transform(sequence(0, {shards - 1}), k -> aggregate(filter(slots, s -> s.shard = k), 0L, (n, s) -> n - s.less)) AS loads", "aggregate(slots, 0L, (n, s) -> n - s.less) AS total")
+    dealt = slots.selectExpr(f"""
+        aggregate(slots, struct(loads AS loads, cast(array() AS array<int>) AS shards),
+          (acc, s) -> named_struct(
+            'loads', transform(acc.loads, (x, k) -> x
+              + if(k = array_position(acc.loads, array_min(acc.loads)) - 1 AND (s.shard < 0 OR (get(acc.loads, s.shard) * {shards} > total AND array_min(acc.loads) - s.less < get(acc.loads, s.shard))), -s.less, 0L)
+              + if(k = s.shard AND get(acc.loads, s.shard) * {shards} > total AND array_min(acc.loads) - s.less < get(acc.loads, s.shard), s.less, 0L)),
+            'shards', concat(acc.shards, array(cast(if(
+              s.shard < 0 OR (get(acc.loads, s.shard) * {shards} > total AND array_min(acc.loads) - s.less < get(acc.loads, s.shard)),
+              array_position(acc.loads, array_min(acc.loads)) - 1, s.shard) AS int)))),
+          acc -> acc.shards) AS shards""", "slots")
+    return dealt.selectExpr("inline(arrays_zip(slots, shards))").selectExpr(
+        "slots.virtual_slot AS virtual_slot", "-slots.less AS bytes", "slots.n_rows AS n_rows", "shards AS shard"
+    )
+
+
 def write_map(slot_map: DataFrame, path: str, version: int) -> None:
     """Store a map as a version; an existing version is never overwritten."""
     slot_map.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the stored versions, one folder each."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(folder)]
+    return sorted(int(x[8:]) for x in names if x.startswith("version="))
+
+
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version, the latest by default."""
-    maps = spark.read.parquet(path)
-    version = maps.agg(F.max("version")).first()[0] if version is None else version
-    return maps.where(F.col("version") == version).drop("version")
+    version = max(versions(spark, path)) if version is None else version
+    return spark.read.parquet(f"{path}/version={version}")
+
+
+def stored_map(spark: SparkSession, path: str, sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The map to place rows by: version 1 where none is stored, else the latest one edited for ``sizes`` and stored as the next."""
+    held = versions(spark, path)
+    write_map(rebalance_map(read_map(spark, path), sizes, shards) if held else first_map(sizes, shards), path, max(held, default=0) + 1)
+    return read_map(spark, path)
 
 
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -83,16 +136,21 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.col("start") + F.col("place"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, store: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot``.
 
     The law is ``bytes``: shards are near equal in bytes. ``slot`` is the row's place in
     its shard, gapless from 0; ``grown_shard`` is null under this law. A null text counts
-    as empty; null ids share one slot; repeated rows get a place each; an empty table
+    as empty; rows without an id and repeated rows get a place each; an empty table
     gives no rows. Other columns are ignored.
+
+    ``store`` is a shared folder of map versions: the map is read from there, after
+    the first version, or an edited one for the present sizes, has been written. Without
+    it the map is dealt anew.
     """
     rows = records(docs, slots)
-    out = place(rows, first_map(slot_sizes(rows), shards))
+    sizes = slot_sizes(rows)
+    out = place(rows, stored_map(docs.sparkSession, store, sizes, shards) if store else first_map(sizes, shards))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
