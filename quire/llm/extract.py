@@ -222,9 +222,13 @@ class _Composer:
         self.opaque = rng.random() < 0.25
 
     def some(self, lo: int, hi: int, end: str = ".") -> str:
-        w = [self.r.choice(self.words) + (self.r.choice(",.") if self.r.random() < 0.1 else "") for _ in range(self.r.randrange(lo, hi))]
-        mark = self.r.choice(["", "", "", "", "###", "$$$", "|"])
-        return " ".join(x + mark for x in w).capitalize() + end
+        """Text of any make, whatever block it is for: also one word over and over, no stops at all, or capitals."""
+        n, how = self.r.randrange(lo, hi), self.r.random()
+        stops = self.r.choice([0.0, 0.1, 0.1, 0.2])
+        w = [self.r.choice(self.words)] * n if how < 0.06 else [self.r.choice(self.words) + (self.r.choice(",.") if self.r.random() < stops else "") for _ in range(n)]
+        mark = self.r.choice(["", "", "", "", "", "###", "$$$", "|", "!!"])
+        out = " ".join(x + mark for x in w) + (end if self.r.random() < 0.8 else "")
+        return out.upper() if 0.06 <= how < 0.1 else out.capitalize()
 
     def links(self, n: int) -> str:
         return "".join(f'<li><a href="/{i}">{self.some(1, 3, "")}</a></li>' for i in range(n))
@@ -256,10 +260,10 @@ class _Composer:
         self.main.append(title)
         h = f"<h1>{title}</h1>"
         out.append(f"<header>{h}</header>" if r.random() < 0.15 else h)
-        for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14, 30])):
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14, 30])):
             how = r.random()
             if how < 0.8:
-                out.append(self.par(self.some(*r.choice([(1, 3), (3, 12), (20, 60), (60, 160)])), True))
+                out.append(self.par(self.some(*r.choice([(1, 2), (1, 4), (3, 12), (20, 60), (60, 160)])), True))
             elif how < 0.87:
                 t = self.some(1, 6, "")
                 self.main.append(t)

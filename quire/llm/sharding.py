@@ -76,7 +76,7 @@ def grow_map(slot_map: DataFrame, shards: int) -> DataFrame:
 
 
 def rebalance_map(slot_map: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Edit a map for the slots' present sizes: only slots of shards above the mean move.
+    """Edit a map for the slots' present sizes: only slots of shards that are above the mean move.
 
     Slots are looked at by falling bytes; one moves to the lightest shard if that leaves
     the lightest below where the slot's own shard was. Slots that the map lacks are dealt so too.

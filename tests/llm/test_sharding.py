@@ -59,3 +59,34 @@ def test_edges(spark):
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
     assert len(got) == 4 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_rows_without_id_and_hot_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 64)
+    rows = [(None, f"text {i % 500}") for i in range(2000)] + [(7, "again")] * 3000 + [(i, "x" * 20) for i in range(10, 1000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), slots=512).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2000 and sum(r.doc_id == 7 for r in got) == 3000
+    size, count, places = [0] * 16, {}, {}
+    for r in got:
+        size[r.shard] += r.size
+        count[r.virtual_slot] = count.get(r.virtual_slot, 0) + 1
+        places.setdefault(r.shard, []).append(r.slot)
+    assert max(size) < 1.05 * min(size) and max(count.values()) < 40
+    assert all(sorted(s) == list(range(len(s))) for s in places.values())
+
+
+def test_stored_versions(spark, tmp_path):
+    """The query's way: the map is written, read back, and edited when the sizes have changed."""
+    store = str(tmp_path / "maps")
+    docs = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(2000)], "doc_id long, text string")
+    first = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 4, 64, store).collect()}
+    assert sharding.versions(spark, store) == [1]
+    same = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 4, 64, store).collect()}
+    assert sharding.versions(spark, store) == [1, 2] and same == first
+    heavy = docs.union(docs.selectExpr("doc_id + 10000", "repeat('y', if(doc_id % 3 = 0, 900, 5))"))
+    out = sharding.shard_documents(heavy, 4, 64, store).collect()
+    old, new = ({r.virtual_slot: r.shard for r in sharding.read_map(spark, store, k).collect()} for k in (2, 3))
+    moved = sum(old[s] != new[s] for s in old)
+    load = [sum(r.size for r in out if r.shard == k) for k in range(4)]
+    before = [sum(r.size for r in out if old[r.virtual_slot] == k) for k in range(4)]
+    assert max(load) - min(load) < 0.5 * (max(before) - min(before)) and moved < 32 and old.keys() == new.keys()
