@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,10 +63,11 @@ def _known(part: str) -> bool:
 def _pieces(run: str) -> list[list[tuple[int, int]]]:
     """Places of the alphanumeric parts to test; UUIDs, digests and time stamps divide a run, numbers are passed over."""
     uuids = [m.span() for m in _UUID.finditer(run) if not run[m.start() - 1 : m.start()].isalnum() and not run[m.end() : m.end() + 1].isalnum()]
-    out = [[]]
+    out, k = [[]], 0
     for m in _PART.finditer(run):
-        inside = next((u for u in uuids if u[0] <= m.start() < u[1]), None)
-        if inside or _known(m[0]):
+        while k < len(uuids) and uuids[k][1] <= m.start():
+            k += 1
+        if k < len(uuids) and uuids[k][0] <= m.start() or _known(m[0]):
             out.append([])
         elif not m[0].isdigit():
             out[-1].append(m.span())
@@ -124,12 +127,16 @@ def find_secrets(text: str | None, vocabulary: str, max_chars_per_token: float =
         s, e = r.span()
         found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text, s, e) if m.end() - m.start() >= MIN_ACCESS]
         found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text, s, e) if m.end() - m.start() >= MIN_HEX]
-    more = []
+    found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
+    starts, reach, more = [s for s, _, _ in found], list(accumulate((e for _, e, _ in found), max)), []
     for r in runs:
         if len(r[0].strip("./=-_+")) < MIN_RUN:
             continue
         spans = [(r.start() + s, r.start() + e) for s, e in _random(r[0], _encoding(vocabulary), max_chars_per_token)]
-        more += [(s, e, "random") for s, e in spans if not any(a < e and s < b for a, b, _ in found)]
+        for s, e in spans:
+            k = bisect_left(starts, e)  # base spans that begin before the end of this one
+            if not k or reach[k - 1] <= s:
+                more.append((s, e, "random"))
     return sorted(found + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

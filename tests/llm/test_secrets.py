@@ -93,3 +93,32 @@ def test_random_strings_of_any_shape_and_beside_words():
         assert secrets.find_secrets(text, VOCAB) == [(s, s + len(key), "random")]
     for clean in ("release-2024.01.01-build.12.34", "20240101T000000Z", "4111111111111111", "some/long/path/of/plain-words_and.names", "123e4567-e89b-12d3-a456-426614174000.backup.tar"):
         assert secrets.find_secrets(clean, VOCAB) == [], clean
+
+
+def test_recall_by_alphabet_and_length():
+    """At least 95 % of random keys; hexadecimal capitals of a digest's length count as digests and are left out."""
+    rng = random.Random(31)
+    alphabets = {
+        "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "base32": string.ascii_uppercase + "234567",
+        "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "mixed": string.ascii_lowercase + string.digits,
+    }
+    for name, letters in alphabets.items():
+        for n in (20, 24, 32, 40, 48, 64):
+            keys = ["".join(rng.choices(letters, k=n)) for _ in range(100)]
+            hits = sum(any(e - s >= 0.6 * n for s, e, _ in secrets.find_secrets(f"the key is {k} and more", VOCAB)) for k in keys)
+            assert hits >= 95, (name, n, hits)
+    assert secrets.find_secrets("D41D8CD98F00B204E9800998ECF8427E", VOCAB) == []
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    rng = random.Random(32)
+    key = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=24))
+    text = " ".join(f"password={key()} see {key()}" for _ in range(15_000)) + " " + "-".join(["123e4567-e89b-12d3-a456-426614174000"] * 20_000)
+    t = time.time()
+    spans = secrets.find_secrets(text, VOCAB)
+    assert time.time() - t < 20
+    assert sum(k == "assign" for _, _, k in spans) == 15_000 and sum(k == "random" for _, _, k in spans) >= 14_500
+    base = [(s, e) for s, e, k in spans if k != "random"]
+    assert all(not any(a < e and s < b for a, b in base[max(0, i // 2 - 3) : i // 2 + 3]) for i, (s, e, k) in enumerate(spans) if k == "random")
