@@ -28,6 +28,12 @@ def node_pages(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "ord", F.explode(span).alias("page_no")).join(pages, ["doc_id", "page_no"])
 
 
+def with_tokens(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add ``n_tokens`` of each node's pages without touching their texts."""
+    agg = node_pages(nodes, pages.select("doc_id", "page_no", "n_tokens")).groupBy("doc_id", "ord").agg(F.sum("n_tokens").cast("int").alias("n_tokens"))
+    return nodes.drop("n_tokens").join(agg, ["doc_id", "ord"], "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
+
+
 def with_text(nodes: DataFrame, pages: DataFrame, tags: bool = False) -> DataFrame:
     """Add ``text``, the pages of each node's range joined (P2, T14), and ``n_tokens``; none gives ''."""
     rows = node_pages(nodes, pages)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 from quire.operators.pages import in_order
+from quire.sources.shared import light
 
 TOP_NODES = 5
+#: Words of questions up to which they are broadcast.
+BROADCAST_WORDS = 500_000
 
 
 def question_words(questions: DataFrame) -> DataFrame:
@@ -20,12 +23,15 @@ def scored(questions: DataFrame, rows: DataFrame, text: Column, keys: list[str])
     """Shared distinct words of each question and row, as an equi-join on words.
 
     Each row's words are made distinct before the join, so a word that occurs often in a
-    row does not multiply.
+    row does not multiply. Questions with a ``doc_id`` are only asked of that document. The
+    questions' words are broadcast if they are few, so common words are no hot keys.
     """
     vocab = question_words(questions)
-    needed = vocab.select("word").distinct()
-    words = rows.select(*keys, F.explode(F.array_distinct(t.words(F.lower(text)))).alias("word")).join(needed, "word", "left_semi")
-    return words.join(vocab, "word").groupBy("query_id", *keys).agg(F.count("*").alias("score"))
+    on = ["word"]
+    if "doc_id" in questions.columns:
+        vocab, on = vocab.join(questions.select("query_id", "doc_id"), "query_id"), ["doc_id", "word"]
+    words = rows.select(*keys, F.explode(F.array_distinct(t.words(F.lower(text)))).alias("word"))
+    return words.join(light(vocab, BROADCAST_WORDS), on).groupBy("query_id", *keys).agg(F.count("*").alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -34,17 +40,21 @@ def top_k(scores: DataFrame, k: int, *order: Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search_nodes(questions: DataFrame, nodes: DataFrame, k: int = TOP_NODES, inner_weight: float = 0.5) -> DataFrame:
-    """``query_id, doc_id, ord, node_id, score, rank``: lexical tree search.
+def node_scores(questions: DataFrame, nodes: DataFrame, inner_weight: float = 0.5) -> DataFrame:
+    """``query_id, doc_id, ord, node_id, score`` of nodes that share a word with a question.
 
     Words of title and text count; nodes with children weigh less, so specific nodes come
-    before their parents. Ties go to the smaller document and place.
+    before their parents. Questions with a ``doc_id`` are only asked of that document.
     """
     parents = nodes.where("parent_ord IS NOT NULL").select("doc_id", F.col("parent_ord").alias("ord"), F.lit(True).alias("inner")).distinct()
     rows = nodes.join(parents, ["doc_id", "ord"], "left")
     s = scored(questions, rows, F.concat_ws(" ", "title", "text"), ["doc_id", "ord", "node_id", "inner"])
-    s = s.withColumn("score", F.col("score") * F.when(F.col("inner"), F.lit(inner_weight)).otherwise(F.lit(1.0))).drop("inner")
-    return top_k(s, k, F.desc("score"), F.asc("doc_id"), F.asc("ord"))
+    return s.withColumn("score", F.col("score") * F.when(F.col("inner"), F.lit(inner_weight)).otherwise(F.lit(1.0))).drop("inner")
+
+
+def search_nodes(questions: DataFrame, nodes: DataFrame, k: int = TOP_NODES, inner_weight: float = 0.5) -> DataFrame:
+    """``query_id, doc_id, ord, node_id, score, rank``: lexical tree search (L20, L21). Ties go to the smaller document and place."""
+    return top_k(node_scores(questions, nodes, inner_weight), k, F.desc("score"), F.asc("doc_id"), F.asc("ord"))
 
 
 def with_preference(scores: DataFrame, questions: DataFrame, preferences: DataFrame) -> DataFrame:
@@ -128,3 +138,24 @@ def best_sentences(questions: DataFrame, contexts: DataFrame, k: int = 2) -> Dat
     found = cited.groupBy("query_id").agg(in_order("rank", "part", " ").alias("answer"))
     none = F.lit("The context is not sufficient to answer.")
     return questions.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("answer", none).alias("answer"))
+
+
+def holding(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """``query_id, doc_id``: documents whose text holds a question's text whole.
+
+    An equi-join on the longest inner word of the question, which such a document must have
+    as a word, and a look at the texts it leaves. Questions of fewer than three words have
+    no inner word; they alone are looked for in all documents.
+    """
+    w = t.words(F.col("query"))
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    asked = questions.select("query_id", "query", longest.alias("word"))
+    keyed = asked.where("word IS NOT NULL")
+    needed = light(keyed.select("word").distinct(), BROADCAST_WORDS)
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(t.words(F.col("text")))).alias("word")).join(needed, "word", "left_semi")
+    out = words.join(light(keyed, BROADCAST_WORDS), "word").where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    short = asked.where("word IS NULL AND query <> ''").select("query_id", "query")
+    if short.isEmpty():
+        return out
+    return out.union(docs.join(light(short, 1000), F.contains("text", F.col("query"))).select("query_id", "doc_id"))

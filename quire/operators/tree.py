@@ -118,6 +118,11 @@ def projected(nodes: DataFrame, *names: str) -> DataFrame:
     return nodes.select(*(c for c in names if c in nodes.columns))
 
 
+def described(nodes: DataFrame) -> DataFrame:
+    """What a description of a document is made from (P10)."""
+    return projected(nodes, "title", "node_id", "summary", "prefix_summary")
+
+
 def large_nodes(nodes: DataFrame, max_pages: int, min_tokens: int) -> DataFrame:
     """Nodes over both limits, whose pages are to be indexed again (T13's test)."""
     return nodes.where((F.col("end_index") - F.col("start_index") > max_pages) & (F.col("n_tokens") >= min_tokens))

@@ -16,6 +16,8 @@ from quire.operators import pages as pg
 from quire.operators import toc, tree
 from quire.plans.options import Options
 from quire.plans.reasoner import Reasoner, RuleReasoner, contents_lines
+from quire.sources.shared import shared_folder
+
 
 def _doc() -> WindowSpec:
     return Window.partitionBy("doc_id")
@@ -23,12 +25,11 @@ ITEM = ["doc_id", "idx", "structure", "title", "page_num", "physical_index"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage between rounds, by a checkpoint where the session has a folder for it, else by caching."""
+    """Cut lineage between rounds by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None and named:
-        sc.setCheckpointDir(named)
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def sizes(pages: DataFrame) -> DataFrame:
@@ -177,14 +178,15 @@ def finished(items: DataFrame, pages: DataFrame, ends: DataFrame, r: Reasoner) -
     return toc.page_ranges(toc.located(flagged), ends)
 
 
-def split_large(nodes: DataFrame, pages: DataFrame, r: Reasoner, o: Options, rounds: int = 8) -> DataFrame:
+def split_large(nodes: DataFrame, pages: DataFrame, r: Reasoner, o: Options) -> DataFrame:
     """Index the pages of oversized nodes again, below them, until none is left.
 
     A node that gives a heading equal to its own title loses that heading; its end shrinks
-    to its first child's start. ``rounds`` bounds the depth.
+    to its first child's start. Every node is split once at most, so the rounds end when
+    new nodes are small or give no headings.
     """
-    for _ in range(rounds):
-        sized = pg.with_text(nodes.withColumn("ord", F.col("idx")), pages).drop("ord", "text")
+    while True:
+        sized = pg.with_tokens(nodes.withColumn("ord", F.col("idx")), pages).drop("ord")
         big = tree.large_nodes(sized, o.max_pages_per_node, o.max_tokens_per_node).where("NOT split")
         big = cut(big.select("doc_id", "idx", "structure", "title", "start_index", "end_index"))
         if big.isEmpty():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as t
 from quire.operators import evaluate, pages, search
 from quire.operators.evaluate import FULL, TREE
+from quire.sources.shared import light
 
 
 def run(cases: DataFrame, nodes: DataFrame, page_rows: DataFrame, model: str = "rules", k: int = search.TOP_NODES) -> DataFrame:
@@ -18,9 +19,8 @@ def run(cases: DataFrame, nodes: DataFrame, page_rows: DataFrame, model: str = "
     document is unknown is an error row without a verdict. ``nodes`` need text.
     """
     q = cases.select(F.col("case_id").alias("query_id"), F.col("question").alias("query"), "doc_id", "required_facts", "forbidden_claims")
-    best = search.search_nodes(q.select("query_id", "query"), nodes.join(q.select("doc_id").distinct(), "doc_id", "left_semi"), 2**30)
-    mine = best.join(q.select("query_id", "doc_id"), ["query_id", "doc_id"])
-    mine = search.top_k(mine.drop("rank"), k, F.desc("score"), F.asc("ord"))
+    asked = nodes.join(light(q.select("doc_id").distinct(), search.BROADCAST_WORDS), "doc_id", "left_semi")
+    mine = search.search_nodes(q.select("query_id", "query", "doc_id"), asked, k)
     tree = mine.join(nodes.select("doc_id", "node_id", "text"), ["doc_id", "node_id"]).select("query_id", F.col("node_id").alias("label"), "text")
     full = q.join(page_rows, "doc_id").select("query_id", F.concat(F.lit("p"), F.col("page_no").cast("string")).alias("label"), "text")
     known = page_rows.select("doc_id").distinct().withColumn("known", F.lit(True))

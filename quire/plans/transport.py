@@ -56,18 +56,18 @@ def structured(client: Client, prompt: str, required: list[str], attempts: int =
     return {"value": value, "usage": usage, "latency": round(time.perf_counter() - began, 4), "error": error}
 
 
-def ask(prompts: DataFrame, factory: Callable[[], Client], at_once: int = 8, attempts: int = ATTEMPTS) -> DataFrame:
+def ask(prompts: DataFrame, factory: Callable[[], Client], at_once: int = 8, attempts: int = ATTEMPTS, pause: float = 1.0) -> DataFrame:
     """``prompts(id, prompt)`` -> ``id, reply, finish, attempts, total_tokens``; at most ``at_once`` calls per task.
 
     A prompt that keeps failing is a row with finish ``error``; it fails no task. Repartition
-    the input to bound the calls of the whole cluster.
+    the input to bound the calls of the whole cluster. ``pause`` scales the waits between attempts.
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
         with ThreadPoolExecutor(at_once) as pool:
             for d in it:
-                got = list(pool.map(lambda p: retried(client, p, attempts), d["prompt"]))
+                got = list(pool.map(lambda p: retried(client, p, attempts, lambda s: time.sleep(s * pause)), d["prompt"]))
                 yield pd.DataFrame({
                     "id": d["id"], "reply": [g[0] for g in got], "finish": [g[1] for g in got],
                     "attempts": [g[3] for g in got], "total_tokens": [int(g[2].get("total_tokens", 0)) for g in got],
@@ -75,3 +75,19 @@ def ask(prompts: DataFrame, factory: Callable[[], Client], at_once: int = 8, att
 
     kind = prompts.schema["id"].dataType.simpleString()
     return prompts.select("id", "prompt").mapInPandas(run, f"id {kind}, reply string, finish string, attempts int, total_tokens long")
+
+
+def ask_structured(prompts: DataFrame, factory: Callable[[], Client], required: list[str], attempts: int = 2) -> DataFrame:
+    """``prompts(id, prompt)`` -> ``id, value, error, total_tokens``; ``value`` is the reply's JSON object as text."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = factory()
+        for d in it:
+            got = [structured(client, p, required, attempts) for p in d["prompt"]]
+            yield pd.DataFrame({
+                "id": d["id"], "value": [None if g["value"] is None else json.dumps(g["value"]) for g in got],
+                "error": [g["error"] for g in got], "total_tokens": [int(g["usage"].get("total_tokens", 0)) for g in got],
+            })
+
+    kind = prompts.schema["id"].dataType.simpleString()
+    return prompts.select("id", "prompt").mapInPandas(run, f"id {kind}, value string, error string, total_tokens long")

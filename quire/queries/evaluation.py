@@ -14,18 +14,18 @@ from quire.sources.views import sql_words, with_views
 
 _WORD_HITS = f""", qw AS (SELECT DISTINCT item_id AS query_id, unnest({sql_words('lower(text)')}) AS word FROM benchmark), dw AS (SELECT DISTINCT doc_id, unnest({sql_words('lower(text)')}) AS word FROM documents),
  sc AS (SELECT query_id, doc_id, count(*) AS s FROM dw JOIN qw USING (word) GROUP BY ALL), top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 5),
- got AS (SELECT query_id, list(doc_id) AS got FROM top GROUP BY query_id), want AS (SELECT item_id AS query_id, list(d.doc_id) FILTER (WHERE d.doc_id IS NOT NULL) AS want FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text[1:40]) GROUP BY item_id),
+ got AS (SELECT query_id, list(doc_id) AS got FROM top GROUP BY query_id), want AS (SELECT item_id AS query_id, list(d.doc_id) FILTER (WHERE d.doc_id IS NOT NULL) AS want FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
  both2 AS (SELECT query_id, coalesce(want, []) AS want, coalesce(got, []) AS got FROM want LEFT JOIN got USING (query_id)),
  m AS (SELECT query_id, len(want) = 0 OR len(list_intersect(want, got)) > 0 AS hit, CASE WHEN len(want) = 0 OR len(got) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(want, got)) / len(got)::DOUBLE END AS precision, CASE WHEN len(want) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(want, got)) / len(want)::DOUBLE END AS recall FROM both2)"""
 
 
 def bench(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items with the documents that hold their beginning, and five retrieved by shared words."""
+    """Benchmark items with the documents that hold them whole, and five retrieved by shared words."""
     q = v.questions(spark, sf)
     docs = v.table(spark, sf, "documents").select("doc_id", "text")
     scores = search.scored(q, docs, F.col("text"), ["doc_id"])
     got = search.top_k(scores, 5, F.desc("score"), F.asc("doc_id")).groupBy("query_id").agg(F.collect_list("doc_id").alias("retrieved"))
-    want = docs.join(F.broadcast(q), F.contains(docs["text"], F.left(q["query"], F.lit(40)))).groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
+    want = search.holding(q, docs).groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
     none = F.expr("cast(array() AS array<bigint>)")
     return q.select("query_id").join(got, "query_id", "left").join(want, "query_id", "left").select("query_id", F.coalesce("expected", none).alias("expected"), F.coalesce("retrieved", none).alias("retrieved"))
 

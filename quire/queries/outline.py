@@ -31,7 +31,7 @@ def conv_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT page_id AS doc_id, cast(i AS INTEGER) AS page_no, b[i] AS text, cast(len({v.sql_words('b[i]')}) AS INTEGER) AS n_tokens
-FROM (SELECT page_id, b, unnest(generate_series(1, len(b))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<p>([^<]+)</p>', 1) AS b FROM pages))""")
+FROM (SELECT page_id, b, unnest(generate_series(1, len(b))) AS i FROM (SELECT page_id, list_filter(list_transform(regexp_split_to_array(html, '<p(?:\\s[^>]*)?>')[2:], lambda x: regexp_replace(split_part(x, '</p>', 1), '<[^>]*>', ' ', 'g')), lambda x: regexp_matches(x, '\\S')) AS b FROM pages))""")
 def html_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of web pages as pages (the text source that is at hand; PDF readers are optional)."""
     return v.html_blocks(spark, sf)

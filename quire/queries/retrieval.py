@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import search, tree
+from quire.plans.build import cut
 from quire.queries.outline import COLLAPSE, NL
 from quire.queries.registry import query
 from quire.queries.trees import _TEXTS, sql, text_nodes
@@ -19,7 +20,8 @@ _SCORES = f"""{_TEXTS}{_QW}, nw AS (SELECT DISTINCT doc_id, ord, node_id, unnest
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.with_parent_ord(text_nodes(spark, sf))
+    """Nodes with their texts, made once as several steps read them."""
+    return cut(tree.with_parent_ord(text_nodes(spark, sf)))
 
 
 @query(sql(f"{_SCORES} SELECT query_id, doc_id, ord, node_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ord) AS INTEGER) AS rank FROM sc QUALIFY rank <= 5"))
@@ -28,13 +30,15 @@ def tree_search_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_nodes(v.questions(spark, sf), nodes(spark, sf)).select("query_id", "doc_id", "ord", "node_id", "score", "rank")
 
 
-# Answers of a search, with repeated and unknown ids.
-_ANS = """, q AS (SELECT item_id AS query_id FROM benchmark), ids AS (SELECT query_id, query_id % 20 AS doc_id, ['0003', '0000', '9999', '0003', '0001', '0002', '0004', '0000'] AS node_list FROM q)"""
+# Answers of a search: its nodes for each document, by rank, with a repeated and an unknown id.
+_ANS = f"""{_SCORES.removeprefix(_TEXTS)}, best AS (SELECT query_id, doc_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ord) AS rank FROM sc QUALIFY rank <= 5),
+ ids AS (SELECT query_id, doc_id, list_concat(list(node_id ORDER BY rank), ['9999', '0000', list(node_id ORDER BY rank)[1], '0003']) AS node_list FROM best GROUP BY query_id, doc_id)"""
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
-    ids = F.array(*map(F.lit, ("0003", "0000", "9999", "0003", "0001", "0002", "0004", "0000")))
-    return v.questions(spark, sf).select("query_id", (F.col("query_id") % 20).alias("doc_id"), ids.alias("node_list"))
+def answers(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
+    best = search.search_nodes(v.questions(spark, sf), of)
+    ids = best.groupBy("query_id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("ids"))  # five at most
+    return ids.select("query_id", "doc_id", F.concat("ids", F.array(F.lit("9999"), F.lit("0000"), F.col("ids")[0], F.lit("0003"))).alias("node_list"))
 
 
 _DISTINCT = ", ex AS (SELECT query_id, doc_id, unnest(node_list) AS node_id, unnest(generate_series(1, len(node_list))) AS nth FROM ids), ds AS (SELECT query_id, doc_id, node_id, min(nth) AS nth FROM ex GROUP BY ALL)"
@@ -43,7 +47,8 @@ _DISTINCT = ", ex AS (SELECT query_id, doc_id, unnest(node_list) AS node_id, unn
 @query(sql(f"{_TEXTS}{_ANS}{_DISTINCT} SELECT d.query_id, d.doc_id, d.node_id, cast(row_number() OVER (PARTITION BY query_id, d.doc_id ORDER BY nth) - 1 AS INTEGER) AS pos FROM ds d JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id QUALIFY pos < 3"))
 def node_choice(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct known ids of an answer, the first three."""
-    return search.chosen(answers(spark, sf), text_nodes(spark, sf), 3)
+    n = nodes(spark, sf)
+    return search.chosen(answers(spark, sf, n), n, 3)
 
 
 @query(sql(f"{_TEXTS}{_ANS}{_DISTINCT}, top AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY nth) <= 5), "
@@ -51,21 +56,24 @@ def node_choice(spark: SparkSession, sf: str) -> DataFrame:
            f"SELECT query_id, doc_id, string_agg(part, {NL} || {NL} ORDER BY nth) AS context FROM j GROUP BY ALL"))
 def retrieved_context(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled texts of the first five distinct ids."""
-    return search.retrieved_context(answers(spark, sf), text_nodes(spark, sf))
+    n = nodes(spark, sf)
+    return search.retrieved_context(answers(spark, sf, n), n)
 
 
 @query(sql(f"{_TEXTS}{_ANS}{_DISTINCT}, pg AS (SELECT d.query_id, d.doc_id, p.page_no, min(d.nth) AS nth FROM ds d JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id JOIN (SELECT DISTINCT page_no FROM pl) p ON p.page_no BETWEEN n.start_index AND n.end_index GROUP BY ALL) "
            "SELECT query_id, doc_id, cast(page_no AS INTEGER) AS page_no, cast(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY nth, page_no) - 1 AS INTEGER) AS place FROM pg"))
 def retrieved_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct pages of retrieved nodes, in the order they are first seen."""
-    return search.retrieved_pages(answers(spark, sf), text_nodes(spark, sf))
+    n = nodes(spark, sf)
+    return search.retrieved_pages(answers(spark, sf, n), n)
 
 
 @query(sql(f"{_TEXTS}{_ANS}{_DISTINCT} SELECT d.query_id, d.doc_id, d.node_id, coalesce(n.title, 'NOT FOUND') AS title FROM ds d LEFT JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id"))
 def node_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Titles of ids for display."""
-    asked = answers(spark, sf).select("query_id", "doc_id", F.explode(F.array_distinct("node_list")).alias("node_id"))
-    return search.looked_up(asked, text_nodes(spark, sf)).select("query_id", "doc_id", "node_id", "title")
+    n = nodes(spark, sf)
+    asked = answers(spark, sf, n).select("query_id", "doc_id", F.explode(F.array_distinct("node_list")).alias("node_id"))
+    return search.looked_up(asked, n).select("query_id", "doc_id", "node_id", "title")
 
 
 @query(sql(f"{_SCORES}, h AS (SELECT query_id, '0001' AS node_id, sum(CASE word WHEN 'the' THEN 2.5::DOUBLE WHEN 'de' THEN 1.0::DOUBLE END) AS boost FROM qw WHERE word IN ('the', 'de') GROUP BY query_id), "
@@ -75,7 +83,7 @@ def search_with_preference(spark: SparkSession, sf: str) -> DataFrame:
     """Scores raised by expert hints."""
     q = v.questions(spark, sf)
     hints = spark.createDataFrame([("the", "0001", 2.5), ("de", "0001", 1.0)], "keyword string, node_id string, boost double")
-    every = search.search_nodes(q, nodes(spark, sf), 2**30).drop("rank")
+    every = search.node_scores(q, nodes(spark, sf))
     best = search.top_k(search.with_preference(every, q, hints), 3, F.desc("score"), F.asc("doc_id"), F.asc("ord"))
     return best.select("query_id", "doc_id", "node_id", "score", "rank")
 
@@ -115,7 +123,14 @@ def doc_score(spark: SparkSession, sf: str) -> DataFrame:
     return search.document_scores(near(spark, sf)).select("doc_id", F.round("doc_score", 6).alias("doc_score"), "n_chunks")
 
 
-@query()
+@query(sql(f"""{_SCORES}, best AS (SELECT query_id, doc_id, node_id FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ord) <= 5),
+ ctx AS (SELECT query_id, concat_ws(':', best.doc_id, node_id) AS label, regexp_replace({COLLAPSE.format('text')}, '([.!?]) ', '\\1' || chr(1), 'g') AS marked FROM best JOIN txt USING (doc_id, node_id)),
+ st AS (SELECT query_id, label, unnest(string_split(marked, chr(1))) AS sentence, unnest(generate_series(1, len(string_split(marked, chr(1))))) AS pos FROM ctx),
+ sw AS (SELECT DISTINCT query_id, label, pos, sentence, unnest({sql_words('lower(sentence)')}) AS word FROM st),
+ hit AS (SELECT query_id, label, pos, sentence, count(*) AS score FROM sw JOIN qw USING (query_id, word) GROUP BY ALL),
+ two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, pos) AS rank FROM hit QUALIFY rank <= 2),
+ said AS (SELECT query_id, string_agg(sentence || ' [' || label || ']', ' ' ORDER BY rank) AS answer FROM two GROUP BY query_id)
+ SELECT item_id AS query_id, coalesce(answer, 'The context is not sufficient to answer.') AS answer FROM benchmark LEFT JOIN said ON query_id = item_id"""))
 def answer_extract(spark: SparkSession, sf: str) -> DataFrame:
     """An extractive, cited answer from each question's retrieved nodes."""
     q = v.questions(spark, sf)

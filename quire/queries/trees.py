@@ -174,24 +174,80 @@ def locate_titles(spark: SparkSession, sf: str) -> DataFrame:
     return build.with_contents(v.toc_items(spark, sf), v.page_list(spark, sf), RULES).select("doc_id", "idx", "physical_index")
 
 
-@query()
+def index_sql(words: int, inner_words: int, max_pages: int, max_tokens: int, columns: str) -> str:
+    """An index by headings: a preface, ranges, and the headings of oversized nodes below them.
+
+    Headings found inside a node end its children, so these hold none of their own and one level is all.
+    """
+    strip = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+    return sql(rf""", hd AS (SELECT doc_id, page_no, text, n_tokens, {COLLAPSE.format(f"regexp_extract({strip}, '^([^.!?]{{3,80}})', 1)")} AS h FROM pl),
+ hw AS (SELECT *, len({v.sql_words('h')}) AS w FROM hd WHERE h <> ''),
+ i0 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS nth, h AS title, page_no AS p, text FROM hw WHERE w <= {words}),
+ i1 AS (SELECT doc_id, nth, cast(nth AS VARCHAR) AS structure, title, p, text, 'no_contents' AS mode FROM i0 UNION ALL SELECT doc_id, 0, '0', 'Preface', 1, NULL, NULL FROM i0 WHERE nth = 1 AND p > 1),
+ i2 AS (SELECT i1.*, coalesce(starts_with({SQUASH.format('coalesce(i1.text, pl.text)')}, {SQUASH.format('title')}), false) AS top FROM i1 JOIN pl ON pl.doc_id = i1.doc_id AND pl.page_no = i1.p),
+ ends AS (SELECT doc_id, max(page_no) AS last_page FROM pl GROUP BY doc_id),
+ i3 AS (SELECT doc_id, nth, structure, title, p AS s, mode, CASE WHEN lead(p) OVER w IS NULL THEN last_page WHEN lead(top) OVER w THEN lead(p) OVER w - 1 ELSE lead(p) OVER w END AS e FROM i2 JOIN ends USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY nth)),
+ sized AS (SELECT i3.doc_id, nth, structure, title, s, e, mode, coalesce(sum(n_tokens), 0) AS n FROM i3 LEFT JOIN pl ON pl.doc_id = i3.doc_id AND pl.page_no BETWEEN s AND e GROUP BY ALL),
+ k0 AS (SELECT b.doc_id, b.nth, b.structure AS up, b.title AS own, b.e, h AS title, page_no AS p, row_number() OVER (PARTITION BY b.doc_id, b.nth ORDER BY page_no) AS r FROM sized b JOIN hw ON hw.doc_id = b.doc_id AND hw.page_no BETWEEN s AND e AND hw.w <= {inner_words} WHERE e - s > {max_pages} AND n >= {max_tokens}),
+ k1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, nth ORDER BY p) AS k FROM k0 WHERE NOT (r = 1 AND trim(title) = trim(own))),
+ k2 AS (SELECT doc_id, nth, k, up || '.' || k AS structure, title, p AS s, coalesce(lead(p) OVER (PARTITION BY doc_id, nth ORDER BY p) - 1, e) AS e FROM k1),
+ small AS (SELECT doc_id, nth, min(s) AS first FROM k2 GROUP BY ALL),
+ flat AS (SELECT doc_id, nth, 0 AS k, structure, title, s, coalesce(first, e) AS e, mode FROM i3 LEFT JOIN small USING (doc_id, nth) UNION ALL SELECT doc_id, nth, k, structure, title, s, e, NULL FROM k2),
+ placed AS (SELECT *, cast(row_number() OVER (PARTITION BY doc_id ORDER BY nth, k) - 1 AS INTEGER) AS ord, cast(CASE WHEN k > 0 THEN 1 ELSE 0 END AS INTEGER) AS depth FROM flat),
+ full_nodes AS (SELECT c.doc_id, c.ord, {_PAD.format('c.ord')} AS node_id, u.ord AS parent_ord, c.depth, c.structure, c.title, cast(c.s AS INTEGER) AS start_index, cast(c.e AS INTEGER) AS end_index, c.mode FROM placed c LEFT JOIN placed u ON u.doc_id = c.doc_id AND u.nth = c.nth AND u.k = 0 AND c.k > 0),
+ filled AS (SELECT f.*, coalesce(string_agg(pl.text, '' ORDER BY page_no), '') AS text, cast(coalesce(sum(n_tokens), 0) AS INTEGER) AS n_tokens FROM full_nodes f LEFT JOIN pl ON pl.doc_id = f.doc_id AND pl.page_no BETWEEN start_index AND end_index GROUP BY ALL),
+ summed AS (SELECT *, {COLLAPSE.format('text')} AS x, trim(regexp_extract({COLLAPSE.format('text')}, '^((?:[^.!?]*[.!?]+(?:\s|$)){{1,2}})', 1)) AS lead_in FROM filled)
+ SELECT {columns} FROM summed""")
+
+
+_NODE = "doc_id, ord, node_id, parent_ord, depth, structure, title, start_index, end_index, n_tokens"
+
+
+@query(index_sql(8, 8, 10, 20_000, f"{_NODE}, CASE WHEN n_tokens < 200 THEN text WHEN lead_in <> '' THEN lead_in ELSE x END AS summary, mode"))
 def index_build(spark: SparkSession, sf: str) -> DataFrame:
-    """The outline index of every document from its pages."""
+    """The outline index of every document from its pages."""
     return build.index_documents(v.page_list(spark, sf))
 
 
-@query()
+@query(index_sql(3, 12, 3, 150, f"{_NODE}, mode"))
 def split_large_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """An index of few headings whose oversized nodes were indexed again with more."""
+    """An index of few headings whose oversized nodes were indexed again with more."""
     o = Options.of(max_pages_per_node=3, max_tokens_per_node=150, add_node_summary=False)
     return build.index_documents(v.page_list(spark, sf), o, RuleReasoner(heading_words=3), RuleReasoner(heading_words=12))
 
 
-@query()
+_HAS = "contains({0}, {1})".format(SQUASH.format("pg.text"), SQUASH.format("i.title"))
+_FIX = """, span{n} AS (SELECT a.*, coalesce((SELECT arg_max(x.phys, x.idx) FROM fix{m} x WHERE x.doc_id = a.doc_id AND x.idx < a.idx AND x.correct), 0) AS lo,
+  coalesce((SELECT arg_min(x.phys, x.idx) FROM fix{m} x WHERE x.doc_id = a.doc_id AND x.idx > a.idx AND x.correct), a.n_pages) AS hi FROM fix{m} a),
+ hit{n} AS (SELECT i.doc_id, i.idx, min(pg.page_no) AS found FROM span{n} i JOIN pg ON pg.doc_id = i.doc_id AND pg.page_no BETWEEN i.lo AND i.hi AND {has} WHERE NOT i.correct GROUP BY ALL),
+ fix{n} AS (SELECT s.doc_id, s.idx, structure, title, page_num, coalesce(found, phys) AS phys, correct OR found IS NOT NULL AS correct, n_pages FROM span{n} s LEFT JOIN hit{n} h ON h.doc_id = s.doc_id AND h.idx = s.idx)"""
+#: Contents whose items all stand on the contents page itself end before the middle, so the second mode accepts none here.
+_CASCADE = sql(rf""", pt AS (SELECT doc_id, structure, title, physical_index AS page_num, cast(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INTEGER) AS idx FROM toc WHERE regexp_matches(title, '^[A-Z][a-z]+( [a-z]+){{1,4}}$')),
+ fr AS (SELECT doc_id, string_agg(structure || ' ' || title || ' ........ ' || page_num, {NL} ORDER BY idx) AS text, count(*) AS n FROM pt GROUP BY doc_id),
+ pg AS (SELECT doc_id, 1 AS page_no, text FROM fr UNION ALL SELECT p.doc_id, p.page_no + CASE WHEN fr.n IS NULL THEN 0 ELSE 1 END, p.text FROM pl p LEFT JOIN fr USING (doc_id)),
+ np AS (SELECT doc_id, max(page_no) AS n_pages FROM pg GROUP BY doc_id),
+ parsed AS (SELECT pt.* FROM pt JOIN fr USING (doc_id) WHERE fr.n >= 3),
+ m1 AS (SELECT i.doc_id, i.idx, i.title, min(pg.page_no) AS found FROM parsed i JOIN pg ON pg.doc_id = i.doc_id AND pg.page_no BETWEEN 2 AND 21 AND {_HAS} GROUP BY ALL),
+ df AS (SELECT m.doc_id, found - page_num AS diff, count(*) AS n, min(m.idx * 1000000 + p.idx) AS seen FROM m1 m JOIN parsed p ON p.doc_id = m.doc_id AND p.title = m.title GROUP BY ALL),
+ off AS (SELECT doc_id, diff FROM df QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) = 1),
+ mv AS (SELECT p.*, CASE WHEN page_num + diff BETWEEN 1 AND n_pages THEN page_num + diff END AS phys, n_pages FROM parsed p JOIN off USING (doc_id) JOIN np USING (doc_id)),
+ ck2 AS (SELECT i.doc_id, i.idx, structure, title, page_num, phys, n_pages, CASE WHEN phys IS NOT NULL THEN {_HAS} END AS correct FROM mv i LEFT JOIN pg ON pg.doc_id = i.doc_id AND pg.page_no = i.phys),
+ st AS (SELECT doc_id, CASE WHEN coalesce(arg_max(phys, idx) >= any_value(n_pages) / 2, false) THEN coalesce(avg(CASE WHEN correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE correct IS NOT NULL), 0) ELSE 0 END AS accuracy, coalesce(bool_or(NOT correct), false) AS wrong FROM ck2 GROUP BY doc_id),
+ fix0 AS (SELECT c.doc_id, idx, structure, title, page_num, phys, correct, n_pages FROM ck2 c JOIN st USING (doc_id) WHERE NOT (accuracy = 1 AND NOT wrong) AND accuracy > 0.6)
+ {"".join(_FIX.format(n=k + 1, m=k, has=_HAS) for k in range(3))},
+ one AS (SELECT doc_id, idx, structure, title, page_num, phys FROM ck2 JOIN st USING (doc_id) WHERE accuracy = 1 AND NOT wrong UNION ALL SELECT doc_id, idx, structure, title, page_num, phys FROM fix3),
+ hd AS (SELECT doc_id, page_no, {COLLAPSE.format("regexp_extract(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[1], '^([^.!?]{3,80})', 1)")} AS h FROM pg WHERE doc_id NOT IN (SELECT doc_id FROM one)),
+ three AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS n, h, page_no FROM hd WHERE h <> '' AND len({v.sql_words('h')}) <= 8)
+ SELECT doc_id, idx, structure, title, cast(page_num AS INTEGER) AS page_num, cast(phys AS INTEGER) AS physical_index, 'with_page_numbers' AS mode FROM one WHERE phys IS NOT NULL
+ UNION ALL SELECT doc_id, cast(n - 1 AS INTEGER), cast(n AS VARCHAR), h, NULL, cast(page_no AS INTEGER), 'no_contents' FROM three""")
+
+
+@query(_CASCADE)
 def mode_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that begin with a contents page, through all modes."""
+    """Every document, those with plain titles behind a contents page, through all modes."""
     its = v.toc_items(spark, sf).where(F.col("title").rlike(r"^[A-Z][a-z]+( [a-z]+){1,4}$"))
     line = F.concat("structure", F.lit(" "), "title", F.lit(" ........ "), F.col("physical_index").cast("string"))
     front = its.withColumn("line", line).groupBy("doc_id").agg(pages.in_order("idx", "line", "\n").alias("text")).select("doc_id", F.lit(1).alias("page_no"), "text", F.lit(10).alias("n_tokens"))
-    body = v.page_list(spark, sf).withColumn("page_no", F.col("page_no") + 1).join(front.select("doc_id"), "doc_id", "left_semi")
+    moved = F.when(F.col("front"), F.col("page_no") + 1).otherwise(F.col("page_no"))
+    body = v.page_list(spark, sf).join(front.select("doc_id", F.lit(True).alias("front")), "doc_id", "left").withColumn("page_no", moved).drop("front")
     return build.cascade(front.unionByName(body), RULES, Options())

@@ -37,8 +37,8 @@ def table_pages(spark: SparkSession, path: str, doc: str = "doc_id", page: str =
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """Lines of Markdown files: ``doc_id, doc_name, line_num, text``."""
     files = _with_id(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md"))
-    lines = markdown.lines(files.select("doc_id", F.col("value").alias("text")))
-    return lines.join(files.select("doc_id", "doc_name"), "doc_id")
+    rows = files.select("doc_id", "doc_name", F.posexplode(F.split("value", "\n", -1)).alias("pos", "text"))
+    return rows.select("doc_id", "doc_name", (F.col("pos") + 1).alias("line_num"), "text")
 
 
 PDF_PARSERS = ("pypdf", "pymupdf")
@@ -126,10 +126,10 @@ def index_files(spark: SparkSession, path: str, pattern: str = "*_structure.json
     return files.mapInPandas(run, INDEX)
 
 
-def found_files(spark: SparkSession, path: str, pattern: str) -> list[str]:
-    """Paths under a folder that match, sorted."""
+def file_list(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``path`` of the files under a folder that match, in order (S9, O3). Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return [r.path for r in files.select("path").orderBy("path").collect()]
+    return files.select("path").orderBy("path")
 
 
 def eval_cases(spark: SparkSession, cases: list[dict]) -> DataFrame:

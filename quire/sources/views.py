@@ -31,7 +31,9 @@ def conv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of web pages as pages."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.expr("regexp_extract_all(html, '<p>([^<]+)</p>', 1)").alias("b"))
+    parts = F.split("html", r"<p(?:\s[^>]*)?>")
+    inside = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.regexp_replace(F.split_part(x, F.lit("</p>"), F.lit(1)), "<[^>]*>", " "))
+    p = table(spark, sf_dir, "pages").select("page_id", F.filter(inside, lambda x: F.size(t.words(x)) > 0).alias("b"))
     return p.select(F.col("page_id").alias("doc_id"), F.posexplode("b").alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page_no"), "text", t.count_tokens(F.col("text")).alias("n_tokens"))
 
 
@@ -51,13 +53,17 @@ def toc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown: a heading and a line for each item, and fenced fakes."""
+    """Documents as Markdown: a heading for each item over its line and the one behind it, and fenced fakes."""
     items = toc_items(spark, sf_dir)
-    body = page_list(spark, sf_dir).select("doc_id", F.col("page_no").alias("physical_index"), "text")
+    lines = page_list(spark, sf_dir)
+    body = lines.select("doc_id", F.col("page_no").alias("physical_index"), "text")
+    behind = lines.select("doc_id", (F.col("page_no") - 1).alias("physical_index"), F.col("text").alias("behind"))
+    items = items.join(behind, ["doc_id", "physical_index"], "left")
     level = F.when(F.col("idx") % 4 == 3, 3).when(F.col("idx") % 3 == 0, 1).otherwise(2)
     rows = items.join(body, ["doc_id", "physical_index"]).withColumn("heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), "title"))
     fence = F.lit("```")
-    parts = F.when(F.col("idx") % 6 == 5, F.array(fence, F.col("heading"), fence, F.col("text"))).otherwise(F.array(F.col("heading"), F.col("text")))
+    parts = F.when(F.col("idx") % 6 == 5, F.array(fence, F.col("heading"), fence, F.col("text"), F.col("behind"))).otherwise(F.array(F.col("heading"), F.col("text"), F.col("behind")))
+    parts = F.filter(parts, F.isnotnull)
     rows = rows.select("doc_id", "idx", F.posexplode(parts).alias("k", "text"))
     return rows.selectExpr("doc_id", "row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS line_num", "text")
 
@@ -113,10 +119,11 @@ SQL = {
     array_to_string({_WORDS.format('text')}[1:5], ' ') AS title,
     cast(CASE WHEN idx % 7 = 6 THEN NULL WHEN idx % 5 = 4 THEN page_no - 3 ELSE page_no - 2 END AS INTEGER) AS page_num,
     page_no AS physical_index, '<physical_index_' || cast(page_no AS VARCHAR) || '>' AS physical_tag, idx % 2 = 0 AS appear_start, text AS page_text FROM toc0)""",
-    "md": """md0 AS (SELECT doc_id, idx, repeat('#', CASE WHEN idx % 4 = 3 THEN 3 WHEN idx % 3 = 0 THEN 1 ELSE 2 END) || ' ' || title AS h, page_text FROM toc),
-  md1 AS (SELECT doc_id, idx, unnest(CASE WHEN idx % 6 = 5 THEN ['```', h, '```', page_text] ELSE [h, page_text] END) AS text,
-    unnest(CASE WHEN idx % 6 = 5 THEN [1, 2, 3, 4] ELSE [1, 2] END) AS k FROM md0),
-  md AS (SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS INTEGER) AS line_num, text FROM md1)""",
+    "md": """md0 AS (SELECT t.doc_id, idx, repeat('#', CASE WHEN idx % 4 = 3 THEN 3 WHEN idx % 3 = 0 THEN 1 ELSE 2 END) || ' ' || title AS h, page_text, b.text AS behind
+    FROM toc t LEFT JOIN pl b ON b.doc_id = t.doc_id AND b.page_no = t.physical_index + 1),
+  md1 AS (SELECT doc_id, idx, unnest(CASE WHEN idx % 6 = 5 THEN ['```', h, '```', page_text, behind] ELSE [h, page_text, behind] END) AS text,
+    unnest(CASE WHEN idx % 6 = 5 THEN [1, 2, 3, 4, 5] ELSE [1, 2, 3] END) AS k FROM md0),
+  md AS (SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS INTEGER) AS line_num, text FROM md1 WHERE text IS NOT NULL)""",
     "flags": "flags AS (SELECT doc_id, page_no - 1 AS page, CASE WHEN length(text) % 3 <> 0 THEN 'yes' ELSE 'no' END AS answer FROM pl)",
     "res": """res AS (SELECT 'm' || cast(user_id % 3 AS VARCHAR) AS model, CASE WHEN event_id % 2 = 0 THEN 'full_context' ELSE 'tree_search' END AS mode, event_id,
     CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value >= 20 AS pass, least(value / 100, 1.0::DOUBLE) AS score,

@@ -150,7 +150,7 @@ def test_readers(spark, tmp_path):
     p = readers.text_pages(spark, str(tmp_path / "one.txt")).orderBy("page_no").collect()
     assert [(r.doc_name, r.page_no, r.text) for r in p] == [("one", 1, "page one"), ("one", 2, "page two")]
     assert readers.markdown_files(spark, str(tmp_path)).where("doc_name = 'two'").count() == 2
-    assert [x.rsplit("/", 1)[1] for x in readers.found_files(spark, str(tmp_path), "*.md")] == ["two.md"]
+    assert [x.rsplit("/", 1)[1] for x in (r.path for r in readers.file_list(spark, str(tmp_path), "*.md").collect())] == ["two.md"]
     (tmp_path / "b.json").write_text(json.dumps([{"query": "q", "expected_nodes": ["0001"], "notes": ""}, {"query": "r"}]))
     assert [r.expected for r in readers.benchmark_file(spark, str(tmp_path / "b.json")).collect()] == [["0001"], []]
     case = {"suite": "smoke", "case_id": "a", "document": "d", "question": "q?", "reference_answer": "", "required_facts": ["x"]}
