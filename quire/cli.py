@@ -12,6 +12,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.tokens import counter
 from quire.operators import markdown, search, tree
 from quire.plans import build
 from quire.plans.options import Options
@@ -30,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         source.add_argument(f"--{name}")
     i.add_argument("--out", required=True)
     i.add_argument("--thin-below", type=int)
+    i.add_argument("--vocabulary", help="a .tiktoken, .json or .model file that counts tokens; words by default")
     for name in _FLAGS:
         i.add_argument(f"--{name.replace('_', '-')}", choices=("yes", "no"))
     for name in _NUMBERS:
@@ -56,7 +58,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             nodes = markdown.summarised(nodes, o.summary_tokens) if o.add_node_summary else nodes
             nodes = (nodes if o.add_node_text else nodes.drop("text")).join(names, "doc_id")
         else:
-            pages = readers.table_pages(spark, a.pages) if a.pages else readers.text_pages(spark, a.text)
+            count = counter(a.vocabulary)
+            pages = readers.table_pages(spark, a.pages, tokens=count) if a.pages else readers.text_pages(spark, a.text, tokens=count)
             nodes = build.index_documents(pages, o)
             if a.text:
                 nodes = nodes.join(pages.select("doc_id", "doc_name").distinct(), "doc_id")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import pages, toc, tree
 from quire.plans import build
+from quire.plans.model import ModelReasoner
 from quire.plans.options import Options
 from quire.plans.reasoner import RuleReasoner
 from quire.queries.outline import _PAD, _RANGES, COLLAPSE, NL, SQUASH, ranges
@@ -209,6 +213,37 @@ def index_build(spark: SparkSession, sf: str) -> DataFrame:
     return build.index_documents(v.page_list(spark, sf))
 
 
+def rule_client():
+    """A client that answers as the rules do, in one of several shapes of reply."""
+    few = re.compile(r"[^.!?]{3,80}")
+    squash = lambda x: "".join((x or "").lower().split())
+
+    def client(prompt: str) -> tuple[str, str, dict]:
+        x = json.loads(prompt.rsplit("\n", 1)[1])
+        if x["task"] == "summary":
+            text = " ".join(x["text"].split())
+            lead = re.match(r"((?:[^.!?]*[.!?]+(?:\s|$)){1,2})", text)
+            return lead[1].strip() if lead and lead[1] else text, "stop", {}
+        if x["task"] == "heading":
+            m = few.match(x["page"].strip().split("\n")[0])
+            title = " ".join(m[0].split()) if m else ""
+            answer = title if title and len(title.split()) <= 8 else None
+        else:
+            title, page = squash(x.get("title")), squash(x.get("page"))
+            ok = {"on_page": title in page, "starts_page": page.startswith(title)}.get(x["task"], False)
+            answer = "yes" if ok and title else "no"
+        body = json.dumps({"answer": answer})
+        return (f"Here:\n```json\n{body}\n```" if len(body) % 2 else body), "stop", {}
+
+    return client
+
+
+@query(index_sql(8, 8, 10, 20_000, f"{_NODE}, CASE WHEN n_tokens < 200 THEN text WHEN lead_in <> '' THEN lead_in ELSE x END AS summary, mode"))
+def index_build_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The index with every judgement asked of a model client (here one that follows the rules)."""
+    return build.index_documents(v.page_list(spark, sf), Options(), ModelReasoner(rule_client))
+
+
 @query(index_sql(3, 12, 3, 150, f"{_NODE}, mode"))
 def split_large_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """An index of few headings whose oversized nodes were indexed again with more."""

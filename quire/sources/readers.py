@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -21,17 +21,17 @@ def _with_id(df: DataFrame) -> DataFrame:
     return df.select(F.xxhash64(path).alias("doc_id"), t.file_name(name).alias("doc_name"), "*")
 
 
-def text_pages(spark: SparkSession, path: str, mark: str = "\f") -> DataFrame:
-    """Pages of text files, split at form feeds: ``doc_id, doc_name, page_no, text, n_tokens``."""
+def text_pages(spark: SparkSession, path: str, mark: str = "\f", tokens: Callable[[Column], Column] = t.count_tokens) -> DataFrame:
+    """Pages of text files, split at form feeds: ``doc_id, doc_name, page_no, text, n_tokens`` (S1). ``tokens`` counts (F1)."""
     files = _with_id(spark.read.text(path, wholetext=True, recursiveFileLookup=True))
     pages = files.select("doc_id", "doc_name", F.posexplode(F.split("value", mark, -1)).alias("pos", "text"))
-    return pages.select("doc_id", "doc_name", (F.col("pos") + 1).alias("page_no"), "text", t.count_tokens(F.col("text")).alias("n_tokens"))
+    return pages.select("doc_id", "doc_name", (F.col("pos") + 1).alias("page_no"), "text", tokens(F.col("text")).alias("n_tokens"))
 
 
-def table_pages(spark: SparkSession, path: str, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
+def table_pages(spark: SparkSession, path: str, doc: str = "doc_id", page: str = "page_no", text: str = "text", tokens: Callable[[Column], Column] = t.count_tokens) -> DataFrame:
     """Pages that were extracted before, from Parquet."""
     df = spark.read.parquet(path)
-    return df.select(F.col(doc).alias("doc_id"), F.col(page).cast("int").alias("page_no"), F.col(text).alias("text"), t.count_tokens(F.col(text)).alias("n_tokens"))
+    return df.select(F.col(doc).alias("doc_id"), F.col(page).cast("int").alias("page_no"), F.col(text).alias("text"), tokens(F.col(text)).alias("n_tokens"))
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
