@@ -39,7 +39,7 @@ WORDS, HASHES, BANDS, ROWS, BITS, BLOCK = 5, 256, 48, 5, 2, 512
 #: Ids up to which the list of documents to confirm is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Buckets with several members up to which their list is broadcast (24 bytes each).
-BROADCAST_BUCKETS = 400_000
+BROADCAST_BUCKETS = 100_000
 
 _U = np.uint64
 _MUL = (np.random.default_rng(20240607).integers(1, 2**63, HASHES, dtype=np.uint64) << _U(1)) | _U(1)
@@ -224,19 +224,32 @@ def _blocks(threshold: int, floor: float):
 
 
 def _in_blocks(members: DataFrame, more: DataFrame, threshold: int, floor: float) -> DataFrame:
-    """members(band, rep, m, label) and what a block needs of each rep -> confirmed links (u, v) between labels."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
-    blk = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tiles = (
-        members.withColumn("blocks", blocks)
-        .withColumn("blk", blk)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "rep", "blk", "label")
+    """members(band, rep, label) and what a block needs of each rep -> confirmed links (u, v) between labels.
+
+    A label with a block's worth of members in a bucket has blocks of its own, which are
+    compared with all others but never with each other; small labels share blocks. So a
+    large group of copies beside a few strays costs as many tiles as it has blocks.
+    """
+    sizes = cut(members.groupBy("band", "label").agg(F.count("*").alias("n")))
+    big = F.col("n") >= BLOCK
+    shared = sizes.where(~big).groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    labels = sizes.join(shared, "band", "left").select("band", "label", F.when(big, F.col("label")).alias("own"), F.when(big, F.ceil(F.col("n") / BLOCK)).otherwise(F.col("parts")).alias("parts"))
+    labels = cut(labels)
+    key = F.xxhash64(F.coalesce("own", F.lit(-1).cast("long")), "part")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    blocks = labels.select("band", "own", "parts").distinct().select("band", "own", part).select("band", "own", key.alias("block"))
+    one, two = blocks.withColumnsRenamed({"own": "own_x", "block": "x"}), blocks.withColumnsRenamed({"own": "own_y", "block": "y"})
+    pairs = one.join(two, "band").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("own_x") == F.col("own_y"), F.lit(False)))
+    tiles = pairs.select("band", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("blk"))
+    placed = members.join(_light(labels, BROADCAST_BUCKETS), ["band", "label"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    rows = (
+        placed.select("band", "rep", "label", key.alias("blk"))
+        .join(tiles, ["band", "blk"])
         .join(more, "rep")
         .repartition("band", "x", "y")
         .sortWithinPartitions("band", "x", "y", "rep")
     )
-    return tiles.mapInArrow(_blocks(threshold, floor), "u long, v long").distinct()
+    return rows.mapInArrow(_blocks(threshold, floor), "u long, v long").distinct()
 
 
 def _light(rows: DataFrame, most: int) -> DataFrame:
@@ -287,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = F.arrow_udf(_estimates, "double")("packed_u", "packed_v") >= floor
     links = cut(_confirm(cut(stars.where(near).select("u", "v")), texts, threshold))
     label = connected_components(links).withColumnRenamed("node", "rep")
-    labelled = cut(members.join(label, "rep", "left").select("band", "rep", "m", F.coalesce("component", "rep").alias("label")))
+    labelled = cut(members.join(label, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label")))
     several = cut(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"))
     open_ = cut(labelled.join(_light(several, BROADCAST_BUCKETS), "band", "left_semi"))
     more = _named(texts, open_.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep").join(signatures, "rep")

@@ -27,8 +27,11 @@ DICTIONARY = 1_000_000
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    import os
+
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()

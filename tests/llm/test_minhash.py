@@ -63,6 +63,15 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
         w[rng.randrange(50)] = f"q{i}"
         texts.append(" ".join(w))
     check(spark, texts)
+    # A large group of copies beside strays that share a band with it, near and far.
+    copies = []
+    for i in range(40):
+        w = list(base)
+        w[49] = f"end{i}"
+        copies.append(" ".join(w))
+    strays = [" ".join(base[:k] + sentence(rng, 50 - k, "z").split()) for k in (20, 30, 35, 40, 43, 45, 46, 47) for _ in range(3)]
+    check(spark, copies + strays)
+    check(spark, strays + copies + texts)
 
 
 def test_empty_null_ids_and_repeated_rows(spark):
