@@ -37,11 +37,10 @@ def with_parents(items: DataFrame) -> DataFrame:
     return items.drop("parent_idx").join(found, ["doc_id", "idx"], "left")
 
 
-def with_order(items: DataFrame) -> DataFrame:
-    """Add ``depth``, ``ord`` (pre-order) and ``node_id`` to items with ``parent_idx``.
+def paths(items: DataFrame) -> DataFrame:
+    """``doc_id, idx, path``: each item's ancestors and itself, from the root down.
 
-    Paths of ancestors grow by doubling, so the number of joins is the logarithm of the
-    longest dotted path.
+    Paths grow by doubling, so the number of joins is the logarithm of the longest dotted path.
     """
     parts = F.size(F.split(F.coalesce("structure", F.lit("")), r"\."))
     deepest = items.agg(F.max(parts)).first()[0] or 1
@@ -53,7 +52,12 @@ def with_order(items: DataFrame) -> DataFrame:
             "doc_id", "idx", F.when(F.col("over").isNull(), F.col("path")).otherwise(F.concat("over", "path")).alias("path"), F.col("next").alias("up")
         )
         reach *= 2
-    out = items.join(now.select("doc_id", "idx", "path"), ["doc_id", "idx"])
+    return now.select("doc_id", "idx", "path")
+
+
+def with_order(items: DataFrame) -> DataFrame:
+    """Add ``depth``, ``ord`` (pre-order) and ``node_id`` to items with ``parent_idx``."""
+    out = items.join(paths(items), ["doc_id", "idx"])
     ord_ = F.row_number().over(_doc().orderBy("path")) - 1
     out = out.withColumn("depth", F.size("path") - 1).withColumn("ord", ord_).drop("path")
     return out.withColumn("node_id", node_id(F.col("ord")))
@@ -134,16 +138,7 @@ def over_limit(nodes: DataFrame, limit: int = 110_000) -> DataFrame:
 
 
 def subtree_end(nodes: DataFrame) -> DataFrame:
-    """Add ``subtree_end_index``: the last page of a node or anything below it.
-
-    Ends are handed up one level at a time, as often as the deepest node is deep.
-    """
-    up = nodes.select("doc_id", "idx", "parent_idx", "end_index")
-    spread, frontier = up.select("doc_id", "idx", "end_index"), up.where("parent_idx IS NOT NULL")
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    for _ in range(deepest):
-        spread = spread.union(frontier.select("doc_id", F.col("parent_idx").alias("idx"), "end_index"))
-        above = up.select("doc_id", F.col("idx").alias("parent_idx"), F.col("parent_idx").alias("next"))
-        frontier = frontier.join(above, ["doc_id", "parent_idx"]).where("next IS NOT NULL").select("doc_id", "idx", F.col("next").alias("parent_idx"), "end_index")
-    top = spread.groupBy("doc_id", "idx").agg(F.max("end_index").alias("subtree_end_index"))
+    """Add ``subtree_end_index``: the last page of a node or anything below it (Z1), handed to all ancestors at once."""
+    ends = nodes.select("doc_id", "idx", "end_index").join(paths(nodes), ["doc_id", "idx"])
+    top = ends.select("doc_id", F.explode("path").alias("idx"), "end_index").groupBy("doc_id", "idx").agg(F.max("end_index").alias("subtree_end_index"))
     return nodes.join(top, ["doc_id", "idx"])
