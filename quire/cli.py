@@ -1,6 +1,6 @@
 """Command line: index documents, search indexes, show outlines.
 
-    python -m quire.cli index --pages PATH | --text PATH | --markdown PATH --out PATH [options]
+    python -m quire.cli index --pages PATH | --text PATH | --markdown PATH | --pdf PATH --out PATH [options]
     python -m quire.cli search --index PATH QUESTION...
     python -m quire.cli show --index PATH [--style plain|glyph|titles]
 """
@@ -27,10 +27,11 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     i = sub.add_parser("index")
     source = i.add_mutually_exclusive_group(required=True)
-    for name in ("pages", "text", "markdown"):
+    for name in ("pages", "text", "markdown", "pdf"):
         source.add_argument(f"--{name}")
     i.add_argument("--out", required=True)
     i.add_argument("--thin-below", type=int)
+    i.add_argument("--parser", choices=readers.PDF_PARSERS, default="plain")
     i.add_argument("--vocabulary", help="a .tiktoken, .json or .model file that counts tokens; words by default")
     for name in _FLAGS:
         i.add_argument(f"--{name.replace('_', '-')}", choices=("yes", "no"))
@@ -59,9 +60,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             nodes = (nodes if o.add_node_text else nodes.drop("text")).join(names, "doc_id")
         else:
             count = counter(a.vocabulary)
-            pages = readers.table_pages(spark, a.pages, tokens=count) if a.pages else readers.text_pages(spark, a.text, tokens=count)
+            if a.pages:
+                pages = readers.table_pages(spark, a.pages, tokens=count)
+            else:
+                pages = readers.pdf_pages(spark, a.pdf, a.parser, count) if a.pdf else readers.text_pages(spark, a.text, tokens=count)
             nodes = build.index_documents(pages, o)
-            if a.text:
+            if not a.pages:
                 nodes = nodes.join(pages.select("doc_id", "doc_name").distinct(), "doc_id")
         sinks.write_index(nodes, a.out, build.descriptions(nodes) if o.add_doc_description else None)
         return 0

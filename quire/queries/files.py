@@ -49,6 +49,12 @@ def index_file_list(spark: SparkSession, sf: str) -> DataFrame:
     return found.selectExpr("name", "row_number() OVER (ORDER BY name) AS place")
 
 
+@query(sql(" SELECT doc_id, page_no, text, n_tokens, cast(doc_id AS VARCHAR) AS title FROM pl"))
+def pdf_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of PDFs in memory, one made from each document, read by the built-in parser."""
+    return readers.pdf_rows(sinks.pdf_files(v.page_list(spark, sf))).select("doc_id", "page_no", "text", "n_tokens", "title")
+
+
 # Case files.
 
 _CASES = "SELECT CASE WHEN item_id % 4 = 0 THEN 'smoke' ELSE 'full' END AS suite, cast(item_id AS VARCHAR) AS case_id, 'doc' AS document, text AS question, '' AS reference_answer, 1 AS n_facts, 0 AS n_claims FROM benchmark"

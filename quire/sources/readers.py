@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quire.functions import text as t
 from quire.operators import markdown
+from quire.sources import pdf
 
 
 def _with_id(df: DataFrame) -> DataFrame:
@@ -41,14 +43,58 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", "doc_name", (F.col("pos") + 1).alias("line_num"), "text")
 
 
-PDF_PARSERS = ("pypdf", "pymupdf")
+PDF_PARSERS = ("plain", "pypdf", "pymupdf")
+
+
+def pdf_texts(data: bytes, parser: str = "plain") -> tuple[str, Iterator[str]]:
+    """Title and page texts of a PDF in memory (S1, S2). Other parsers than ``plain`` need their library."""
+    if parser not in PDF_PARSERS:
+        raise ValueError(f"unknown parser {parser}; known: {', '.join(PDF_PARSERS)}")
+    if parser == "plain":
+        made = pdf.Pdf(data)
+        return made.title(), made.pages()
+    if parser == "pypdf":
+        import pypdf
+
+        doc = pypdf.PdfReader(io.BytesIO(data))
+        return (doc.metadata or {}).get("/Title") or "Untitled", (p.extract_text() for p in doc.pages)
+    import pymupdf
+
+    doc = pymupdf.open(stream=data, filetype="pdf")
+    return doc.metadata.get("title") or "Untitled", (p.get_text() for p in doc)
+
+
+def pdf_pages(spark: SparkSession, path: str, parser: str = "plain", tokens: Callable[[Column], Column] = t.count_tokens) -> DataFrame:
+    """Pages of PDF files: ``doc_id, doc_name, page_no, text, n_tokens, title``.
+
+    Files are read by Spark, so they may lie wherever Spark can read; one is parsed in one
+    task. ``title`` is that of the metadata.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
+    return pdf_rows(_with_id(files), parser, tokens)
+
+
+def pdf_rows(files: DataFrame, parser: str = "plain", tokens: Callable[[Column], Column] = t.count_tokens) -> DataFrame:
+    """Pages of PDFs that are in memory, ``files(doc_id, doc_name, content)``."""
+    if parser not in PDF_PARSERS:
+        raise ValueError(f"unknown parser {parser}; known: {', '.join(PDF_PARSERS)}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for doc_id, name, data in zip(d["doc_id"], d["doc_name"], d["content"]):
+                title, texts = pdf_texts(bytes(data), parser)
+                rows = [(doc_id, name, i, text, title) for i, text in enumerate(texts, 1)]
+                yield pd.DataFrame(rows, columns=["doc_id", "doc_name", "page_no", "text", "title"])
+
+    rows = files.select("doc_id", "doc_name", "content").mapInPandas(run, "doc_id long, doc_name string, page_no int, text string, title string")
+    return rows.select("doc_id", "doc_name", "page_no", "text", tokens(F.col("text")).alias("n_tokens"), "title")
 
 
 class PdfPages(DataSource):
-    """``spark.read.format("quire_pdf").option("parser", "pypdf").load(paths)``: a row for each page.
+    """``spark.read.format("quire_pdf").option("parser", "plain").load(paths)``: a row for each page.
 
-    Paths are comma-separated; a file is read in one task. The parser's library must be
-    installed on the executors (S1, S2, U2).
+    Paths are comma-separated and local to every executor; ``pdf_pages`` reads from any store
+    (S1, S2, U2).
     """
 
     @classmethod
@@ -64,7 +110,7 @@ class PdfPages(DataSource):
 
 class _PdfReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.parser = options.get("parser", "pypdf")
+        self.parser = options.get("parser", "plain")
         if self.parser not in PDF_PARSERS:
             raise ValueError(f"unknown parser {self.parser}; known: {', '.join(PDF_PARSERS)}")
         self.paths = [p.strip() for p in options.get("path", "").split(",") if p.strip()]
@@ -73,21 +119,10 @@ class _PdfReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value
-        if self.parser == "pypdf":
-            import pypdf
-
-            doc = pypdf.PdfReader(path)
-            title = (doc.metadata or {}).get("/Title") or "Untitled"
-            pages = (p.extract_text() for p in doc.pages)
-        else:
-            import pymupdf
-
-            doc = pymupdf.open(path)
-            title = doc.metadata.get("title") or "Untitled"
-            pages = (p.get_text() for p in doc)
-        for i, text in enumerate(pages, 1):
-            yield path, i, text, title
+        with open(partition.value, "rb") as f:
+            title, texts = pdf_texts(f.read(), self.parser)
+        for i, text in enumerate(texts, 1):
+            yield partition.value, i, text, title
 
 
 def flatten(structure: list, doc_name: str = "") -> list[dict]:

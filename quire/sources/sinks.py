@@ -57,6 +57,17 @@ def write_index(nodes: DataFrame, path: str, descriptions: DataFrame | None = No
     docs.select(F.concat(t.file_name(F.col("doc_name")), F.lit("_structure")).alias("doc_name"), F.col("json").alias("value")).write.partitionBy("doc_name").mode("overwrite").text(path)
 
 
+def pdf_files(pages: DataFrame) -> DataFrame:
+    """``doc_id, doc_name, content``: a plain PDF of each document's pages ``(doc_id, page_no, text)``; its pages meet in one task."""
+    from quire.sources import pdf
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        d, name = d.sort_values("page_no"), str(d["doc_id"].iloc[0])
+        return pd.DataFrame({"doc_id": [d["doc_id"].iloc[0]], "doc_name": [name], "content": [pdf.written([x or "" for x in d["text"]], name)]})
+
+    return pages.select("doc_id", "page_no", "text").groupBy("doc_id").applyInPandas(run, "doc_id long, doc_name string, content binary")
+
+
 def run_name(stem: str, now: datetime.datetime | None = None) -> str:
     """A file name for a run: the stem and its time, without slashes."""
     return f"{stem.replace('/', '-')}_{(now or datetime.datetime.now()).strftime('%Y%m%d_%H%M%S')}"
