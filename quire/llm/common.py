@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +61,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give memory that a batch or task no longer needs back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def portions(text: pa.Array, size: int = 1_500_000) -> Iterator[list[str | None]]:
     """The texts of a batch in lists of about ``size`` code points, so that work on many at once stays bounded."""
     held, n = [], 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, cut, small_batches
+from quire.llm.common import col, cut, release, small_batches
 
 Q, WINDOW, EDIT_SHARE = 8, 128, 0.08
 #: By default items with fewer code points after normalisation are too short to be evidence.
@@ -431,6 +431,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least:
 def _holds(index):
     @F.arrow_udf("boolean")
     def holds(text: pa.Array) -> pa.Array:
-        return pa.array(hold_passages(index.value, text.to_pylist()), pa.bool_())
+        found = pa.array(hold_passages(index.value, text.to_pylist()), pa.bool_())
+        release()
+        return found
 
     return holds

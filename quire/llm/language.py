@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, cut, has_at_most, portions, small_batches
+from quire.llm.common import col, cut, has_at_most, portions, release, small_batches
 
 #: Bound of the training sample: documents of each language, and hashed grams.
 SAMPLE_PER_LANGUAGE, BUCKETS = 400, 1 << 16
@@ -309,6 +309,7 @@ def identify(text: Column, model: LanguageModel, session) -> Column:
                 yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["lang_pred", "score", "n_spans", "spans"])
         finally:  # a worker that waits for its next task holds no dictionary
             m.forget()
+            release()
 
     return labelled(text)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, cut, has_at_most, small_batches
+from quire.llm.common import col, cut, has_at_most, release, small_batches
 from quire.llm.components import connected_components
 
 WORDS, HASHES, BANDS, ROWS, BITS, BLOCK = 5, 256, 48, 5, 2, 512
@@ -126,6 +126,7 @@ def _sketch(text: pa.Array) -> pa.Array:
         keys.append(xxhash.xxh3_128_digest(h.tobytes()))
         bands.append(band_keys(low))
         packed.append(pack(low))
+    release()
     return pa.StructArray.from_arrays(
         [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
         names=["n", "key", "bands", "packed"],
@@ -204,6 +205,7 @@ def _blocks(threshold: int, floor: float):
             held = t.slice(last).combine_chunks()
         if held is not None and len(held):
             yield from out(held, np.array([], np.int64))
+        release()
 
     def out(t: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(t):

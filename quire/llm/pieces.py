@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a max-plus scan (operator 3).
 
-The model merges pieces by rank, and such an encoding can be recognised locally: a
-sequence of pieces is the encoding of a text exactly if every two neighbours are
-the encoding of their own concatenation. So the encoding is the one best path of a
-lattice whose states are "the last piece reaches over this place" and whose steps
-weigh minus the number of ids for a piece that may follow and minus infinity otherwise.
+The encoding of a text is the best path of a lattice whose states are "the last piece
+reaches over this place". For a unigram model a step weighs the score of its piece. A
+model that merges pieces by rank has no such scores, but its encoding can be recognised
+locally: a sequence of pieces is the encoding of a text exactly if every two neighbours
+are the encoding of their own concatenation. There a step weighs minus the number of ids
+for a piece that may follow and minus infinity otherwise, which leaves one path.
 
 A giant text is cut in chunks. Each chunk yields a transfer matrix from the states
 at its first boundary to those at its last one, in the (max, +) semiring. Matrices
@@ -32,19 +33,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, cut, portions, small_batches
+from quire.llm.common import col, cut, portions, release, small_batches
 
 #: Code points above which a text is cut, of a chunk, and chunks that one task combines.
 GIANT, CHUNK, FAN = 32_768, 8_192, 64
 MARK = "▁"
 #: Entries of a task's dictionary of encoded words.
 DICTIONARY = 250_000
+#: What the library takes off the lowest score for a character outside the vocabulary, and the bound of a piece's length.
+UNKNOWN_PENALTY, WIDE = 10.0, 64
 START = END = -1
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Pieces:
-    """A merge-rank model: its vocabulary, which pieces may follow each other, and words already encoded."""
+    """A unigram or merge-rank model: its vocabulary, what pieces weigh, which may follow each other, and words already encoded."""
 
     def __init__(self, path: str):
         import sentencepiece as sp
@@ -54,15 +57,22 @@ class Pieces:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         norm = model.normalizer_spec
-        if model.trainer_spec.model_type != pb.TrainerSpec.BPE or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not model.trainer_spec.byte_fallback:
-            raise ValueError("only merge-rank models with byte fallback, a leading space mark and no normalisation are supported")
+        kind, piece = model.trainer_spec.model_type, pb.ModelProto.SentencePiece
+        self.unigram = kind == pb.TrainerSpec.UNIGRAM
+        if kind not in (pb.TrainerSpec.BPE, pb.TrainerSpec.UNIGRAM) or any(p.type == piece.USER_DEFINED for p in model.pieces) or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not model.trainer_spec.byte_fallback:
+            raise ValueError("only unigram and merge-rank models with byte fallback, a leading space mark, no normalisation and no pieces of the user's are supported")
         model.normalizer_spec.add_dummy_prefix = False
         self.raw = sp.SentencePieceProcessor(model_proto=model.SerializeToString())
         normal = [p.piece for p in model.pieces if p.type == pb.ModelProto.SentencePiece.NORMAL]
         if any(MARK in p.lstrip(MARK) or (len(p) > 1 and "\n" in p) for p in normal):
             raise ValueError("a piece reaches across a space or a line")
         self.longest = max(map(len, normal))
+        if self.longest >= WIDE:
+            raise ValueError(f"a piece has {WIDE} characters or more")
         self.vocab = set(normal)
+        self.number = {p.piece: i for i, p in enumerate(model.pieces) if p.type == piece.NORMAL}
+        self.score = {p.piece: p.score for p in model.pieces if p.type == piece.NORMAL}
+        self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         self.bytes = [
             bytes([int(p.piece[3:5], 16)]) if p.type == pb.ModelProto.SentencePiece.BYTE else p.piece.replace(MARK, " ").encode() if p.type == pb.ModelProto.SentencePiece.NORMAL else b""
             for p in model.pieces
@@ -76,13 +86,20 @@ class Pieces:
         if piece not in self._ids:
             if len(self._ids) > DICTIONARY:
                 self._ids.clear()
-            got = self.raw.encode(piece) if len(piece) == 1 or piece in self.vocab else None
+            if self.unigram and piece in self.vocab:
+                got = [self.number[piece]]
+            else:
+                got = self.raw.encode(piece) if len(piece) == 1 or piece in self.vocab and not self.unigram else None
             self._ids[piece] = tuple(got) if got is not None and (len(piece) == 1 or len(got) == 1) else None
         return self._ids[piece]
 
+    def weight(self, piece: str) -> float:
+        """What a step over a piece weighs; ``ids`` must know it."""
+        return self.score.get(piece, self.unknown) if self.unigram else -float(len(self.ids(piece)))
+
     def follows(self, a: str | None, b: str) -> bool:
         """Whether piece b may stand after a."""
-        if a is None:
+        if a is None or self.unigram:
             return True
         key = (a, b)
         if key not in self._follows:
@@ -166,7 +183,7 @@ def syncs(text: str, lo: int, hi: int) -> tuple[int, int] | None:
 class Chunk:
     """A chunk ``[lo, hi)`` of a text, which is given with enough text on both sides.
 
-    A boundary state is ``before * 64 + after``: the piece over (or ending at) the
+    A boundary state is ``before * WIDE + after``: the piece over (or ending at) the
     boundary starts ``before`` characters in front of it and ends ``after`` behind it.
     """
 
@@ -180,7 +197,7 @@ class Chunk:
         for s in range(max(0, at - self.m.longest), at):
             for e in range(at, min(len(self.text), s + self.m.longest) + 1):
                 if self.m.ids(self.text[s:e]) is not None:
-                    out.append((at - s) * 64 + (e - at))
+                    out.append((at - s) * WIDE + (e - at))
         return out
 
     def _walk(self, begin: list[tuple[int, int | None]], stop: int) -> tuple[dict, dict]:
@@ -209,7 +226,7 @@ class Chunk:
                     into = done if q >= stop else at.setdefault(q, {})
                     key = (p, q) if q >= stop else p
                     old = into.setdefault(key, none.copy())
-                    new = value - len(self.m.ids(piece))
+                    new = value + self.m.weight(piece)
                     better = new > old
                     trace = came.setdefault((p, q), [None] * n)
                     for k in np.flatnonzero(better):
@@ -223,7 +240,7 @@ class Chunk:
         if self._at_sync(self.lo):
             return [START], [(self.lo, None)]
         names = self.states(self.lo)
-        return names, [(self.lo + x % 64, self.lo - x // 64) for x in names]
+        return names, [(self.lo + x % WIDE, self.lo - x // WIDE) for x in names]
 
     def _at_sync(self, p: int) -> bool:
         return 0 < p < len(self.text) and self.text[p] == MARK and self.text[p - 1] != MARK
@@ -234,7 +251,7 @@ class Chunk:
             return END if e == self.hi else None
         if self._at_sync(self.hi):
             return END if e == self.hi else None
-        return (self.hi - s) * 64 + (e - self.hi)
+        return (self.hi - s) * WIDE + (e - self.hi)
 
     def _units(self, lo: int, hi: int) -> list[bytes]:
         return self.m.encode_words([_UNIT.findall(self.text[lo:hi])])[0]
@@ -244,17 +261,18 @@ class Chunk:
         names, begin = self._begin()
         if self.sync is None:
             done, _ = self._walk(begin, self.hi)
-            return [(names[k], self._end(s), float(v[k])) for s, v in done.items() if self._end(s) is not None for k in np.flatnonzero(v > -np.inf)]
+            return _best((names[k], self._end(s), float(v[k])) for s, v in done.items() if self._end(s) is not None for k in np.flatnonzero(v > -np.inf))
         a, b = self.sync
         left, _ = self._walk(begin, a)
         into = np.max([v for s, v in left.items() if s[1] == a] or [np.full(len(names), -np.inf)], axis=0)
-        middle = -float(sum(map(len, self._units(a, b))) // 4)
+        # Every path shares the stretch between, so any one weight does for it.
+        middle = 0.0 if self.m.unigram else -float(sum(map(len, self._units(a, b))) // 4)
         right, _ = self._walk([(b, None)], self.hi)
-        return [
+        return _best(
             (names[k], self._end(s), float(into[k] + middle + v[0]))
             for s, v in right.items() if self._end(s) is not None and v[0] > -np.inf
             for k in np.flatnonzero(into > -np.inf)
-        ]
+        )
 
     def backtrace(self, state_in: int, state_out: int) -> bytes:
         """Ids (int32, as bytes) of the pieces that start in the chunk, on the path between two states."""
@@ -278,6 +296,14 @@ class Chunk:
         return np.array([i for x in reversed(ids) for i in x], np.int32).tobytes()
 
 
+def _best(entries) -> list[tuple[int, int, float]]:
+    """One entry, the greatest, for each pair of states."""
+    best: dict[tuple[int, int], float] = {}
+    for i, o, w in entries:
+        best[i, o] = max(w, best.get((i, o), -np.inf))
+    return [(i, o, w) for (i, o), w in best.items()]
+
+
 def combine(a: list[tuple[int, int, float]], b: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """Max-plus product of two sparse transfer matrices; associative."""
     by: dict[int, list[tuple[int, float]]] = {}
@@ -339,6 +365,7 @@ def _matrix(path: str):
             rows = [Chunk(pieces(path), r.text, r.lo, r.hi, r.k == 0, r.k == r.n - 1).transfer() for r in d.itertuples()]
             yield _matrices(d[["key", "k"]], rows)
         pieces(path).forget()
+        release()
 
     return run
 
@@ -381,6 +408,7 @@ def _traced(path: str):
             ]
             yield pd.DataFrame({"key": d["key"], "k": d["k"], "ids": ids})
         pieces(path).forget()
+        release()
 
     return run
 
@@ -429,6 +457,7 @@ def encode_small(text: Column, path: str) -> Column:
                 yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(size, pa.int32()), values), pa.array(same, pa.bool_())], names=["ids", "same"])
         finally:  # a worker that waits for its next task holds no dictionary
             m.forget()
+            release()
 
     return F.arrow_udf(encoded, "struct<ids:array<int>,same:boolean>")(text)
 
@@ -457,7 +486,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "p
 
     ``same_col`` adds whether decoding gives the text back.
 
-    Ids are those of the library for the whole text, without begin or end ids. A null
+    Ids are those of the library for the whole text, without begin or end ids (for a unigram
+    model, where several segmentations have the same score, one of them; the library's choice
+    then hangs on the rounding of its sums). A null
     or empty text gives an empty array. Equal giant texts are encoded once.
     """
     names = [c for c in docs.columns if c not in (out_col, same_col)]
