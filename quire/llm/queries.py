@@ -59,11 +59,16 @@ def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.base_rules(table(spark, sf_dir, "documents")).drop("n_lines", "n_twice")
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op1_secret_scan`` that SQL can express: how often each base pattern occurs."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_warc_fixity, op3_pieces, op4_html_extraction, op5_sharding, op6_quality, op7_language_id, op8_decontaminate, op9_minhash, op10_token_counts,
-        quality_base_columns,
+        quality_base_columns, secret_base_counts,
     )
 }
 _NL = "chr(13) || chr(10)"
@@ -156,4 +161,11 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w,
        len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
 FROM t LEFT JOIN inside USING (doc_id)
 """
-ORACLES: dict[str, str] = {"quality_base_columns": _BASE6, "op2_warc_fixity": _OP2, "op4_html_extraction": _OP4, "op9_minhash": _OP9}
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_BASE1 = rf"""
+SELECT doc_id, cast(len(list_filter(regexp_extract_all(t, '({_EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+       cast(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+       cast(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+ORACLES: dict[str, str] = {"secret_base_counts": _BASE1, "quality_base_columns": _BASE6, "op2_warc_fixity": _OP2, "op4_html_extraction": _OP4, "op9_minhash": _OP9}
