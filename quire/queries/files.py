@@ -16,7 +16,7 @@ from quire.plans.options import Options
 from quire.queries import retrieval
 from quire.queries.registry import query
 from quire.queries.retrieval import _SCORES
-from quire.queries.trees import _TREE, nodes, sql
+from quire.queries.trees import _TREE, index_sql, nodes, sql
 from quire.sources import readers, sinks
 from quire.sources import views as v
 from quire.sources.shared import shared_folder
@@ -38,6 +38,17 @@ def index_files(spark: SparkSession, sf: str) -> DataFrame:
     return readers.index_files(spark, path, "*.txt").select("doc_name", "ord", "parent_ord", "depth", "node_id", "title", "start_index", "end_index")
 
 
+@query(index_sql(8, 8, 10, 20_000, "cast(doc_id AS VARCHAR) AS doc_name, ord, parent_ord, depth, node_id, title, start_index, end_index, CASE WHEN n_tokens < 200 THEN nullif(text, '') WHEN lead_in <> '' THEN lead_in ELSE nullif(x, '') END AS summary"))
+def command_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages indexed from the command line, and the written indexes."""
+    from quire import cli
+
+    path = folder(spark, "command")
+    v.page_list(spark, sf).write.parquet(f"{path}/pages")
+    cli.main(["index", "--pages", f"{path}/pages", "--out", f"{path}/indexes"], spark)
+    return readers.index_files(spark, f"{path}/indexes", "*.txt").select("doc_name", "ord", "parent_ord", "depth", "node_id", "title", "start_index", "end_index", "summary")
+
+
 @query("SELECT source || '_structure.json' AS name, cast(row_number() OVER (ORDER BY source || '_structure.json') AS INTEGER) AS place FROM (SELECT DISTINCT source FROM documents)")
 def index_file_list(spark: SparkSession, sf: str) -> DataFrame:
     """Files of a folder that match a pattern, in path order (one index and one other file for each source)."""
