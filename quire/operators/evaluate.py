@@ -152,11 +152,14 @@ def invalid_verdicts(results: DataFrame) -> DataFrame:
     return results.where("judge IS NOT NULL").where(~F.coalesce(s.between(0, 1) & q.isin(*CITATION_QUALITY), F.lit(False)))
 
 
-def report(matrix: DataFrame, deltas: DataFrame, advice: DataFrame) -> str:
-    """A short Markdown report (E5, E6). The three tables have a row per model and mode."""
+def report(matrix: DataFrame, deltas: DataFrame, advice: DataFrame, most: int = 10_000) -> str:
+    """A short Markdown report (E5, E6). The three tables have a row per model and mode, ``most`` at most (more raise a ValueError)."""
     show = {"pass_rate": lambda v: f"{v * 100:.1f}%", "avg_score": lambda v: f"{v:.3f}", "avg_total_latency_sec": lambda v: f"{v:.2f}"}
     parts = ["# Summary"]
     for title, df in (("Matrix", matrix), ("Tree search minus full context", deltas), ("Advice", advice)):
-        rows = [[show.get(c, str)(r[c]) if r[c] is not None else "" for c in df.columns] for r in df.orderBy(*df.columns[:2]).collect()]
+        held = df.orderBy(*df.columns[:2]).limit(most + 1).collect()
+        if len(held) > most:
+            raise ValueError(f"more than {most} rows for a report")
+        rows = [[show.get(c, str)(r[c]) if r[c] is not None else "" for c in df.columns] for r in held]
         parts.append(f"## {title}\n\n{t.markdown_table(df.columns, rows)}")
     return "\n\n".join(parts) + "\n"

@@ -75,6 +75,34 @@ def eval_recommendation(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.recommendation(matrix(spark, sf))
 
 
+_MX = "model mode cases successful_cases pass_rate avg_score avg_model_tokens avg_judge_tokens avg_total_latency_sec errors".split()
+_DL = "model delta_pass_rate delta_avg_score delta_avg_model_tokens delta_avg_total_latency_sec".split()
+_SHOWN = {"pass_rate": "printf('%.1f%%', pass_rate * 100)", "avg_score": "printf('%.3f', avg_score)", "avg_total_latency_sec": "printf('%.2f', avg_total_latency_sec)"}
+
+
+def _section(n: int, title: str, columns: list[str], rows: str, order: str) -> str:
+    """Lines of a report's section: a heading, a Markdown table, a blank line."""
+    cells = " || ' | ' || ".join(f"coalesce(cast({_SHOWN.get(c, c)} AS VARCHAR), '')" for c in columns)
+    fixed = ["## " + title, "", "| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
+    head = " UNION ALL ".join(f"SELECT {n} AS s, {i} AS o, '{x}' AS line" for i, x in enumerate(fixed))
+    return f"{head} UNION ALL SELECT {n}, 9 + row_number() OVER (ORDER BY {order}), '| ' || {cells} || ' |' FROM ({rows}) UNION ALL SELECT {n}, 1000000, ''"
+
+
+_ADVICE = """SELECT model, CASE WHEN dp >= 0.15 OR ds >= 0.1 THEN 'tree_search' WHEN dp <= -0.15 OR ds <= -0.1 THEN 'full_context' WHEN dt <= -1000 THEN 'tree_search' ELSE 'either' END AS strategy,
+ CASE WHEN dp >= 0.15 OR ds >= 0.1 OR dp <= -0.15 OR ds <= -0.1 THEN 'quality' WHEN dt <= -1000 THEN 'tokens' ELSE 'none' END AS reason FROM dl"""
+_DELTA = "SELECT model, round_even(dp, 4) AS delta_pass_rate, round_even(ds, 4) AS delta_avg_score, round_even(dt, 1) AS delta_avg_model_tokens, round_even(dl, 4) AS delta_avg_total_latency_sec FROM dl"
+
+
+@query(with_views("res", body=f"""{_AGG}, lines AS (SELECT 0 AS s, 0 AS o, '# Summary' AS line UNION ALL SELECT 0, 1, '' UNION ALL {_section(1, 'Matrix', _MX, 'SELECT * FROM mx', 'model, mode')}
+ UNION ALL {_section(2, 'Tree search minus full context', _DL, _DELTA, 'model')} UNION ALL {_section(3, 'Advice', ['model', 'strategy', 'reason'], _ADVICE, 'model')})
+ SELECT cast(row_number() OVER (ORDER BY s, o) - 1 AS INTEGER) AS n, line FROM lines"""))
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a Markdown report; its tables have a row for each model and mode."""
+    m = matrix(spark, sf)
+    text = evaluate.report(m, evaluate.delta_table(m), evaluate.recommendation(m))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
+
+
 _ISSUE = "CASE WHEN event_id % 4 = 0 THEN 'k  ' ELSE 'k ' END || (k % 10)"
 
 
