@@ -75,7 +75,7 @@ def release() -> None:
     _trim()(0)
 
 
-def portions(text: pa.Array, size: int = 1_500_000) -> Iterator[list[str | None]]:
+def portions(text: pa.Array, size: int = 750_000) -> Iterator[list[str | None]]:
     """The texts of a batch in lists of about ``size`` code points, so that work on many at once stays bounded."""
     held, n = [], 0
     for t in text:

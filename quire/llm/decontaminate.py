@@ -36,7 +36,7 @@ MIN_CHARS = 24
 #: benchmark takes; a larger benchmark is done in blocks.
 BLOCK_BYTES, INDEX_BYTES = 96_000_000, 28
 #: Hits that are worked on at once.
-HITS = 400_000
+HITS = 200_000
 #: Longest period of runs whose inner part is passed over, and the length that is left of them:
 #: room for an occurrence at every offset of the period. Runs are first looked for in strides.
 _PERIOD, _LEFT, _STRIDE = 128, 512, 64
@@ -329,7 +329,7 @@ def _portions(texts: list[str | None], size: int) -> Iterator[tuple[list[int], l
             held, total = [], 0
 
 
-def search(index: BenchmarkIndex, ids: list, texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple]:
+def search(index: BenchmarkIndex, ids: list, texts: list[str | None], size: int = 1 << 19) -> Iterator[tuple]:
     """``(doc_id, item_id, start, end, edits, n_windows)`` for each text and item that match."""
     for at, docs in _portions(texts, size):
         out = index.matches(docs)
@@ -348,7 +348,7 @@ def search(index: BenchmarkIndex, ids: list, texts: list[str | None], size: int
                     yield ids[at[d]], item, *words[0], 0, len(places)
 
 
-def hold_passages(index: BenchmarkIndex, texts: list[str | None], size: int = 1 << 20) -> list[bool]:
+def hold_passages(index: BenchmarkIndex, texts: list[str | None], size: int = 1 << 19) -> list[bool]:
     """Whether each text holds a passage of the index."""
     out = [False] * len(texts)
     for at, docs in _portions(texts, size):

@@ -307,6 +307,7 @@ def identify(text: Column, model: LanguageModel, session) -> Column:
                         for x, v in zip(out, (lang, score, spans.count(",") + 1 if spans else 0, spans)):
                             x.append(v)
                 yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["lang_pred", "score", "n_spans", "spans"])
+                release()
         finally:  # a worker that waits for its next task holds no dictionary
             m.forget()
             release()

@@ -39,7 +39,7 @@ from quire.llm.common import col, cut, portions, release, small_batches
 GIANT, CHUNK, FAN = 32_768, 8_192, 64
 MARK = "▁"
 #: Entries of a task's dictionary of encoded words.
-DICTIONARY = 250_000
+DICTIONARY = 120_000
 #: What the library takes off the lowest score for a character outside the vocabulary, and the bound of a piece's length.
 UNKNOWN_PENALTY, WIDE = 10.0, 64
 START = END = -1
@@ -445,7 +445,7 @@ def encode_small(text: Column, path: str) -> Column:
         try:
             for text in batches:
                 out, same = [], []
-                for part in portions(text):
+                for part in portions(text, 400_000):
                     ids = encode_whole(m, part)
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                     data, stop = m.decode_all(np.frombuffer(b"".join(ids), np.int32), ends)
@@ -455,6 +455,7 @@ def encode_small(text: Column, path: str) -> Column:
                 size = np.cumsum([0, *(len(x) // 4 for x in out)])
                 values = pa.Array.from_buffers(pa.int32(), int(size[-1]), [None, pa.py_buffer(b"".join(out))])
                 yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(size, pa.int32()), values), pa.array(same, pa.bool_())], names=["ids", "same"])
+                release()
         finally:  # a worker that waits for its next task holds no dictionary
             m.forget()
             release()

@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, small_batches
+from quire.llm.common import col, release, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
@@ -144,10 +145,24 @@ def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
+def _by_task(batch: Callable[[pa.Array], pa.Array]):
+    """A function over a task's batches that holds the vocabulary (about 150 MB) only as long as the task."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            yield from map(batch, batches)
+        finally:
+            _encoding.cache_clear()
+            release()
+
+    # The worker looks at the types to tell batches from single arrays.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
+
+
 def scan(text: Column, vocabulary: str) -> Column:
     """Column ``struct<n_assign, n_access, n_hex, n_random, base_sha256, spans>``."""
 
-    @F.arrow_udf("struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_random:bigint,base_sha256:string,spans:string>")
     def scanned(text: pa.Array) -> pa.Array:
         out = []
         for t in text:
@@ -159,13 +174,13 @@ def scan(text: Column, vocabulary: str) -> Column:
         kinds = [(f"n_{k}", pa.int64()) for k in KINDS]
         return pa.array(out, pa.struct([*kinds, ("base_sha256", pa.string()), ("spans", pa.string())]))
 
-    return scanned(text)
+    kind = "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_random:bigint,base_sha256:string,spans:string>"
+    return F.arrow_udf(_by_task(scanned), kind)(text)
 
 
 def redact(text: Column, vocabulary: str, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by ``mark`` (overlapping spans by one); null stays null."""
 
-    @F.arrow_udf("string")
     def redacted(text: pa.Array) -> pa.Array:
         out = []
         for t in text:
@@ -178,7 +193,7 @@ def redact(text: Column, vocabulary: str, mark: str = "[SECRET]") -> Column:
             out.append("".join([*parts, t[at:]]) if parts else t)
         return pa.array(out, pa.string())
 
-    return redacted(text)
+    return F.arrow_udf(_by_task(redacted), "string")(text)
 
 
 def secret_scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
