@@ -39,7 +39,7 @@ from quire.llm.common import col, cut, portions, release, small_batches
 GIANT, CHUNK, FAN = 32_768, 8_192, 64
 MARK = "▁"
 #: Entries of a task's dictionary of encoded words.
-DICTIONARY = 120_000
+DICTIONARY = 60_000
 #: What the library takes off the lowest score for a character outside the vocabulary, and the bound of a piece's length.
 UNKNOWN_PENALTY, WIDE = 10.0, 64
 START = END = -1
@@ -70,9 +70,10 @@ class Pieces:
         if self.longest >= WIDE:
             raise ValueError(f"a piece has {WIDE} characters or more")
         self.vocab = set(normal)
-        self.number = {p.piece: i for i, p in enumerate(model.pieces) if p.type == piece.NORMAL}
-        self.score = {p.piece: p.score for p in model.pieces if p.type == piece.NORMAL}
-        self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
+        if self.unigram:
+            self.number = {p.piece: i for i, p in enumerate(model.pieces) if p.type == piece.NORMAL}
+            self.score = {p.piece: p.score for p in model.pieces if p.type == piece.NORMAL}
+            self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         self.bytes = [
             bytes([int(p.piece[3:5], 16)]) if p.type == pb.ModelProto.SentencePiece.BYTE else p.piece.replace(MARK, " ").encode() if p.type == pb.ModelProto.SentencePiece.NORMAL else b""
             for p in model.pieces
@@ -445,7 +446,7 @@ def encode_small(text: Column, path: str) -> Column:
         try:
             for text in batches:
                 out, same = [], []
-                for part in portions(text, 400_000):
+                for part in portions(text, 300_000):
                     ids = encode_whole(m, part)
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                     data, stop = m.decode_all(np.frombuffer(b"".join(ids), np.int32), ends)

@@ -70,7 +70,7 @@ def test_edges_blocks_and_cleaning(spark, monkeypatch):
     one = {(r.doc_id, r.item_id) for r in dec.find_passages(frame(spark, texts), bench).collect()}
     n = len(edges())
     assert one == {(n + i, i % 6) for i in range(18)} | {(n + 18, 2)}
-    monkeypatch.setattr(dec, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(dec, "BLOCK_BYTES", 200 * dec.INDEX_BYTES)
     assert {(r.doc_id, r.item_id) for r in dec.find_passages(frame(spark, texts), bench).collect()} == one
     kept = dec.clean(frame(spark, texts), bench)
     assert kept.columns == frame(spark, texts).columns
