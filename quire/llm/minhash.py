@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = F.arrow_udf(_estimates, "double")("packed_u", "packed_v") >= floor
     links = cut(_confirm(cut(stars.where(near).select("u", "v")), texts, threshold))
     label = connected_components(links).withColumnRenamed("node", "rep")
-    labelled = cut(members.join(label, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label")))
+    label = cut(label)  # joined twice; the labelled members themselves are not stored
+    labelled = members.join(label, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
     several = cut(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"))
     open_ = cut(labelled.join(_light(several, BROADCAST_BUCKETS), "band", "left_semi"))
     more = _named(texts, open_.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep").join(signatures, "rep")
