@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("pages", "text", "markdown", "pdf"):
         source.add_argument(f"--{name}")
     i.add_argument("--out", required=True)
+    i.add_argument("--layout", choices=sinks.LAYOUTS, help="a folder for each document or a line for each; lines by default for --pages, else files")
     i.add_argument("--thin-below", type=int)
     i.add_argument("--parser", choices=readers.PDF_PARSERS, default="plain")
     i.add_argument("--vocabulary", help="a .tiktoken, .json or .model file that counts tokens; words by default")
@@ -44,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("show")
     v.add_argument("--index", required=True)
     v.add_argument("--style", choices=("plain", "glyph", "titles"), default="plain")
+    for c in (s, v):
+        c.add_argument("--layout", choices=sinks.LAYOUTS, default="files", help="lines reads an index with a line for each document in portions")
     return p
 
 
@@ -67,9 +70,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             nodes = build.index_documents(pages, o)
             if not a.pages:
                 nodes = nodes.join(pages.select("doc_id", "doc_name").distinct(), "doc_id")
-        sinks.write_index(nodes, a.out, build.descriptions(nodes) if o.add_doc_description else None)
+        sinks.write_index(nodes, a.out, build.descriptions(nodes) if o.add_doc_description else None, a.layout or ("lines" if a.pages else "files"))
         return 0
-    nodes = readers.index_files(spark, a.index, "*")
+    nodes = readers.index_files(spark, a.index, "*", a.layout)
     nodes = nodes.withColumn("doc_id", F.xxhash64("doc_name"))
     if a.command == "show":
         for r in tree.rendered(nodes, a.style).collect():

@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -79,14 +80,27 @@ def pdf_rows(files: DataFrame, parser: str = "plain", tokens: Callable[[Column],
     if parser not in PDF_PARSERS:
         raise ValueError(f"unknown parser {parser}; known: {', '.join(PDF_PARSERS)}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in batches:
-            for doc_id, name, data in zip(d["doc_id"], d["doc_name"], d["content"]):
-                title, texts = pdf_texts(bytes(data), parser)
-                rows = [(doc_id, name, i, text, title) for i, text in enumerate(texts, 1)]
-                yield pd.DataFrame(rows, columns=["doc_id", "doc_name", "page_no", "text", "title"])
-
-    rows = files.select("doc_id", "doc_name", "content").mapInPandas(run, "doc_id long, doc_name string, page_no int, text string, title string")
+            rows, size = [], 0
+            for doc_id, name, data in zip(d.column(0), d.column(1), d.column(2)):
+                doc_id, name = doc_id.as_py(), name.as_py()
+                title, texts = pdf_texts(data.as_py(), parser)
+                for i, text in enumerate(texts, 1):
+                    rows.append((doc_id, name, i, text, title))
+                    size += len(text)
+                    if len(rows) >= 5000 or size >= 1 << 22:
+                        yield table(rows)
+                        rows, size = [], 0
+            if rows:
+                yield table(rows)
+
+    made = pa.schema([("doc_id", pa.int64()), ("doc_name", pa.string()), ("page_no", pa.int32()), ("text", pa.string()), ("title", pa.string())])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), made)], schema=made)
+
+    rows = files.select("doc_id", "doc_name", "content").mapInArrow(run, "doc_id long, doc_name string, page_no int, text string, title string")
     return rows.select("doc_id", "doc_name", "page_no", "text", tokens(F.col("text")).alias("n_tokens"), "title")
 
 
@@ -144,20 +158,38 @@ def flatten(structure: list, doc_name: str = "") -> list[dict]:
 INDEX = "doc_name string, ord int, parent_ord int, depth int, node_id string, title string, start_index int, end_index int, line_num int, summary string, text string"
 
 
-def index_files(spark: SparkSession, path: str, pattern: str = "*_structure.json") -> DataFrame:
-    """Stored indexes as flat node rows (S6, S9); a document's tree is walked in one task."""
+def _stored(value: str) -> list:
+    """The indexes of a file's text: one, or one on each line."""
+    try:
+        return [json.loads(value)]
+    except json.JSONDecodeError:
+        return [json.loads(x) for x in value.split("\n") if x.strip()]
+
+
+def index_files(spark: SparkSession, path: str, pattern: str = "*_structure.json", layout: str = "files") -> DataFrame:
+    """Stored indexes as flat node rows (S6, S9); a document's tree is walked in one task.
+
+    ``layout`` as they were written: ``files`` takes a file whole, ``lines`` its lines one at a time.
+    """
     names = [c.split()[0] for c in INDEX.split(", ")]
+    ints = ["ord", "parent_ord", "depth", "start_index", "end_index", "line_num"]
+
+    def table(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ints})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
         for d in it:
             for value in d["value"]:
-                doc = json.loads(value)
-                doc = doc if isinstance(doc, dict) else {"structure": doc}
-                out = pd.DataFrame(flatten(doc.get("structure", []), doc.get("doc_name") or ""), columns=names)
-                ints = ["ord", "parent_ord", "depth", "start_index", "end_index", "line_num"]
-                yield out.astype({c: "Int32" for c in ints})
-
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+                for doc in _stored(value):
+                    doc = doc if isinstance(doc, dict) else {"structure": doc}
+                    rows += flatten(doc.get("structure", []), doc.get("doc_name") or "")
+                if len(rows) >= 5000:
+                    yield table(rows)
+                    rows = []
+        yield table(rows)
+
+    files = spark.read.text(path, wholetext=layout == "files", recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.mapInPandas(run, INDEX)
 
 

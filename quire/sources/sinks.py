@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,42 +31,64 @@ def nested(rows: list[dict]) -> list[dict]:
     return roots
 
 
-def index_json(nodes: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
-    """``doc_id, doc_name, json``: every document's nested index (S10, D5). One document's nodes meet in one task."""
-    ints = [f.name for f in nodes.schema if f.dataType.typeName() in ("integer", "long") and f.name != "doc_id"]
+def index_json(nodes: DataFrame, descriptions: DataFrame | None = None, indent: int | None = 2) -> DataFrame:
+    """``doc_id, doc_name, json``: every document's nested index (S10, D5). One document's nodes meet in one row."""
     if "doc_name" not in nodes.columns:
         nodes = nodes.withColumn("doc_name", F.col("doc_id").cast("string"))
-    about = descriptions if descriptions is not None else nodes.select("doc_id").distinct().withColumn("doc_description", F.lit(None).cast("string"))
-    rows = nodes.join(about, "doc_id", "left")
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        head = d.iloc[0]
-        records = d.astype({c: "object" for c in ints}).to_dict("records")
-        records = [{k: (int(v) if k in ints and v is not None and v == v else None if v is None or v != v else v) for k, v in r.items()} for r in records]
-        doc = {"doc_name": head["doc_name"]}
-        if isinstance(head["doc_description"], str):
-            doc["doc_description"] = head["doc_description"]
-        doc["structure"] = nested(records)
-        return pd.DataFrame({"doc_id": [head["doc_id"]], "doc_name": [head["doc_name"]], "json": [json.dumps(doc, indent=2, ensure_ascii=False)]})
-
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, doc_name string, json string")
-
-
-def write_index(nodes: DataFrame, path: str, descriptions: DataFrame | None = None) -> None:
-    """One folder ``doc_name=...`` for each document, with its index as JSON text."""
+    flat = F.struct(*(c for c in ("ord", "parent_ord", *_FIELDS) if c in nodes.columns))
+    docs = nodes.groupBy("doc_id").agg(F.first("doc_name").alias("doc_name"), F.to_json(F.collect_list(flat)).alias("rows"))
+    if descriptions is None:
+        docs = docs.withColumn("doc_description", F.lit(None).cast("string"))
+    else:
+        docs = docs.join(descriptions.select("doc_id", "doc_description"), "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in batches:
+            made = []
+            for name, about, rows in zip(d.column(1).to_pylist(), d.column(2).to_pylist(), d.column(3).to_pylist()):
+                doc = {"doc_name": name}
+                if about is not None:
+                    doc["doc_description"] = about
+                doc["structure"] = nested(json.loads(rows))
+                made.append(json.dumps(doc, indent=indent, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([d.column(0), d.column(1), pa.array(made, pa.string())], ["doc_id", "doc_name", "json"])
+
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "doc_name", "doc_description", "rows").mapInArrow(run, f"doc_id {kind}, doc_name string, json string")
+
+
+LAYOUTS = ("files", "lines")
+
+
+def write_index(nodes: DataFrame, path: str, descriptions: DataFrame | None = None, layout: str = "files") -> None:
+    """Indexes as JSON text: ``files``, one folder ``doc_name=...`` for each document, or ``lines``, a line for each.
+
+    Folders cost a few file operations a document, so ``lines`` is for large tables.
+    """
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout}; known: {', '.join(LAYOUTS)}")
+    if layout == "lines":
+        index_json(nodes, descriptions, None).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+        return
     docs = index_json(nodes, descriptions)
     docs.select(F.concat(t.file_name(F.col("doc_name")), F.lit("_structure")).alias("doc_name"), F.col("json").alias("value")).write.partitionBy("doc_name").mode("overwrite").text(path)
 
 
 def pdf_files(pages: DataFrame) -> DataFrame:
-    """``doc_id, doc_name, content``: a plain PDF of each document's pages ``(doc_id, page_no, text)``; its pages meet in one task."""
+    """``doc_id, doc_name, content``: a plain PDF of each document's pages ``(doc_id, page_no, text)``; its pages meet in one row."""
     from quire.sources import pdf
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d, name = d.sort_values("page_no"), str(d["doc_id"].iloc[0])
-        return pd.DataFrame({"doc_id": [d["doc_id"].iloc[0]], "doc_name": [name], "content": [pdf.written([x or "" for x in d["text"]], name)]})
-
-    return pages.select("doc_id", "page_no", "text").groupBy("doc_id").applyInPandas(run, "doc_id long, doc_name string, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in batches:
+            for i in range(0, d.num_rows, 200):  # files of so many documents at once
+                ids = d.column(0).slice(i, 200)
+                names = [str(x) for x in ids.to_pylist()]
+                made = [pdf.written(texts, name) for texts, name in zip(d.column(1).slice(i, 200).to_pylist(), names)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(made, pa.binary())], ["doc_id", "doc_name", "content"])
+
+    held = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))
+    docs = pages.groupBy("doc_id").agg(F.transform(held, lambda x: x["text"]).alias("texts"))
+    return docs.mapInArrow(run, "doc_id long, doc_name string, content binary")
 
 
 def run_name(stem: str, now: datetime.datetime | None = None) -> str:
