@@ -34,3 +34,16 @@ def test_command_line_writes_a_line_for_each_document_of_a_table(spark, tmp_path
         assert capsys.readouterr().out.count("Cats and dogs") == 50
     assert cli.main(["index", "--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "folders"), "--layout", "files"], spark) == 0
     assert len(_files(tmp_path / "folders")) == 50
+
+
+def test_plain_pdf_lines_take_one_step_each(monkeypatch):
+    from quire.sources import pdf
+
+    calls = []
+    old = pdf.value
+    monkeypatch.setattr(pdf, "value", lambda data, at: calls.append(at) or old(data, at))
+    text = "\n".join(f"line {i} of a page (with marks \\ )" if i % 10 == 0 else f"line {i}" for i in range(1000))
+    data = pdf.written([text], "t")
+    calls.clear()
+    assert list(pdf.Pdf(data).pages()) == [text]
+    assert len(calls) < 500
