@@ -23,8 +23,7 @@ def bench(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items with the documents that hold them whole, and five retrieved by shared words."""
     q = v.questions(spark, sf)
     docs = v.table(spark, sf, "documents").select("doc_id", "text")
-    scores = search.scored(q, docs, F.col("text"), ["doc_id"])
-    got = search.top_k(scores, 5, F.desc("score"), F.asc("doc_id")).groupBy("query_id").agg(F.collect_list("doc_id").alias("retrieved"))
+    got = search.search_texts(q, docs, F.col("text"), 5).groupBy("query_id").agg(F.collect_list("doc_id").alias("retrieved"))
     want = search.holding(q, docs).groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
     none = F.expr("cast(array() AS array<bigint>)")
     return q.select("query_id").join(got, "query_id", "left").join(want, "query_id", "left").select("query_id", F.coalesce("expected", none).alias("expected"), F.coalesce("retrieved", none).alias("retrieved"))

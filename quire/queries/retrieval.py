@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import search, tree
+from quire.operators import pages, search, tree
 from quire.plans.build import cut
+from quire.queries import trees
 from quire.queries.outline import COLLAPSE, NL
 from quire.queries.registry import query
-from quire.queries.trees import _TEXTS, sql, text_nodes
+from quire.queries.trees import _TEXTS, sql
 from quire.sources import views as v
 from quire.sources.views import sql_words
 
@@ -19,9 +20,27 @@ _SCORES = f"""{_TEXTS}{_QW}, nw AS (SELECT DISTINCT doc_id, ord, node_id, unnest
  sc AS (SELECT query_id, doc_id, ord, node_id, count(*) * CASE WHEN i.ord IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM nw JOIN qw USING (word) LEFT JOIN inner_nodes i USING (doc_id, ord) GROUP BY query_id, doc_id, ord, node_id, i.ord)"""
 
 
+def light_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes without texts, made once as several steps read them."""
+    return cut(search.with_inner(tree.with_parent_ord(trees.nodes(spark, sf))))
+
+
+def texts(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
+    """The given nodes with their texts."""
+    return pages.with_text(of, v.page_list(spark, sf))
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes with their texts, made once as several steps read them."""
-    return cut(tree.with_parent_ord(text_nodes(spark, sf)))
+    """Nodes with their texts."""
+    return texts(spark, sf, light_nodes(spark, sf))
+
+
+def found_texts(spark: SparkSession, sf: str, asked: DataFrame, of: DataFrame) -> DataFrame:
+    """Texts of the nodes that ``asked(doc_id, node_id)`` names; only pages of their documents are read into the exchange."""
+    keys = cut(asked.select("doc_id", "node_id").distinct())
+    own = of.join(F.broadcast(keys), ["doc_id", "node_id"], "left_semi")  # a few for each question
+    p = v.page_list(spark, sf).join(F.broadcast(keys.select("doc_id").distinct()), "doc_id", "left_semi")
+    return pages.with_text(own, p)
 
 
 @query(sql(f"{_SCORES} SELECT query_id, doc_id, ord, node_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ord) AS INTEGER) AS rank FROM sc QUALIFY rank <= 5"))
@@ -36,7 +55,7 @@ _ANS = f"""{_SCORES.removeprefix(_TEXTS)}, best AS (SELECT query_id, doc_id, nod
 
 
 def answers(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
-    best = search.search_nodes(v.questions(spark, sf), of)
+    best = search.search_nodes(v.questions(spark, sf), texts(spark, sf, of))
     ids = best.groupBy("query_id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("ids"))  # five at most
     return ids.select("query_id", "doc_id", F.concat("ids", F.array(F.lit("9999"), F.lit("0000"), F.col("ids")[0], F.lit("0003"))).alias("node_list"))
 
@@ -47,7 +66,7 @@ _DISTINCT = ", ex AS (SELECT query_id, doc_id, unnest(node_list) AS node_id, unn
 @query(sql(f"{_TEXTS}{_ANS}{_DISTINCT} SELECT d.query_id, d.doc_id, d.node_id, cast(row_number() OVER (PARTITION BY query_id, d.doc_id ORDER BY nth) - 1 AS INTEGER) AS pos FROM ds d JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id QUALIFY pos < 3"))
 def node_choice(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct known ids of an answer, the first three."""
-    n = nodes(spark, sf)
+    n = light_nodes(spark, sf)
     return search.chosen(answers(spark, sf, n), n, 3)
 
 
@@ -56,22 +75,23 @@ def node_choice(spark: SparkSession, sf: str) -> DataFrame:
            f"SELECT query_id, doc_id, string_agg(part, {NL} || {NL} ORDER BY nth) AS context FROM j GROUP BY ALL"))
 def retrieved_context(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled texts of the first five distinct ids."""
-    n = nodes(spark, sf)
-    return search.retrieved_context(answers(spark, sf, n), n)
+    n = light_nodes(spark, sf)
+    a = cut(answers(spark, sf, n))
+    return search.retrieved_context(a, found_texts(spark, sf, a.select("doc_id", F.explode("node_list").alias("node_id")), n))
 
 
 @query(sql(f"{_TEXTS}{_ANS}{_DISTINCT}, pg AS (SELECT d.query_id, d.doc_id, p.page_no, min(d.nth) AS nth FROM ds d JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id JOIN (SELECT DISTINCT page_no FROM pl) p ON p.page_no BETWEEN n.start_index AND n.end_index GROUP BY ALL) "
            "SELECT query_id, doc_id, cast(page_no AS INTEGER) AS page_no, cast(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY nth, page_no) - 1 AS INTEGER) AS place FROM pg"))
 def retrieved_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct pages of retrieved nodes, in the order they are first seen."""
-    n = nodes(spark, sf)
+    n = light_nodes(spark, sf)
     return search.retrieved_pages(answers(spark, sf, n), n)
 
 
 @query(sql(f"{_TEXTS}{_ANS}{_DISTINCT} SELECT d.query_id, d.doc_id, d.node_id, coalesce(n.title, 'NOT FOUND') AS title FROM ds d LEFT JOIN txt n ON n.doc_id = d.doc_id AND n.node_id = d.node_id"))
 def node_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Titles of ids for display."""
-    n = nodes(spark, sf)
+    n = light_nodes(spark, sf)
     asked = answers(spark, sf, n).select("query_id", "doc_id", F.explode(F.array_distinct("node_list")).alias("node_id"))
     return search.looked_up(asked, n).select("query_id", "doc_id", "node_id", "title")
 
@@ -83,8 +103,7 @@ def search_with_preference(spark: SparkSession, sf: str) -> DataFrame:
     """Scores raised by expert hints."""
     q = v.questions(spark, sf)
     hints = spark.createDataFrame([("the", "0001", 2.5), ("de", "0001", 1.0)], "keyword string, node_id string, boost double")
-    every = search.node_scores(q, nodes(spark, sf))
-    best = search.top_k(search.with_preference(every, q, hints), 3, F.desc("score"), F.asc("doc_id"), F.asc("ord"))
+    best = search.search_nodes(q, nodes(spark, sf), 3, boosts=search.boosts(q, hints))
     return best.select("query_id", "doc_id", "node_id", "score", "rank")
 
 
@@ -100,7 +119,7 @@ def doc_search_description(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by their descriptions."""
     from quire.plans.build import descriptions
 
-    return search.search_descriptions(v.questions(spark, sf), descriptions(text_nodes(spark, sf)), 5)
+    return search.search_descriptions(v.questions(spark, sf), descriptions(trees.nodes(spark, sf)), 5)
 
 
 _VEC = """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, vec_id % 50 AS doc_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, q), top AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 40)"""
@@ -134,7 +153,7 @@ def doc_score(spark: SparkSession, sf: str) -> DataFrame:
 def answer_extract(spark: SparkSession, sf: str) -> DataFrame:
     """An extractive, cited answer from each question's retrieved nodes."""
     q = v.questions(spark, sf)
-    n = nodes(spark, sf)
-    top = search.search_nodes(q, n).select("query_id", "doc_id", "node_id")
-    ctx = top.join(n.select("doc_id", "node_id", "text"), ["doc_id", "node_id"])
+    n = light_nodes(spark, sf)
+    top = cut(search.search_nodes(q, texts(spark, sf, n)).select("query_id", "doc_id", "node_id"))
+    ctx = top.join(found_texts(spark, sf, top, n).select("doc_id", "node_id", "text"), ["doc_id", "node_id"])
     return search.best_sentences(q, ctx.select("query_id", F.concat_ws(":", "doc_id", "node_id").alias("label"), "text"))

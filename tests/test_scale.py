@@ -47,3 +47,40 @@ def test_plain_pdf_lines_take_one_step_each(monkeypatch):
     calls.clear()
     assert list(pdf.Pdf(data).pages()) == [text]
     assert len(calls) < 500
+
+
+def test_search_shuffles_few_rows_for_each_question(spark):
+    """The best rows against a literal fold, and no exchange of the pairs of questions and rows."""
+    import random
+
+    from quire.operators import search
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(None if d == 7 else d, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for d in range(400)]
+    asked = [(q, " ".join(rng.choices(words, k=6))) for q in range(25)] + [(25, "nothing")]
+    q = spark.createDataFrame(asked, "query_id int, query string")
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = search.search_texts(q, rows, F.col("text"), 4)
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in out.collect()}
+    want = {}
+    for i, text in asked:
+        scores = sorted((-len(set(text.split()) & set(x.split())), -1 if d is None else d) for d, x in docs)
+        want |= {(i, n): (None if d < 0 else d, -s) for n, (s, d) in enumerate([x for x in scores if x[0]][:4], 1)}
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 0 and "MapInArrow" in plan
+
+
+def test_node_texts_take_each_page_once(spark):
+    """Texts of gapped, repeated and crossed ranges as joined pages, in one exchange of pages."""
+    from quire.operators import pages
+
+    p = [(d, n, f"{d}.{n} ", n) for d, ns in ((1, range(1, 9)), (2, (2, 3, 7, 8)), (3, (1, 1, 2)), (4, (5, 6, 7))) for n in ns]
+    ranges = [(0, 1, 3), (1, 3, 2), (2, 2, 99), (3, None, 4), (4, -3, 2), (5, 7, 7), (6, 9, 12)]
+    nodes = spark.createDataFrame([(d, *r) for d in (1, 2, 3, 4, 5) for r in ranges], "doc_id long, ord int, start_index int, end_index int")
+    out = pages.with_text(nodes, spark.createDataFrame(p, "doc_id long, page_no int, text string, n_tokens int"))
+    got = {(r.doc_id, r.ord): (r.text, r.n_tokens) for r in out.collect()}
+    want = {(d, o): ("".join(x[2] for x in p if x[0] == d and a is not None and a <= x[1] <= b), sum(x[3] for x in p if x[0] == d and a is not None and a <= x[1] <= b)) for d in (1, 2, 3, 4, 5) for o, a, b in ranges}
+    assert got == want
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
