@@ -122,9 +122,16 @@ FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnfla
 def distinct_and_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Several distinct counts over grouping sets; ``close`` says that the sketches are within a tenth."""
     table(spark, sf, "lineitem").createOrReplaceTempView("quire_lineitem")
-    rows = spark.sql("""SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, sum(l_linenumber) AS s, grouping_id(l_returnflag, l_linestatus) AS g
-        FROM quire_lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
-    sketch = table(spark, sf, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("b")).select((F.abs(F.col("a") - F.col("b")) <= F.col("b") / 10).alias("close"))
+    # Distinct rows and sums first, so the grouping sets expand a few rows for each part and supplier and not every line.
+    rows = spark.sql("""SELECT l_returnflag, l_linestatus, count(DISTINCT part) AS parts, count(DISTINCT supplier) AS suppliers, sum(n) AS s, grouping_id(l_returnflag, l_linestatus) AS g
+        FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_partkey AS part, NULL AS supplier, NULL AS n FROM quire_lineitem
+          UNION ALL SELECT DISTINCT l_returnflag, l_linestatus, NULL, l_suppkey, NULL FROM quire_lineitem
+          UNION ALL SELECT l_returnflag, l_linestatus, NULL, NULL, sum(l_linenumber) FROM quire_lineitem GROUP BY l_returnflag, l_linestatus)
+        GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+    lines = table(spark, sf, "lineitem")
+    # Apart, as beside a distinct count a sketch is kept for every part.
+    about, exact = lines.agg(F.approx_count_distinct("l_partkey", 0.02).alias("a")), lines.agg(F.count_distinct("l_partkey").alias("b"))
+    sketch = about.crossJoin(F.broadcast(exact)).select((F.abs(F.col("a") - F.col("b")) <= F.col("b") / 10).alias("close"))  # one row each
     return rows.crossJoin(F.broadcast(sketch)).withColumn("g", F.col("g").cast("long"))  # one row
 
 

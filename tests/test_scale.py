@@ -80,7 +80,30 @@ def test_node_texts_take_each_page_once(spark):
     ranges = [(0, 1, 3), (1, 3, 2), (2, 2, 99), (3, None, 4), (4, -3, 2), (5, 7, 7), (6, 9, 12)]
     nodes = spark.createDataFrame([(d, *r) for d in (1, 2, 3, 4, 5) for r in ranges], "doc_id long, ord int, start_index int, end_index int")
     out = pages.with_text(nodes, spark.createDataFrame(p, "doc_id long, page_no int, text string, n_tokens int"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     got = {(r.doc_id, r.ord): (r.text, r.n_tokens) for r in out.collect()}
     want = {(d, o): ("".join(x[2] for x in p if x[0] == d and a is not None and a <= x[1] <= b), sum(x[3] for x in p if x[0] == d and a is not None and a <= x[1] <= b)) for d in (1, 2, 3, 4, 5) for o, a, b in ranges}
     assert got == want
-    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_sketches_are_not_kept_for_every_part(spark):
+    from quire.queries import QUERIES
+    from tests.conftest import SF
+
+    plan = QUERIES["distinct_and_grouping_sets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    sketches = [x for x in plan.split("\n") if "approx_count_distinct" in x and "Aggregate" in x]
+    assert sketches and all("keys=[]" in x for x in sketches)
+
+
+def test_last_mode_is_not_verified(spark, monkeypatch):
+    from quire.plans import build
+    from quire.plans.options import Options
+    from quire.plans.reasoner import RuleReasoner
+
+    asked = []
+    old = build.verified
+    monkeypatch.setattr(build, "verified", lambda *a, **k: asked.append(1) or old(*a, **k))
+    p = spark.createDataFrame([(1, 1, "Cats\nx", 2), (1, 2, "Dogs and more", 3), (2, 1, "no heading here that is short enough to be one of them at all because it goes on", 9)], "doc_id long, page_no int, text string, n_tokens int")
+    got = build.cascade(p, RuleReasoner(), Options()).collect()
+    assert sorted((r.doc_id, r.idx, r.title, r.physical_index, r.mode) for r in got) == [(1, 0, "Cats", 1, "no_contents"), (1, 1, "Dogs and more", 2, "no_contents")]
+    assert not asked
