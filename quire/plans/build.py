@@ -16,7 +16,10 @@ from quire.operators import pages as pg
 from quire.operators import toc, tree
 from quire.plans.options import Options
 from quire.plans.reasoner import Reasoner, RuleReasoner, contents_lines
-from quire.sources.shared import shared_folder
+from quire.sources.shared import light, shared_folder
+
+#: Ids of documents up to which they are broadcast.
+BROADCAST_DOCUMENTS = 500_000
 
 
 def _doc() -> WindowSpec:
@@ -43,6 +46,7 @@ def find_contents(pages: DataFrame, r: Reasoner, limit: int) -> DataFrame:
     page numbers wins, else the first.
     """
     flags = pages.select("doc_id", (F.col("page_no") - 1).alias("page"), "text", r.lists_contents(F.col("text")).alias("answer"))
+    flags = flags.withColumn("text", F.when(F.col("answer") == "yes", F.col("text")))  # no other text is used below
     before = _doc().orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum(F.when(F.col("answer") == "no", 1).otherwise(0)).over(before)
     runs = flags.withColumn("run", run).where("answer = 'yes'").groupBy("doc_id", "run").agg(
@@ -147,26 +151,31 @@ def cascade(pages: DataFrame, r: Reasoner, o: Options) -> DataFrame:
 
     Documents with usable contents begin with their page numbers, all others without
     contents (C12). A perfect result is accepted, one above the limit is repaired and then
-    accepted as it is; anything else falls to the next mode, the last being accepted anyway.
+    accepted as it is; anything else falls to the next mode, the last being accepted anyway
+    and therefore not verified. Without usable contents the last mode is the only one.
     """
     contents = cut(find_contents(pages, r, o.toc_check_pages))
     usable = contents.where("has_numbers AND trim(contents) <> ''")
+    known = light(usable.select("doc_id"), BROADCAST_DOCUMENTS)
     parsed = cut(parse_contents(usable))
     todo, done = pages, []
     rounds = [("with_page_numbers", lambda p: with_page_numbers(parsed, contents, p, r, o.toc_check_pages)), ("without_page_numbers", lambda p: with_contents(parsed, p, r)), ("no_contents", lambda p: without_contents(p, r))]
-    for mode, make in rounds:
-        mine = todo if mode == "no_contents" else todo.join(usable.select("doc_id"), "doc_id", "left_semi")
+    for mode, make in rounds if not usable.isEmpty() else rounds[-1:]:
+        mine = todo if mode == "no_contents" else todo.join(known, "doc_id", "left_semi")
         items = toc.within_pages(toc.located(make(mine)), sizes(mine))
+        if mode == "no_contents":
+            done.append(cut(items.select(*ITEM, F.lit(mode).alias("mode"))))
+            break
         checked = cut(verified(items, mine, r).withColumn("mode", F.lit(mode)))
         wrong = F.max(F.when(~F.col("correct"), 1).otherwise(0)).over(_doc())
         checked = checked.withColumn("any_wrong", wrong)
-        accept = F.lit(mode == "no_contents") | ((F.col("accuracy") == 1.0) & (F.col("any_wrong") == 0))
+        accept = (F.col("accuracy") == 1.0) & (F.col("any_wrong") == 0)
         repair = ~accept & (F.col("accuracy") > o.accept_above)
         good = checked.where(accept)
         mended = repaired(checked.where(repair).drop("any_wrong"), mine, r, o.fix_rounds)
         out = cut(good.drop("any_wrong").unionByName(mended).select(*ITEM, "mode"))
         done.append(out)
-        todo = todo.join(out.select("doc_id").distinct(), "doc_id", "left_anti")
+        todo = todo.join(light(out.select("doc_id").distinct(), BROADCAST_DOCUMENTS), "doc_id", "left_anti")
     return reduce(DataFrame.unionByName, done).where("physical_index IS NOT NULL")
 
 
