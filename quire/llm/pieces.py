@@ -40,6 +40,8 @@ GIANT, CHUNK, FAN = 32_768, 8_192, 64
 MARK = "▁"
 #: Entries of a task's dictionary of encoded words.
 DICTIONARY = 60_000
+#: Chunks whose matrices or ids a task holds at once.
+AT_ONCE = 32
 #: What the library takes off the lowest score for a character outside the vocabulary, and the bound of a piece's length.
 UNKNOWN_PENALTY, WIDE = 10.0, 64
 START = END = -1
@@ -360,11 +362,20 @@ def _cut_texts(longest: int):
     return run
 
 
+def _slices(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A batch's rows, few at a time: a chunk's matrix takes many times its text as Python objects."""
+    for d in it:
+        for i in range(0, len(d), AT_ONCE):
+            yield d.iloc[i : i + AT_ONCE]
+
+
 def _matrix(path: str):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in it:
+        for d in _slices(it):
             rows = [Chunk(pieces(path), r.text, r.lo, r.hi, r.k == 0, r.k == r.n - 1).transfer() for r in d.itertuples()]
             yield _matrices(d[["key", "k"]], rows)
+            del rows
+            release()
         pieces(path).forget()
         release()
 
@@ -402,12 +413,13 @@ def _routed(d: pd.DataFrame) -> pd.DataFrame:
 
 def _traced(path: str):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in it:
+        for d in _slices(it):
             ids = [
                 np.frombuffer(Chunk(pieces(path), r.text, r.lo, r.hi, r.k == 0, r.k == r.n - 1).backtrace(r.state_in, r.state_out), np.int32)
                 for r in d.itertuples()
             ]
             yield pd.DataFrame({"key": d["key"], "k": d["k"], "ids": ids})
+            release()
         pieces(path).forget()
         release()
 

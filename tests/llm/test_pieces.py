@@ -173,3 +173,22 @@ def test_unigram_weight_is_the_best_score(tmp_path):
                 if m.ids(t[i:j]) is not None:
                     best[j] = max(best[j], best[i] + m.weight(t[i:j]))
         assert abs(by_chunks(text, 30, path)[1][0][2] - best[-1]) < 1e-6
+
+
+def test_few_matrices_are_held_at_once():
+    """Matrices and ids of a batch of chunks come in frames of bounded size, the same as one by one."""
+    import pandas as pd
+
+    rng = random.Random(3)
+    cs = chunks(" ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(2000)), 100)
+    d = pd.DataFrame({"key": "x", "k": range(len(cs)), "n": len(cs), "text": [c.text for c in cs], "lo": [c.lo for c in cs], "hi": [c.hi for c in cs]})
+    assert len(cs) > 3 * 32
+    mats = [c.transfer() for c in cs]
+    out = list(pieces._matrix(PATH)(iter([d])))
+    assert max(map(len, out)) <= 32
+    assert [x for f in out for x in pieces._parts(f)] == mats and [k for f in out for k in f["k"]] == list(range(len(cs)))
+    way = pieces.route(mats, pieces.START, pieces.END)
+    given_ = d.assign(state_in=[i for i, _ in way], state_out=[o for _, o in way])
+    traced = list(pieces._traced(PATH)(iter([given_])))
+    assert max(map(len, traced)) <= 32
+    assert [x.tobytes() for f in traced for x in f["ids"]] == [c.backtrace(i, o) for c, (i, o) in zip(cs, way)]
