@@ -34,15 +34,16 @@ def with_tokens(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return nodes.drop("n_tokens").join(agg, ["doc_id", "ord"], "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
 
 
-def with_text(nodes: DataFrame, pages: DataFrame, tags: bool = False) -> DataFrame:
+def with_text(nodes: DataFrame, pages: DataFrame, tags: bool = False, text: bool = True) -> DataFrame:
     """Add ``text``, the pages of each node's range joined (P2, T14), and ``n_tokens``; none gives ''.
+    Without ``text`` only ``n_tokens``, and no text is moved.
 
     Pages and nodes meet in one row a document, so each page is shuffled once however many
     nodes it belongs to. Where a document's pages are numbered without gaps a range is a slice.
     """
     if tags:
         pages = pages.withColumn("text", labelled(F.col("text"), F.col("page_no")))
-    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text", "n_tokens"))).alias("__pages"))
+    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", *(["text"] if text else []), "n_tokens"))).alias("__pages"))
     own = [c for c in nodes.columns if c not in ("doc_id", "text", "n_tokens")]
     docs = nodes.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("__nodes")).join(held, "doc_id", "left")
     docs = docs.withColumn("__first", F.col("__pages")[0]["page_no"])
@@ -51,9 +52,9 @@ def with_text(nodes: DataFrame, pages: DataFrame, tags: bool = False) -> DataFra
       WHEN __even THEN slice(__pages, cast(greatest(x.start_index, __first) - __first + 1 AS int), cast(x.end_index - greatest(x.start_index, __first) + 1 AS int))
       ELSE filter(__pages, p -> p.page_no BETWEEN x.start_index AND x.end_index) END"""
     rows = docs.withColumn("__even", even).select("doc_id", F.explode(F.expr(f"transform(__nodes, x -> struct(x, {inside} AS inside))")).alias("__r"))
-    text = F.expr("coalesce(array_join(transform(__r.inside, p -> p.text), ''), '')")
+    joined = [F.expr("coalesce(array_join(transform(__r.inside, p -> p.text), ''), '')").alias("text")] if text else []
     count = F.expr("cast(coalesce(aggregate(__r.inside, 0L, (s, p) -> s + coalesce(p.n_tokens, 0)), 0) AS int)")
-    return rows.select("doc_id", *(F.col("__r")["x"][c].alias(c) for c in own), text.alias("text"), count.alias("n_tokens"))
+    return rows.select("doc_id", *(F.col("__r")["x"][c].alias(c) for c in own), *joined, count.alias("n_tokens"))
 
 
 def page_range(pages: DataFrame, first: int, last: int, tag: str = "start_index") -> DataFrame:

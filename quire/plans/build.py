@@ -73,12 +73,21 @@ def first_mention(items: DataFrame, pages: DataFrame, r: Reasoner, lo: str, hi:
     return asked.where(r.on_page(F.col("title"), F.col("text"))).groupBy("doc_id", "idx").agg(F.min("page_no").cast("int").alias("found"))
 
 
-def without_contents(pages: DataFrame, r: Reasoner, start: int = 1) -> DataFrame:
+def headed(pages: DataFrame, r: Reasoner, tops: bool = True) -> DataFrame:
+    """``doc_id, page_no, title, appear_start`` of pages on which a section begins.
+
+    Both are asked where the page is, so its text goes no further. Without ``tops`` only titles.
+    """
+    rows = pages.select("doc_id", "page_no", "text", r.heading(F.col("text")).alias("title")).where("title IS NOT NULL")
+    return rows.select("doc_id", "page_no", "title", *([r.starts_page(F.col("title"), F.col("text")).alias("appear_start")] if tops else []))
+
+
+def without_contents(pages: DataFrame, r: Reasoner, start: int = 1, tops: bool = False) -> DataFrame:
     """Items from headings on the pages themselves (C4, R4); numbered in page order."""
-    rows = pages.select("doc_id", "page_no", r.heading(F.col("text")).alias("title")).where("title IS NOT NULL")
+    rows = headed(pages, r, tops)
     idx = F.row_number().over(_doc().orderBy("page_no")) - 1
     rows = rows.withColumn("idx", idx)
-    return rows.select("doc_id", "idx", (F.col("idx") + 1).cast("string").alias("structure"), "title", F.lit(None).cast("int").alias("page_num"), F.col("page_no").cast("int").alias("physical_index"))
+    return rows.select("doc_id", "idx", (F.col("idx") + 1).cast("string").alias("structure"), "title", F.lit(None).cast("int").alias("page_num"), F.col("page_no").cast("int").alias("physical_index"), *(["appear_start"] if tops else []))
 
 
 def with_contents(items: DataFrame, pages: DataFrame, r: Reasoner) -> DataFrame:
@@ -146,8 +155,15 @@ def repaired(checked: DataFrame, pages: DataFrame, r: Reasoner, rounds: int = 3)
     return checked
 
 
-def cascade(pages: DataFrame, r: Reasoner, o: Options) -> DataFrame:
-    """Items with the ``mode`` that made them (C11).
+def with_tops(items: DataFrame, pages: DataFrame, r: Reasoner) -> DataFrame:
+    """Add ``appear_start``: whether an item's title begins its page."""
+    text = pages.select("doc_id", F.col("page_no").alias("physical_index"), F.col("text").alias("page_text"))
+    out = toc.located(items).join(text, ["doc_id", "physical_index"], "left")
+    return out.withColumn("appear_start", r.starts_page(F.col("title"), F.col("page_text"))).drop("page_text")
+
+
+def cascade(pages: DataFrame, r: Reasoner, o: Options, tops: bool = False) -> DataFrame:
+    """Items with the ``mode`` that made them (C11), and with ``tops`` also ``appear_start``.
 
     Documents with usable contents begin with their page numbers, all others without
     contents (C12). A perfect result is accepted, one above the limit is repaired and then
@@ -159,12 +175,13 @@ def cascade(pages: DataFrame, r: Reasoner, o: Options) -> DataFrame:
     known = light(usable.select("doc_id"), BROADCAST_DOCUMENTS)
     parsed = cut(parse_contents(usable))
     todo, done = pages, []
-    rounds = [("with_page_numbers", lambda p: with_page_numbers(parsed, contents, p, r, o.toc_check_pages)), ("without_page_numbers", lambda p: with_contents(parsed, p, r)), ("no_contents", lambda p: without_contents(p, r))]
+    rounds = [("with_page_numbers", lambda p: with_page_numbers(parsed, contents, p, r, o.toc_check_pages)), ("without_page_numbers", lambda p: with_contents(parsed, p, r)), ("no_contents", lambda p: without_contents(p, r, tops=tops))]
+    columns = [*ITEM, "mode", *(["appear_start"] if tops else [])]
     for mode, make in rounds if not usable.isEmpty() else rounds[-1:]:
         mine = todo if mode == "no_contents" else todo.join(known, "doc_id", "left_semi")
         items = toc.within_pages(toc.located(make(mine)), sizes(mine))
         if mode == "no_contents":
-            done.append(cut(items.select(*ITEM, F.lit(mode).alias("mode"))))
+            done.append(cut(items.withColumn("mode", F.lit(mode)).select(*columns)))
             break
         checked = cut(verified(items, mine, r).withColumn("mode", F.lit(mode)))
         wrong = F.max(F.when(~F.col("correct"), 1).otherwise(0)).over(_doc())
@@ -174,17 +191,16 @@ def cascade(pages: DataFrame, r: Reasoner, o: Options) -> DataFrame:
         good = checked.where(accept)
         mended = repaired(checked.where(repair).drop("any_wrong"), mine, r, o.fix_rounds)
         out = cut(good.drop("any_wrong").unionByName(mended).select(*ITEM, "mode"))
-        done.append(out)
+        done.append(cut(with_tops(out, mine, r).select(*columns)) if tops else out)
         todo = todo.join(light(out.select("doc_id").distinct(), BROADCAST_DOCUMENTS), "doc_id", "left_anti")
     return reduce(DataFrame.unionByName, done).where("physical_index IS NOT NULL")
 
 
-def finished(items: DataFrame, pages: DataFrame, ends: DataFrame, r: Reasoner) -> DataFrame:
-    """Flags and page ranges (L15, W1). ``ends(doc_id, last_page)``."""
-    text = pages.select("doc_id", F.col("page_no").alias("physical_index"), F.col("text").alias("page_text"))
-    flagged = items.drop("appear_start").join(text, ["doc_id", "physical_index"], "left")
-    flagged = flagged.withColumn("appear_start", r.starts_page(F.col("title"), F.col("page_text"))).drop("page_text")
-    return toc.page_ranges(toc.located(flagged), ends)
+def few(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of the documents named in ``docs`` if these can be broadcast, else all: a filter that shuffles nothing."""
+    ids = docs.select("doc_id").distinct()
+    known = light(ids, BROADCAST_DOCUMENTS)
+    return rows if known is ids else rows.join(known, "doc_id", "left_semi")
 
 
 def split_large(nodes: DataFrame, pages: DataFrame, r: Reasoner, o: Options) -> DataFrame:
@@ -193,34 +209,42 @@ def split_large(nodes: DataFrame, pages: DataFrame, r: Reasoner, o: Options) ->
     A node that gives a heading equal to its own title loses that heading; its end shrinks
     to its first child's start. Every node is split once at most, so the rounds end when
     new nodes are small or give no headings.
+
+    A round sees the nodes made by the one before, named by their path from the node they
+    began with. These lie inside their parents, so headings are looked for once, before the
+    first split, and no round moves a text; all nodes are put in order at the end.
     """
+    fresh = nodes.where("NOT split").select("doc_id", F.array("idx").alias("path"), "structure", "title", "start_index", "end_index")
+    found, seen, made = None, [], []
     while True:
-        sized = pg.with_tokens(nodes.withColumn("ord", F.col("idx")), pages).drop("ord")
-        big = tree.large_nodes(sized, o.max_pages_per_node, o.max_tokens_per_node).where("NOT split")
-        big = cut(big.select("doc_id", "idx", "structure", "title", "start_index", "end_index"))
+        # Nodes of few pages are small whatever they hold.
+        long = fresh.where(F.col("end_index") - F.col("start_index") > o.max_pages_per_node)
+        sized = pg.with_tokens(long.withColumn("ord", F.col("path")), pages)
+        big = cut(tree.large_nodes(sized, o.max_pages_per_node, o.max_tokens_per_node).select(*fresh.columns))
         if big.isEmpty():
             break
-        keys = big.select("doc_id", F.col("idx").alias("parent"), F.col("structure").alias("up"), F.col("title").alias("own"), "start_index", "end_index")
-        inside = keys.select("*", F.explode(F.sequence("start_index", "end_index")).alias("page_no")).join(pages, ["doc_id", "page_no"])
-        kids = inside.withColumn("title", r.heading(F.col("text"))).where("title IS NOT NULL")
-        kids = kids.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("page_no")))
-        kids = kids.where(~((F.col("k") == 1) & (F.trim("title") == F.trim("own"))))
+        pages = few(pages, big)
+        keys = big.select("doc_id", F.col("path").alias("parent"), F.col("structure").alias("up"), F.col("title").alias("own"), "end_index", F.explode(F.sequence("start_index", "end_index")).alias("page_no"))
+        if found is None:
+            # Plain columns are asked of every page; a question that costs more, of pages inside only.
+            asked = pages if getattr(r, "plain", False) else pages.join(keys.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
+            found = cut(headed(asked, r))
         w = Window.partitionBy("doc_id", "parent").orderBy("page_no")
-        top = r.starts_page(F.col("title"), F.col("text"))
-        kids = kids.withColumn("k", F.row_number().over(w)).withColumn("top", top)
-        end = F.coalesce(F.when(F.lead("top").over(w), F.lead("page_no").over(w) - 1).otherwise(F.lead("page_no").over(w)), F.col("end_index"))
-        kids = kids.withColumn("end", end).withColumn("first", F.min("page_no").over(Window.partitionBy("doc_id", "parent")))
-        new = kids.select("doc_id", F.col("parent"), "k", F.concat_ws(".", "up", F.col("k").cast("string")).alias("structure"), "title", F.col("page_no").cast("int").alias("start_index"), F.col("end").cast("int").alias("end_index"))
-        shrunk = kids.groupBy("doc_id", F.col("parent").alias("idx")).agg(F.min("first").cast("int").alias("shrunk"))
-        marks = big.select("doc_id", "idx", F.lit(True).alias("seen"))
-        old = nodes.join(marks, ["doc_id", "idx"], "left").join(shrunk, ["doc_id", "idx"], "left")
-        old = old.withColumn("end_index", F.coalesce("shrunk", "end_index")).withColumn("split", F.col("split") | F.coalesce("seen", F.lit(False))).drop("shrunk", "seen")
-        both = old.withColumn("at", F.col("idx")).withColumn("k", F.lit(0)).unionByName(
-            new.withColumnRenamed("parent", "at").withColumn("idx", F.lit(None).cast("int")).withColumn("split", F.lit(False)).withColumn("mode", F.lit(None).cast("string")), allowMissingColumns=True
-        )
-        idx = F.row_number().over(_doc().orderBy("at", "k")) - 1
-        nodes = cut(both.withColumn("idx", idx).drop("at", "k").select(*nodes.columns))
-    return nodes
+        kids = keys.join(found, ["doc_id", "page_no"]).withColumn("k", F.row_number().over(w))
+        kids = kids.where(~((F.col("k") == 1) & (F.trim("title") == F.trim("own")))).withColumn("k", F.row_number().over(w))
+        end = F.coalesce(F.when(F.lead("appear_start").over(w), F.lead("page_no").over(w) - 1).otherwise(F.lead("page_no").over(w)), F.col("end_index"))
+        kids = kids.withColumn("end", end).select("doc_id", F.concat("parent", F.array("k")).alias("path"), F.concat_ws(".", "up", F.col("k").cast("string")).alias("structure"), "title", F.col("page_no").cast("int").alias("start_index"), F.col("end").cast("int").alias("end_index"))
+        fresh = cut(kids)
+        seen.append(big.select("doc_id", "path"))
+        made.append(fresh)
+    if not seen:
+        return nodes
+    new = reduce(DataFrame.unionByName, made)
+    first = new.where("element_at(path, -1) = 1").select("doc_id", F.expr("slice(path, 1, size(path) - 1)").alias("path"), F.col("start_index").alias("shrunk"))
+    marks = reduce(DataFrame.unionByName, seen).withColumn("seen", F.lit(True)).join(first, ["doc_id", "path"], "left")
+    both = nodes.withColumn("path", F.array("idx")).unionByName(new.withColumn("split", F.lit(False)), allowMissingColumns=True).join(marks, ["doc_id", "path"], "left")
+    both = both.withColumn("end_index", F.coalesce("shrunk", "end_index")).withColumn("split", F.col("split") | F.coalesce("seen", F.lit(False)))
+    return cut(both.withColumn("idx", F.row_number().over(_doc().orderBy("path")) - 1).select(*nodes.columns))
 
 
 def index_documents(pages: DataFrame, options: Options | None = None, reasoner: Reasoner | None = None, splitter: Reasoner | None = None) -> DataFrame:
@@ -232,12 +256,12 @@ def index_documents(pages: DataFrame, options: Options | None = None, reasoner:
     """
     o, r = options or Options(), reasoner or RuleReasoner()
     pages = pages.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "text", F.col("n_tokens").cast("int").alias("n_tokens"))
-    items = toc.with_preface(cascade(pages, r, o).select(*ITEM, "mode"))
+    items = toc.with_preface(cascade(pages, r, o, tops=True))  # a preface comes first, so its flag is not used
     ends = sizes(pages).withColumnRenamed("n_pages", "last_page")
-    flat = finished(items, pages, ends, r).select("doc_id", "idx", "structure", "title", "start_index", "end_index", "mode").withColumn("split", F.lit(False))
+    flat = toc.page_ranges(items, ends).select("doc_id", "idx", "structure", "title", "start_index", "end_index", "mode").withColumn("split", F.lit(False))
     flat = split_large(cut(flat), pages, splitter or r, o).drop("split")
     nodes = tree.with_parent_ord(tree.with_order(tree.with_parents(flat)))
-    nodes = pg.with_text(nodes, pages)
+    nodes = pg.with_text(nodes, pages, text=o.add_node_summary or o.add_node_text)
     if o.add_node_summary:
         nodes = nodes.withColumn("summary", F.when(F.col("n_tokens") < o.summary_tokens, F.col("text")).otherwise(r.summary(F.col("text"))))
     keep = ["doc_id", "ord", *(["node_id"] if o.add_node_id else []), "parent_ord", "depth", "structure", "title", "start_index", "end_index", "n_tokens", *(["summary"] if o.add_node_summary else []), *(["text"] if o.add_node_text else []), "mode"]

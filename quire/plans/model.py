@@ -37,6 +37,8 @@ class ModelReasoner(RuleReasoner):
     ``at_once`` bounds the calls of a task; calls that keep failing answer ``Error``, which is no.
     """
 
+    plain = False
+
     def __init__(self, factory: Callable[[], Client], at_once: int = 8, attempts: int = ATTEMPTS, instructions: dict[str, str] | None = None):
         super().__init__()
         self.instructions = INSTRUCTIONS | (instructions or {})

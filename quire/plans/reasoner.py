@@ -49,6 +49,9 @@ def contents_lines(contents: Column) -> Column:
 class RuleReasoner:
     """Deterministic answers: squashed containment, contents patterns, leading sentences."""
 
+    #: Answers are columns that cost little, so any page may be asked where it is.
+    plain = True
+
     def __init__(self, min_lines: int = 3, heading_words: int = 8, summary_sentences: int = 2):
         self.min_lines, self.heading_words, self.summary_sentences = min_lines, heading_words, summary_sentences
 

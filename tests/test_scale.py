@@ -107,3 +107,101 @@ def test_last_mode_is_not_verified(spark, monkeypatch):
     got = build.cascade(p, RuleReasoner(), Options()).collect()
     assert sorted((r.doc_id, r.idx, r.title, r.physical_index, r.mode) for r in got) == [(1, 0, "Cats", 1, "no_contents"), (1, 1, "Dogs and more", 2, "no_contents")]
     assert not asked
+
+
+def test_splitting_moves_no_text(spark):
+    """An index without texts, some nodes split: what is shuffled does not grow with the pages' texts."""
+    import random
+
+    from quire.plans import build
+    from quire.plans.options import Options
+    from quire.plans.reasoner import RuleReasoner
+
+    rng = random.Random(3)
+    rows = []
+    for d in range(40):
+        for p in range(1, 13):
+            title = f"Part {p}." if p % 6 == 1 else f"One of the longer headings here {p}." if p % 2 else "and it goes on with many more words than any heading of this book."
+            rows.append((d, p, title + " " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=6000)), 1000))
+    size = sum(len(r[2]) for r in rows)
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string, n_tokens int").repartition(3, "page_no")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        it = store.stageList(*([None] + [getattr(store, f"stageList$default${k}")() for k in range(2, 6)])).iterator()
+        out = {}
+        while it.hasNext():
+            x = it.next()
+            out[x.stageId(), x.attemptId()] = x.shuffleWriteBytes()
+        return out
+
+    pages.persist().count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = stages()
+        o = Options.of(max_pages_per_node=3, max_tokens_per_node=20, add_node_summary=False)
+        got = build.index_documents(pages, o, RuleReasoner(heading_words=3), RuleReasoner(heading_words=12)).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        moved = sum(n for k, n in stages().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        pages.unpersist()
+    assert {r.depth for r in got} == {0, 1} and len(got) == 40 * 6 and sum(r.n_tokens for r in got) == 40 * 14000  # a parent keeps the page its first child begins on
+    assert 0 < moved < size / 4
+
+
+def _split(nodes, texts, words, heading, top, max_pages, max_words):
+    """Nodes of one document with the headings inside oversized ones below them, as a plain recursion."""
+    out = []
+    for structure, title, a, b in nodes:
+        kids, end = [], b
+        if b - a > max_pages and sum(words[p] for p in range(a, b + 1) if p in words) >= max_words:
+            hits = [(p, heading(texts[p])) for p in range(a, b + 1) if p in texts and heading(texts[p])]
+            if hits and hits[0][1].strip() == title.strip():
+                hits = hits[1:]
+            for k, (p, x) in enumerate(hits):
+                after = hits[k + 1][0] if k + 1 < len(hits) else None
+                kids.append((f"{structure}.{k + 1}", x, p, b if after is None else after - 1 if top(hits[k + 1][1], texts[after]) else after))
+            end = kids[0][2] if kids else b
+        out.append((structure, title, a, end))
+        out += _split(kids, texts, words, heading, top, max_pages, max_words)
+    return out
+
+
+def test_nested_splits_against_a_recursion(spark):
+    """Headings inside headings, for a reasoner of plain columns and for one that is asked about few pages."""
+    import random
+
+    from quire.plans import build
+    from quire.plans.options import Options
+    from quire.plans.reasoner import RuleReasoner
+
+    class Marked(RuleReasoner):
+        def heading(self, page):
+            return F.nullif(F.regexp_extract(page, r"#(\w+)", 1), F.lit(""))
+
+        def starts_page(self, title, page):
+            return F.startswith(page, F.concat(F.lit("#"), title))
+
+    class Asked(Marked):
+        plain = False
+
+    rng = random.Random(11)
+    pages, nodes, want = [], [], []
+    for d in range(60):
+        n = rng.randint(1, 30)
+        texts = {p: rng.choice(["", "x ", "y "]) + (f"#h{rng.randint(1, 4)}" if rng.random() < 0.6 else "plain") for p in range(1, n + 1) if rng.random() < 0.95}
+        words = {p: rng.randint(0, 9) for p in texts}
+        pages += [(d, p, x, words[p]) for p, x in texts.items()]
+        mine = [(str(i + 1), f"h{rng.randint(1, 4)}", a, min(n, a + rng.randint(-1, 15))) for i, a in enumerate(sorted(rng.sample(range(1, n + 1), rng.randint(1, min(n, 4)))))]
+        nodes += [(d, i, *x, "m", False) for i, x in enumerate(mine)]
+        found = lambda x: x.split("#")[1] if "#" in x else None
+        want += [(d, i, *x) for i, x in enumerate(_split(mine, texts, words, found, lambda t, x: x.startswith("#" + t), 2, 10))]
+    flat = spark.createDataFrame(nodes, "doc_id long, idx int, structure string, title string, start_index int, end_index int, mode string, split boolean")
+    p = spark.createDataFrame(pages, "doc_id long, page_no int, text string, n_tokens int")
+    assert any(x[2].count(".") > 1 for x in want)
+    for r in (Marked(), Asked()):
+        out = build.split_large(flat, p, r, Options.of(max_pages_per_node=2, max_tokens_per_node=10))
+        assert out.columns == flat.columns
+        assert [(x.doc_id, x.idx, x.structure, x.title, x.start_index, x.end_index) for x in out.orderBy("doc_id", "idx").collect()] == want
