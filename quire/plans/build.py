@@ -260,7 +260,9 @@ def index_documents(pages: DataFrame, options: Options | None = None, reasoner:
     ends = sizes(pages).withColumnRenamed("n_pages", "last_page")
     flat = toc.page_ranges(items, ends).select("doc_id", "idx", "structure", "title", "start_index", "end_index", "mode").withColumn("split", F.lit(False))
     flat = split_large(cut(flat), pages, splitter or r, o).drop("split")
-    nodes = tree.with_parent_ord(tree.with_order(tree.with_parents(flat)))
+    # The tree is made of paths alone; titles and ranges are joined to it once.
+    shape = tree.with_parent_ord(tree.with_order(tree.with_parents(flat.select("doc_id", "idx", "structure"))))
+    nodes = flat.join(shape.drop("structure"), ["doc_id", "idx"]).drop("idx", "parent_idx")
     nodes = pg.with_text(nodes, pages, text=o.add_node_summary or o.add_node_text)
     if o.add_node_summary:
         nodes = nodes.withColumn("summary", F.when(F.col("n_tokens") < o.summary_tokens, F.col("text")).otherwise(r.summary(F.col("text"))))
