@@ -78,7 +78,11 @@ def headed(pages: DataFrame, r: Reasoner, tops: bool = True) -> DataFrame:
 
     Both are asked where the page is, so its text goes no further. Without ``tops`` only titles.
     """
-    rows = pages.select("doc_id", "page_no", "text", r.heading(F.col("text")).alias("title")).where("title IS NOT NULL")
+    title = r.heading(F.col("text"))
+    if getattr(r, "plain", False):  # a filter on a plain column would work it out a second time
+        rows = pages.select("doc_id", "page_no", "text", F.explode(F.filter(F.array(title), F.isnotnull)).alias("title"))
+    else:
+        rows = pages.select("doc_id", "page_no", "text", title.alias("title")).where("title IS NOT NULL")
     return rows.select("doc_id", "page_no", "title", *([r.starts_page(F.col("title"), F.col("text")).alias("appear_start")] if tops else []))
 
 
